@@ -33,4 +33,34 @@ with sized as (
 select doc_id, size, source_size, target, (rounds * size + greatest(0, least(size, demand - rounds * source_size - start_)))::bigint as taken from rounds
 """
 
-ORACLE = {}
+PREFERENCES = """
+with t as (
+  select conv_id >> 1 as pair_id, conv_id & 1 as side, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as k
+  from conversations where conv_id is not null
+), r as (
+  select *, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as said from t
+), c as (
+  select pair_id, k, max(case when side = 0 then said end) as a, max(case when side = 1 then said end) as b,
+    max(case when side = 0 then role end) as ra, max(case when side = 1 then role end) as rb
+  from r group by pair_id, k
+), n as (
+  select pair_id, coalesce(min(k) filter (where a is null or b is null or a <> b or ra <> rb) - 1, max(k)) as prompt_turns from c group by pair_id
+), m as (
+  select r.*, n.prompt_turns,
+    coalesce(sum(len(said)) over (partition by pair_id, side order by k rows between unbounded preceding and 1 preceding), 0)
+      - sum(case when k <= prompt_turns then len(said) else 0 end) over (partition by pair_id, side) as pos_
+  from r join n using (pair_id)
+)
+select pair_id, prompt_turns::int as prompt_turns,
+  coalesce(string_agg(said, '' order by k) filter (where side = 0 and k <= prompt_turns), '') as prompt,
+  case when count(*) filter (where side = 0) > 0 then coalesce(string_agg(said, '' order by k) filter (where side = 0 and k > prompt_turns), '') end as chosen,
+  case when count(*) filter (where side = 0) > 0 then coalesce(string_agg((pos_ + 22)::bigint || '-' || (pos_ + 32 + len(text))::bigint, ',' order by k)
+    filter (where side = 0 and k > prompt_turns and role = 'assistant'), '') end as chosen_spans,
+  case when count(*) filter (where side = 1) > 0 then coalesce(string_agg(said, '' order by k) filter (where side = 1 and k > prompt_turns), '') end as rejected,
+  case when count(*) filter (where side = 1) > 0 then coalesce(string_agg((pos_ + 22)::bigint || '-' || (pos_ + 32 + len(text))::bigint, ',' order by k)
+    filter (where side = 1 and k > prompt_turns and role = 'assistant'), '') end as rejected_spans
+from m group by pair_id, prompt_turns
+"""
+
+ORACLE = {"op8_chat_formatting": PREFERENCES}

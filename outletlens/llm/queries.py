@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from outletlens.llm import common, media, mixing, token_store
+from outletlens.llm import chat, common, html, media, mixing, packing, token_store
 
 
 def _path(name: str) -> str:
@@ -17,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents into windows of 4096 ids."""
+    return packing.pack(_table(spark, sf_dir, "documents"), _path("word_bpe_49k.json"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every text as an ISO media file and read its features from the stored bytes."""
     return media.features(media.encode(_table(spark, sf_dir, "documents")))
@@ -29,9 +35,21 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_back(spark, manifest, root)
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format each two neighbouring conversations as a preference pair; spans as "start-end" joined by commas."""
+    pairs = chat.preferences(chat.neighbours(_table(spark, sf_dir, "conversations")))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return pairs.withColumns({c: joined(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents by source weights and order them by training position."""
     return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "n_copies", "position")
 
 
-QUERIES = {f.__name__: f for f in (op3_media_columns, op5_token_output, op9_mixing)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page, laid out."""
+    return html.pages_text(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op3_media_columns, op5_token_output, op8_chat_formatting, op9_mixing, op10_html_extraction)}

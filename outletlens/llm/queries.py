@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outletlens.llm import chat, common, html, media, mixing, packing, token_store
+from outletlens.llm import chat, common, html, media, minhash, mixing, packing, token_store
 
 
 def _path(name: str) -> str:
@@ -35,6 +35,11 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_back(spark, manifest, root)
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format each two neighbouring conversations as a preference pair; spans as "start-end" joined by commas."""
     pairs = chat.preferences(chat.neighbours(_table(spark, sf_dir, "conversations")))
@@ -52,4 +57,4 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.pages_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_media_columns, op5_token_output, op8_chat_formatting, op9_mixing, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_media_columns, op5_token_output, op6_minhash_near_dedup, op8_chat_formatting, op9_mixing, op10_html_extraction)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outletlens.llm import chat, common, html, media, minhash, mixing, packing, token_store
+from outletlens.llm import chat, common, html, media, minhash, mixing, packing, pii, token_store
 
 
 def _path(name: str) -> str:
@@ -28,6 +28,11 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.encode(_table(spark, sf_dir, "documents")))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text."""
+    return pii.digest(pii.detect(_table(spark, sf_dir, "documents")))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all texts as id shards with a perfect hash index, then read every document back by its key."""
     root = common.scratch_path(spark, "ids")
@@ -57,4 +62,4 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.pages_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_media_columns, op5_token_output, op6_minhash_near_dedup, op8_chat_formatting, op9_mixing, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_media_columns, op4_pii, op5_token_output, op6_minhash_near_dedup, op8_chat_formatting, op9_mixing, op10_html_extraction)}

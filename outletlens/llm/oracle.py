@@ -63,4 +63,17 @@ select pair_id, prompt_turns::int as prompt_turns,
 from m group by pair_id, prompt_turns
 """
 
-ORACLE = {"op8_chat_formatting": PREFERENCES}
+TOP_K = """
+with v as (
+  select vec_id, row_number() over () as own, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, q.own, d.vec_id, list_inner_product(q.v, d.v)::bigint as score
+  from v q join v d on q.own <> d.own where q.vec_id % 50 = 0
+), r as (
+  select *, row_number() over (partition by own order by score desc, vec_id nulls last)::int as rank from s
+)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+ORACLE = {"op2_exact_top_k": TOP_K, "op8_chat_formatting": PREFERENCES}

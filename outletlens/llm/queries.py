@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outletlens.llm import chat, common, html, media, minhash, mixing, packing, pii, token_store
+from outletlens.llm import chat, common, covertree, html, langid, media, minhash, mixing, packing, pii, token_store
 
 
 def _path(name: str) -> str:
@@ -23,6 +23,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _path("word_bpe_49k.json"))
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every 50th vector with all others."""
+    return covertree.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every text as an ISO media file and read its features from the stored bytes."""
     return media.features(media.encode(_table(spark, sf_dir, "documents")))
@@ -45,6 +50,12 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train on labelled documents outside the held-out fifth, then predict every document's language."""
+    docs = _table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format each two neighbouring conversations as a preference pair; spans as "start-end" joined by commas."""
     pairs = chat.preferences(chat.neighbours(_table(spark, sf_dir, "conversations")))
@@ -62,4 +73,4 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.pages_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_media_columns, op4_pii, op5_token_output, op6_minhash_near_dedup, op8_chat_formatting, op9_mixing, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_top_k, op3_media_columns, op4_pii, op5_token_output, op6_minhash_near_dedup, op7_language_id, op8_chat_formatting, op9_mixing, op10_html_extraction)}

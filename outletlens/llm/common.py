@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -12,7 +13,7 @@ from pyspark.sql import Window as W
 #: Words as every contract of this subpackage reads them.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-_made: dict[int, list[str]] = {}
+_made: list[str] | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,22 +33,35 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the application ends."""
+def scratch_path(spark: SparkSession, name: str, tracked: bool = True) -> str:
+    """A new path in the shared folder, deleted when the application ends; in a stage, when the next one begins."""
     path = f"{shared_dir(spark)}/outletlens-{name}-{uuid.uuid4().hex}"
     jvm, hconf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(hconf).deleteOnExit(target)
-    _made.setdefault(id(spark.sparkContext), []).append(path)
+    if tracked and _made is not None:
+        _made.append(path)
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables written so far; call it only when no result still reads them."""
+_last: list[str] = []
+
+
+@contextlib.contextmanager
+def stage(spark: SparkSession):
+    """A stage of a pipeline, whose input is written: the tables of the stage before it go, its own stay until the next begins."""
+    global _made
     jvm, hconf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _made.pop(id(spark.sparkContext), []):
+    for path in _last:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(hconf).delete(target, True)
+    _last.clear()
+    outer, _made = _made, []
+    try:
+        yield
+    finally:
+        _last.extend(_made)
+        _made = outer
 
 
 def save(df: DataFrame, name: str) -> DataFrame:

@@ -240,3 +240,23 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema=common.arrow_schema(ddl))
 
     return docs.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "text").mapInArrow(run, ddl)
+
+
+def accepted(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows of ``docs`` with a letter in their text and a score of ``least`` or more, all columns kept.
+
+    Without a model every text with a letter stays. Null texts go.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        model = held.value or Model([UNKNOWN], np.zeros((1, 1 << BITS)), np.zeros(1), 1.0)
+        for batch in batches:
+            for a, b in slices(batch.column("text"), 1 << 20):
+                part = batch.slice(a, b - a)
+                p, letters = model.scores(part.column("text").to_pylist())
+                yield part.filter(pa.array(letters & (p.max(axis=1) >= least)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -359,6 +359,19 @@ def links(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, common.save(components(edges), "components")
 
 
+def _labelled(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, node, n_shingles, component_id, kept of every row."""
+    sketches = sketch(docs, words=words)
+    _, found = links(docs, sketches)
+    texts = sketches.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
+    labelled = texts.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
+    of_node = labelled.join(smallest, "label").select("node", "component_id")
+    out = sketches.select("doc_id", "node", F.col("n").alias("n_shingles")).join(of_node, "node", "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "node", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text; others ignored).
 
@@ -368,13 +381,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     component_id, so rows repeating that doc_id are all kept. An empty table
     gives no rows.
     """
-    rows = common.unique_columns(docs, "doc_id", "text")
-    sketches = sketch(rows, words=words)
-    _, found = links(rows, sketches)
-    texts = sketches.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
-    labelled = texts.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_node = labelled.join(smallest, "label").select("node", "component_id")
-    out = sketches.select("doc_id", "node", F.col("n").alias("n_shingles")).join(of_node, "node", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return _labelled(common.unique_columns(docs, "doc_id", "text"), words).drop("node")
+
+
+def without_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``docs`` without the rows that ``near_duplicates`` doesn't keep, all columns kept."""
+    gone = common.save(_labelled(common.unique_columns(docs, "doc_id", "text"), words).where("not kept").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct(), "duplicates")
+    if gone.count() <= SENT:
+        gone = F.broadcast(gone)
+    node = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (node == F.col("_node")), "left_anti")

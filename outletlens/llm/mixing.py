@@ -94,7 +94,7 @@ def plan(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), s
     return arrange(sized, most, weights, schedules)
 
 
-def arrange(sized: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), schedules=SCHEDULES) -> DataFrame:
+def arrange(sized: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), schedules=SCHEDULES, ordered: bool = True) -> DataFrame:
     """``plan`` over (doc_id, source, size) rows; any further columns stay."""
     spark = sized.sparkSession
     goal = targets(sized, most, weights).withColumnsRenamed({"source": "_of"})
@@ -113,4 +113,32 @@ def arrange(sized: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3
     )
     rest = [c for c in sized.columns if c not in ("doc_id", "source", "size")]
     out = done.select("doc_id", "size", "source_size", "target", "taken", "n_copies", "position", *[F.col("_start").alias("start"), F.col("_demand").alias("demand"), F.col("rank").alias("source_rank")], *rest)
+    if not ordered:
+        return out
     return out.repartitionByRange(common.parts(spark), F.asc_nulls_last("position"), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_last("position"), F.asc_nulls_first("doc_id"))
+
+
+def mixed(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), schedules=SCHEDULES) -> DataFrame:
+    """The documents of the mix: a row for each copy, range-sorted by training position, columns as in ``docs``.
+
+    Rows are told apart by their place in the files of ``docs``; what isn't
+    read from files is written first. The cut last copy of a source holds its
+    words with single spaces, and n_chars, where there is one, follows it.
+    """
+    spark = docs.sparkSession
+    if "_metadata" in docs.columns or not docs.inputFiles():
+        docs = common.save(docs, "mix-input")
+    place = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index")]
+    keyed = docs.select("*", *place)
+    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), *place)
+    planned = arrange(sized, most, weights, schedules, ordered=False).where("n_copies > 0")
+    copies = planned.select("_file", "_index", "size", "start", "demand", "source_size", "source_rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)).alias("_copy"))
+    begin = F.col("start") + F.col("_copy") * F.col("source_size")
+    timed = copies.select("_file", "_index", "size", F.least(F.col("size"), F.col("demand") - begin).alias("_words"), time_of(begin / F.greatest(F.col("demand"), F.lit(1)), _knots(F.col("source_rank"), schedules)).alias("_position"))
+    joined = keyed.join(timed, ["_file", "_index"])
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(common.WORD_PATTERN), F.lit(0)), F.lit(1), F.greatest(F.col("_words"), F.lit(1)).cast("int")), " ")
+    shorter = joined.withColumn("text", F.when(F.col("_words") < F.col("size"), cut).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        shorter = shorter.withColumn("n_chars", F.when(F.col("_words") < F.col("size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    order = [F.col("_position"), F.asc_nulls_first("doc_id")]
+    return shorter.repartitionByRange(common.parts(spark), *order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -17,6 +17,9 @@ values, whatever the size of the corpus.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,14 +150,18 @@ def _features(text: Column, m: Column) -> Column:
     return F.array(m["kind"], size, kind_of(before), kind_of(F.substring(text, m["end"] + 1, F.lit(1))), F.least(F.length(_digits(m["found"])), F.lit(20)).cast("string"))
 
 
+def _judged(docs: DataFrame) -> DataFrame:
+    """``docs`` with all candidates of every text: spans (start, kind, end, base, votes, features)."""
+    text = F.coalesce("text", F.lit(""))
+    with_base = docs.withColumn("_base", F.when(text.rlike("[0-9@+]"), base_spans(text)).otherwise(_none()))
+    with_more = with_base.withColumn("_more", F.when(text.rlike(rf"[0-9]|{NAME}"), _more_spans(text, F.col("_base"))).otherwise(_none()))
+    judged = lambda c, is_base: F.transform(c, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), F.lit(is_base).alias("base"), _votes(text, m).alias("votes"), _features(text, m).alias("features")))
+    return with_more.withColumn("_spans", F.concat(judged(F.col("_base"), True), judged(F.col("_more"), False))).drop("_base", "_more")
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and all candidates of every text: spans (start, kind, end, base, votes, features), saved."""
-    rows = common.unique_columns(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    with_base = rows.withColumn("base", F.when(F.col("text").rlike("[0-9@+]"), base_spans(F.col("text"))).otherwise(_none()))
-    with_more = with_base.withColumn("more", F.when(F.col("text").rlike(rf"[0-9]|{NAME}"), _more_spans(F.col("text"), F.col("base"))).otherwise(_none()))
-    t = F.col("text")
-    judged = lambda c, is_base: F.transform(c, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), F.lit(is_base).alias("base"), _votes(t, m).alias("votes"), _features(t, m).alias("features")))
-    return common.save(with_more.select("doc_id", F.concat(judged(F.col("base"), True), judged(F.col("more"), False)).alias("spans")), "candidates")
+    """doc_id and all candidates of every text (``spans``), saved."""
+    return common.save(_judged(common.unique_columns(docs, "doc_id", "text")).select("doc_id", F.col("_spans").alias("spans")), "candidates")
 
 
 #: One round of expectation-maximisation over (votes, n) patterns ``p`` from parameters ``s``: prior, and each labeler's share of 1 among its votes on personal (a) and other (b) spans.
@@ -188,8 +195,6 @@ def classifier(found: DataFrame, patterns: DataFrame) -> dict[tuple[int, str], f
     total = known.agg(yes.alias("yes"), no.alias("no")).select(F.lit(-1).alias("f"), F.lit("").alias("v"), "yes", "no")
     each = known.select(F.posexplode("features").alias("f", "v"), "k", "posterior").groupBy("f", "v").agg(yes.alias("yes"), no.alias("no"))
     rows = {(r["f"], r["v"]): (r["yes"] or 0.0, r["no"] or 0.0) for r in total.unionByName(each).collect()}  # one for each feature value
-    from math import log
-
     all_yes, all_no = rows.get((-1, ""), (0.0, 0.0))
     out = {(-1, ""): log((all_yes + 1) / (all_no + 1))}
     for key, (a, b) in rows.items():
@@ -198,6 +203,37 @@ def classifier(found: DataFrame, patterns: DataFrame) -> dict[tuple[int, str], f
     return out
 
 
+@dataclass
+class Model:
+    """Log odds of the classifier and probabilities of the vote patterns."""
+
+    prior: float
+    odds: dict[tuple[int, str], float]
+    patterns: dict[tuple[int, ...], float]
+
+    def keep(self, spans: Column, threshold: float) -> Column:
+        """Base spans and those candidates whose score reaches ``threshold``, each with its score."""
+        table = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair]) if pairs else F.create_map(F.lit(""), F.lit(0.0))
+        odds = table([(f"{f}:{v}", w) for (f, v), w in sorted(self.odds.items())])
+        patterns = table([(",".join(map(str, v)), p) for v, p in sorted(self.patterns.items())])
+
+        def score(m):
+            text = F.aggregate(F.sequence(F.lit(0), F.lit(len(FEATURES) - 1)), F.lit(self.prior), lambda acc, i: acc + F.coalesce(odds[F.concat_ws(":", i.cast("string"), F.get(m["features"], i))], F.lit(0.0)))
+            p = F.least(F.greatest(F.coalesce(patterns[F.array_join(F.transform(m["votes"], lambda v: v.cast("string")), ",")], F.lit(0.5)), F.lit(1e-6)), F.lit(1 - 1e-6))
+            return 1 / (1 + F.exp(-(text + F.log(p / (1 - p))) / 2))
+
+        scored = F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), m["base"].alias("base"), score(m).alias("score")))
+        return F.filter(scored, lambda m: m["base"] | (m["score"] >= threshold))
+
+
+def fit(found: DataFrame) -> Model:
+    """Labeler reliabilities and classifier from ``candidates``' spans."""
+    patterns = common.save(reliabilities(found), "reliabilities")
+    odds = classifier(found, patterns)
+    by_votes = {tuple(r["votes"]): float(r["posterior"]) for r in patterns.select("votes", "posterior").collect()}  # bounded by the number of patterns
+    return Model(float(odds.pop((-1, ""))), odds, by_votes)
+
+
 def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id and ``spans`` (start, kind, end, base, score) of every text.
 
@@ -207,21 +243,29 @@ def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     repeated rows give repeated results; an empty table gives no rows.
     """
     found = candidates(docs)
-    patterns = common.save(reliabilities(found), "reliabilities")
-    weights = classifier(found, patterns)
-    by_votes = {tuple(r["votes"]): r["posterior"] for r in patterns.select("votes", "posterior").collect()}
-    prior = weights.pop((-1, ""))
-    none = F.create_map(F.lit(""), F.lit(0.0))
-    odds = F.create_map(*[F.lit(x) for (f, v), w in sorted(weights.items()) for x in (f"{f}:{v}", float(w))]) if weights else none
-    post = F.create_map(*[F.lit(x) for v, p in sorted(by_votes.items()) for x in (",".join(map(str, v)), float(p))]) if by_votes else none
+    return found.select("doc_id", fit(found).keep(F.col("spans"), threshold).alias("spans"))
 
-    def score(m):
-        text = F.aggregate(F.sequence(F.lit(0), F.lit(len(FEATURES) - 1)), F.lit(float(prior)), lambda acc, i: acc + F.coalesce(odds[F.concat_ws(":", i.cast("string"), F.get(m["features"], i))], F.lit(0.0)))
-        p = F.least(F.greatest(F.coalesce(post[F.array_join(F.transform(m["votes"], lambda v: v.cast("string")), ",")], F.lit(0.5)), F.lit(1e-6)), F.lit(1 - 1e-6))
-        return 1 / (1 + F.exp(-(text + F.log(p / (1 - p))) / 2))
 
-    scored = F.transform("spans", lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), m["base"].alias("base"), score(m).alias("score")))
-    return found.select("doc_id", F.filter(scored, lambda m: m["base"] | (m["score"] >= threshold)).alias("spans"))
+def cleaned(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``docs`` with every span of ``detect`` replaced by its kind in brackets; n_chars, where there is one, follows.
+
+    Overlapping spans are replaced together, under the kind that starts first.
+    Null text stays null.
+    """
+    model = fit(candidates(docs))
+    marked = _judged(docs).withColumn("_spans", F.array_sort(model.keep(F.col("_spans"), threshold)))
+    t = F.col("text")
+
+    def step(acc, m):
+        after = F.concat(acc["out"], F.substring(t, acc["at"] + 1, m["start"] - acc["at"]), F.lit("["), F.upper(m["kind"]), F.lit("]"))
+        return F.when(m["start"] >= acc["at"], F.struct(m["end"].alias("at"), after.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], m["end"]).alias("at"), acc["out"].alias("out")))
+
+    cut = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
+    some = F.size("_spans") > 0
+    out = marked.withColumn("text", F.when(some, cut).otherwise(t))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _joined(spans: Column) -> Column:
@@ -235,16 +279,3 @@ def digest(detected: DataFrame) -> DataFrame:
     place = F.create_map(*[x for k, name in enumerate((*BASE, *MORE)) for x in (F.lit(name), F.lit(k))])
     ordered = F.array_sort(F.transform("spans", lambda m: F.struct(m["start"].alias("start"), place[m["kind"]].alias("place"), m["kind"].alias("kind"), m["end"].alias("end"))))
     return detected.select("doc_id", *map(count, BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(ordered).alias("spans"))
-
-
-def redact(docs: DataFrame, detected_text: Column | None = None) -> DataFrame:
-    """``docs`` with every base span of its text replaced by its kind in brackets; other columns stay."""
-    t = F.col("text") if detected_text is None else detected_text
-    spans = base_spans(t)
-    cut = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, m: F.when(m["start"] >= acc["at"], F.struct(m["end"].alias("at"), F.concat(acc["out"], F.substring(t, acc["at"] + 1, m["start"] - acc["at"]), F.lit("["), F.upper(m["kind"]), F.lit("]")).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], m["end"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))),
-    )
-    return docs.withColumn("text", F.when(t.rlike("[0-9@+]"), cut).otherwise(t))

@@ -82,9 +82,7 @@ def compare(articles: DataFrame, sentences: DataFrame, svo: DataFrame | None = N
     """
     rows = embedded(sentences.join(articles.select("pair_id", "article_id", "side"), "article_id").withColumnRenamed("sentence_idx", "idx"), embed_fn, "sentence")
     a, b = rows.where("side = 'a'"), rows.where("side = 'b'")
-    named = lambda t, n: t.select("pair_id", F.col("idx").alias(f"_{n}"), F.col("sentence").alias(f"sent_{n}"))
-    best = D.alignments(a, b, ["pair_id"], threshold)
-    x, y = named(a, "a"), named(b, "b")
-    aligned = best.join(x, (best["pair_id"] == x["pair_id"]) & (best["idx"] == x["_a"])).drop(x["pair_id"]).join(y, (best["pair_id"] == y["pair_id"]) & (best["match"] == y["_b"]), "left").drop(y["pair_id"])
+    named = lambda t, key, n: t.select("pair_id", F.col("idx").alias(key), F.col("sentence").alias(f"sent_{n}"))
+    aligned = D.alignments(a, b, ["pair_id"], threshold).join(named(a, "idx", "a"), ["pair_id", "idx"]).join(named(b, "match", "b"), ["pair_id", "match"], "left")
     with_text = lambda t, u: t.join(u.select("pair_id", "idx", "sentence"), ["pair_id", "idx"])
     return aligned.select("pair_id", "idx", "sent_a", "similarity", "sent_b"), with_text(D.unshared(a, b, ["pair_id"], threshold), a), with_text(D.unshared(b, a, ["pair_id"], threshold), b)

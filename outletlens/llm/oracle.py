@@ -1,5 +1,27 @@
 """DuckDB SQL for the operators' queries that SQL can express."""
 
+from outletlens.llm.mixing import SCHEDULES
+
+
+def _position() -> str:
+    """SQL for the time at which the schedule of rank ``rank`` has given out ``share`` of its area."""
+    n = lambda x: f"{x!r}::double"
+    cases = []
+    for k, knots in enumerate(SCHEDULES):
+        area, acc = [0.0], 0.0
+        for (t0, w0), (t1, w1) in zip(knots, knots[1:], strict=False):
+            acc += (t1 - t0) * (w0 + w1) / 2
+            area.append(acc)
+        parts = []
+        for i in reversed(range(len(knots) - 1)):
+            (t0, w0), (t1, w1), a = knots[i], knots[i + 1], area[i] / acc
+            w0, slope = w0 / acc, (w1 / acc - w0 / acc) / (t1 - t0)
+            root = f"sqrt(greatest({n(w0)} * {n(w0)} + {n(2 * slope)} * (share - {n(a)}), 0))"
+            parts.append(f"when {'true' if i == 0 else f'share >= {n(a)}'} then case when share - {n(a)} <= 0 then {n(t0)} else least({n(t1)}, {n(t0)} + 2 * (share - {n(a)}) / ({n(w0)} + {root})) end")
+        cases.append(f"when rank % {len(SCHEDULES)} = {k} then case {' '.join(parts)} end")
+    return f"case {' '.join(cases)} end"
+
+
 MIXING = """
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size, md5(doc_id::varchar) as mark
@@ -21,16 +43,22 @@ with sized as (
 ), final as (
   select arg_min(level_, (per_weight, rank)) as level_, min((per_weight, rank)) as at from levels where level_ <= per_weight
 ), goal as (
-  select source, source_size, case when (l.per_weight, l.rank) < f.at then l.capacity::double else coalesce(f.level_ * l.weight, l.capacity::double) end as target
+  select source, rank, source_size, case when (l.per_weight, l.rank) < f.at then l.capacity::double else coalesce(f.level_ * l.weight, l.capacity::double) end as target
   from levels l cross join final f
 ), placed as (
-  select s.doc_id, s.size, g.source_size, g.target, least(round(g.target)::bigint, 3 * g.source_size) as demand,
+  select s.doc_id, s.size, g.rank, g.source_size, g.target, least(round(g.target)::bigint, 3 * g.source_size) as demand,
     coalesce(sum(s.size) over (partition by s.source order by s.mark, s.doc_id, s.size rows between unbounded preceding and 1 preceding), 0)::bigint as start_
   from sized s join goal g on s.source is not distinct from g.source
 ), rounds as (
   select *, case when source_size > 0 then demand // source_size else 0 end as rounds from placed
+), parts as (
+  select *, greatest(0, least(size, demand - rounds * source_size - start_)) as part, start_::double / greatest(demand, 1)::double as share from rounds
+), done as (
+  select *, (rounds * size + part)::bigint as taken from parts
 )
-select doc_id, size, source_size, target, (rounds * size + greatest(0, least(size, demand - rounds * source_size - start_)))::bigint as taken from rounds
+select doc_id, size, source_size, target, taken, case when taken > 0 then (rounds + (part > 0)::bigint)::bigint else 0 end as n_copies,
+  case when taken > 0 then POSITION end as position
+from done
 """
 
 PREFERENCES = """
@@ -76,4 +104,4 @@ with v as (
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
-ORACLE = {"op2_exact_top_k": TOP_K, "op8_chat_formatting": PREFERENCES}
+ORACLE = {"op2_exact_top_k": TOP_K, "op9_mixing": MIXING.replace("POSITION", _position()), "op8_chat_formatting": PREFERENCES}

@@ -11,8 +11,11 @@ many documents share out of the lists. Sketches of the union then estimate the
 similarity of listed pairs, and whole shingle sets decide.
 
 Texts are nodes by their hash, so a group of equal texts is one node. A list
-longer than ``LIST`` first links its members to three of them only; pairs of a
+longer than ``LIST`` first links its members to two of them only; pairs of a
 long list that are in different components after that are tested one by one.
+A pair is dropped where its places in a list leave too few further values to
+share: in the first list that it has in common nothing came before, so no
+similar pair is lost.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from outletlens.llm import common
 from outletlens.llm.components import components
-from outletlens.llm.pieces import RangeHash, raw_texts, slices
+from outletlens.llm.pieces import RangeHash, mix, raw_texts, slices
 
 WORDS = 5
 SIMILAR = 75
@@ -32,13 +35,19 @@ K = 256
 SMALL, SHARED = 200, 150
 #: Values of a sketch that estimate a union, and the estimate below which a pair is dropped: six standard deviations under the threshold.
 FILTER_K, FILTER_LEAST = 64, 0.42
-LIST = 32
+LIST = 6
+#: Rounds in which long lists whose members are still apart link them to so many of their largest part and of the others, before all their pairs are tested.
+STARS = (16, 64)
+#: A group of near copies shares many lists, so each of these rounds takes one in so many; the last round takes all.
+STAR_SHARE = 4
 #: The most frequent retained values are ordered by count; of all others only the hash counts. Bounds what is sent to executors (2 MB).
 HOT, HOT_LEAST = 1 << 17, 8
 #: Candidate nodes up to this number may be broadcast (16 MB) to find their texts.
 SENT = 1 << 21
 
 SKETCH = "doc_id long, node long, n long, sketch binary"
+POSTING = "value long, node long, n long, place int"
+MET = "kind int, a long, b long, n long, place int"
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -118,7 +127,7 @@ def hot_values(sketches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for _, raw in _fresh(batches, ("node", "sketch")):
             held.append(np.frombuffer(raw, np.uint64))
             size += len(held[-1])
-            if size > 4_000_000:
+            if size > 1_000_000:
                 yield packed(held)
                 held, size = [], 0
         if held:
@@ -153,19 +162,20 @@ def listed(n: int) -> int:
 
 
 def postings(sketches: DataFrame) -> DataFrame:
-    """(value, node, n): the inverted lists; a node may be listed again by another task."""
+    """(value, node, n, place): the inverted lists; place counts a node's values from 1. A node may be listed again by another task."""
     hot = sketches.sparkSession.sparkContext.broadcast(hot_values(sketches))
 
     def run(batches):
         import pyarrow as pa
 
         often, count = hot.value
-        schema = common.arrow_schema("value long, node long, n long")
+        schema = common.arrow_schema(POSTING)
 
         def packed(held):
             v = np.concatenate([x for _, _, x in held])
             size = np.array([len(x) for _, _, x in held])
-            return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(np.repeat([x for x, _, _ in held], size)), pa.array(np.repeat([x for _, x, _ in held], size))], schema=schema)
+            place = np.arange(1, len(v) + 1) - np.repeat(np.cumsum(size) - size, size)
+            return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(np.repeat([x for x, _, _ in held], size)), pa.array(np.repeat([x for _, x, _ in held], size)), pa.array(place.astype(np.int32))], schema=schema)
 
         held, size = [], 0
         for node, n, raw in _fresh(batches, ("node", "n", "sketch")):
@@ -183,15 +193,20 @@ def postings(sketches: DataFrame) -> DataFrame:
         if held:
             yield packed(held)
 
-    return sketches.select("node", "n", "sketch").mapInArrow(run, "value long, node long, n long")
+    return sketches.select("node", "n", "sketch").mapInArrow(run, POSTING)
 
 
-def _near_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 100 * np.minimum(a, b) >= SIMILAR * np.maximum(a, b)
+def _may_be_near(n: np.ndarray, place: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of rows x, y of a list can be similar by their sizes and by the values that follow their places."""
+    a, b = n[x], n[y]
+    near = 100 * np.minimum(a, b) >= SIMILAR * np.maximum(a, b)
+    shared = 1 + np.minimum(np.minimum(a, K) - place[x], np.minimum(b, K) - place[y])
+    need = np.where(np.maximum(a, b) <= K, -(-SIMILAR * (a + b) // (100 + SIMILAR)), SHARED)
+    return near & (shared >= need)
 
 
 def _groups(batches, columns):
-    """Arrays of ``columns`` in whole groups of the first, which the input is sorted by."""
+    """Arrays of ``columns`` in whole groups of the first, whose equal values come one after another."""
     left = None
     for batch in batches:
         now = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
@@ -199,7 +214,8 @@ def _groups(batches, columns):
             now = [np.concatenate(x) for x in zip(left, now, strict=True)]
         if not len(now[0]):
             continue
-        cut = int(np.searchsorted(now[0], now[0][-1]))
+        others = np.flatnonzero(now[0] != now[0][-1])
+        cut = int(others[-1]) + 1 if len(others) else 0
         left = [x[cut:] for x in now]
         if cut:
             yield [x[:cut] for x in now]
@@ -215,19 +231,19 @@ def _pair_batch(a, b, kind, schema):
     low, high = low[order], high[order]
     first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(low) else np.zeros(0, np.int64)
     count = np.diff(np.append(first, len(low)))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), kind, np.int32)), pa.array(low[first]), pa.array(high[first]), pa.array(count)], schema=schema)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), kind, np.int32)), pa.array(low[first]), pa.array(high[first]), pa.array(count), pa.array(np.zeros(len(first), np.int32))], schema=schema)
 
 
 def meet(lists: DataFrame) -> DataFrame:
-    """Rows (kind, a, b, n) from inverted lists: kind 0, the pair a < b met in n lists; kind 1, node b of size n is in the long list a."""
+    """Rows (kind, a, b, n, place) from inverted lists: kind 0, the pair a < b met in n lists; kind 1, node b of size n has this place in the long list a."""
 
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
-        for value, node, n in _groups(batches, ("value", "node", "n")):
+        schema = common.arrow_schema(MET)
+        for value, node, n, place in _groups(batches, ("value", "node", "n", "place")):
             keep = np.concatenate([[True], (value[1:] != value[:-1]) | (node[1:] != node[:-1])])
-            value, node, n = value[keep], node[keep], n[keep]
+            value, node, n, place = value[keep], node[keep], n[keep], place[keep]
             first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
             size = np.diff(np.append(first, len(value)))
             left, right = [], []
@@ -235,50 +251,95 @@ def meet(lists: DataFrame) -> DataFrame:
                 at = first[size == s][:, None] + np.arange(s)
                 i, j = np.triu_indices(s, 1)
                 x, y = at[:, i].ravel(), at[:, j].ravel()
-                near = _near_sizes(n[x], n[y])
+                near = _may_be_near(n, place, x, y)
                 left.append(node[x[near]])
                 right.append(node[y[near]])
             long = [(f, s) for f, s in zip(first[size > LIST].tolist(), size[size > LIST].tolist(), strict=True)]
             for f, s in long:
                 by_size = f + np.argsort(n[f : f + s], kind="stable")
-                for pivot in (f, f + s - 1, int(by_size[s // 2])):
-                    near = _near_sizes(n[f : f + s], n[pivot]) & (np.arange(f, f + s) != pivot)
+                all_of = np.arange(f, f + s)
+                for pivot in {f, int(by_size[0])}:
+                    near = _may_be_near(n, place, all_of, np.full(s, pivot)) & (all_of != pivot)
                     left.append(node[f : f + s][near])
                     right.append(np.full(near.sum(), node[pivot]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(s, 1, np.int32)), pa.array(value[f : f + s]), pa.array(node[f : f + s]), pa.array(n[f : f + s])], schema=schema)
+            if long:
+                members = np.concatenate([np.arange(f, f + s) for f, s in long])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(members), np.int32)), pa.array(value[members]), pa.array(node[members]), pa.array(n[members]), pa.array(place[members])], schema=schema)
             if left:
                 yield _pair_batch(np.concatenate(left), np.concatenate(right), 0, schema)
 
     spark = lists.sparkSession
     dealt = lists.repartition(common.parts(spark), "value").sortWithinPartitions("value", "node")
-    return dealt.mapInArrow(run, "kind int, a long, b long, n long")
+    return dealt.mapInArrow(run, MET)
 
 
-def _apart(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a long list (value, node, n, label) with different labels and near sizes."""
+def _apart(members: DataFrame, star: int) -> DataFrame:
+    """Different pairs (a, b) of long lists (value, node, n, place, label) that may be near and have different labels.
 
-    def run(batches):
+    With ``star`` only the pairs of so many members of a list's most common
+    label and so many others, the first by hash. Similar documents share many
+    lists, so pairs come up often: a task packs its own into arrays by a range
+    of the first node, where the same pairs of all tasks meet.
+    """
+    ranges = 4 * common.parts(members.sparkSession)
+    packed = "range int, pairs binary"
+
+    def pack(held):
         import pyarrow as pa
 
-        schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
-        for value, node, n, label in _groups(batches, ("value", "node", "n", "label")):
+        a, b = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        low, high = _different(low, high)
+        where = (mix(low.view(np.uint64)) % np.uint64(ranges)).astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        both, cut = np.stack([low, high], axis=1)[order], np.searchsorted(where[order], np.arange(ranges + 1))
+        some = np.flatnonzero(np.diff(cut))
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([both[cut[r] : cut[r + 1]].tobytes() for r in some], pa.binary())], schema=common.arrow_schema(packed))
+
+    def run(batches):
+        held, size = [], 0
+        for value, node, n, place, label in _groups(batches, ("value", "node", "n", "place", "label")):
             first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
-            left, right, size = [], [], 0
-            for f, e in zip(first.tolist(), np.append(first[1:], len(value)).tolist(), strict=True):
-                for i in range(f, e - 1):  # sorted by n within a list
-                    to = i + 1 + int(np.searchsorted(n[i + 1 : e], 100 * n[i] // SIMILAR, side="right"))
-                    other = np.flatnonzero(label[i + 1 : to] != label[i]) + i + 1
-                    left.append(np.full(len(other), node[i]))
-                    right.append(node[other])
+            for f, e in zip(first.tolist(), np.append(first[1:], len(value)).tolist(), strict=True):  # sorted by n within a list
+                if star:
+                    names, count = np.unique(label[f:e], return_counts=True)
+                    most = label[f:e] == names[count.argmax()]
+                    order = np.argsort(mix(node[f:e].view(np.uint64)))
+                    pivots = np.concatenate([order[most[order]][:star], order[~most[order]][:star]]) + f
+                    from_to = [(i, np.arange(f, e)) for i in pivots.tolist()]
+                else:
+                    from_to = ((i, np.arange(i + 1, i + 1 + int(np.searchsorted(n[i + 1 : e], 100 * n[i] // SIMILAR, side="right")))) for i in range(f, e - 1))
+                for i, to in from_to:
+                    other = to[label[to] != label[i]]
+                    other = other[_may_be_near(n, place, other, np.full(len(other), i))]
+                    held.append((np.full(len(other), node[i]), node[other]))
                     size += len(other)
-                    if size > 500_000:
-                        yield _pair_batch(np.concatenate(left), np.concatenate(right), 0, schema)
-                        left, right, size = [], [], 0
-            if size:
-                yield _pair_batch(np.concatenate(left), np.concatenate(right), 0, schema)
+                    if size > 400_000:
+                        yield pack(held)
+                        held, size = [], 0
+        if size:
+            yield pack(held)
 
-    dealt = members.repartition(common.parts(members.sparkSession), "value").sortWithinPartitions("value", "n", "node")
-    return dealt.mapInArrow(run, "kind int, a long, b long, n long").select("a", "b").distinct()
+    def unpack(batches):
+        import pyarrow as pa
+
+        parts = [np.frombuffer(x, np.int64) for batch in batches for x in batch.column("pairs").to_pylist()]
+        if parts:
+            both = np.concatenate(parts).reshape(-1, 2)
+            low, high = _different(both[:, 0], both[:, 1])
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], schema=common.arrow_schema("a long, b long"))
+
+    n = common.parts(members.sparkSession)
+    made = members.repartition(n, "value").sortWithinPartitions("value", "n", "node").mapInArrow(run, packed)
+    return made.repartition(n, "range").mapInArrow(unpack, "a long, b long")
+
+
+def _different(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in order, each once."""
+    order = np.lexsort((high, low))
+    low, high = low[order], high[order]
+    new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) if len(low) else np.zeros(0, bool)
+    return low[new], high[new]
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -331,7 +392,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFra
                 keep.append(100 * both >= SIMILAR * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=common.arrow_schema("a long, b long")).filter(pa.array(keep, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = common.save(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
     if wanted.count() <= SENT:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text").join(wanted, "node", "left_semi")
@@ -343,20 +404,25 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFra
 
 def links(docs: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Confirmed links (a, b) between nodes, and the components (node, label) that they make."""
-    met = common.save(meet(postings(sketches)).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")), "met")
-    pairs = met.where("kind = 0").select("a", "b")
-    edges = common.save(_confirmed(common.save(_likely(pairs, sketches), "likely"), docs), "links")
+    met = common.save(meet(postings(sketches)).groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.max("place").alias("place")), "met")
+    tested = met.where("kind = 0").select("a", "b")
+    edges = common.save(_confirmed(common.save(_likely(tested, sketches), "likely"), docs), "links")
     found = common.save(components(edges), "components")
-    long = met.where("kind = 1").select(F.col("a").alias("value"), F.col("b").alias("node"), "n").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = long.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("value")
-    apart = common.save(_apart(long.join(mixed, "value").select("value", "node", "n", "label")).join(pairs, ["a", "b"], "left_anti"), "apart")
-    if apart.isEmpty():
-        return edges, found
-    more = common.save(_confirmed(common.save(_likely(apart, sketches), "likely"), docs), "links")
-    if more.isEmpty():
-        return edges, found
-    edges = edges.unionByName(more)
-    return edges, common.save(components(edges), "components")
+    listed_in = met.where("kind = 1").select(F.col("a").alias("value"), F.col("b").alias("node"), "n", "place")
+    for turn, star in enumerate((*STARS, 0)):
+        some = listed_in.where(F.shiftrightunsigned("value", 7).bitwiseAND(F.lit(STAR_SHARE - 1)) == turn) if star else listed_in
+        long = some.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = long.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("value")
+        members = common.save(long.join(mixed, "value").select("value", "node", "n", "place", "label"), "members")  # else the planner takes the join's partitions, which it may split, for those of whole lists
+        apart = common.save(_apart(members, star).join(tested, ["a", "b"], "left_anti"), "apart")
+        if apart.isEmpty():
+            continue
+        tested = tested.unionByName(apart)
+        more = common.save(_confirmed(apart, docs), "links")  # what shares a long list is rarely ruled out by an estimate
+        if not more.isEmpty():
+            edges = edges.unionByName(more)
+            found = common.save(components(edges), "components")
+    return edges, found
 
 
 def _labelled(docs: DataFrame, words: int) -> DataFrame:

@@ -128,17 +128,18 @@ def mixed(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3),
     spark = docs.sparkSession
     if "_metadata" in docs.columns or not docs.inputFiles():
         docs = common.save(docs, "mix-input")
-    place = [F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index")]
+    place = [F.xxhash64("_metadata.file_path").alias("_mix_file"), F.col("_metadata.row_index").alias("_mix_index")]
     keyed = docs.select("*", *place)
     sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), *place)
     planned = arrange(sized, most, weights, schedules, ordered=False).where("n_copies > 0")
-    copies = planned.select("_file", "_index", "size", "start", "demand", "source_size", "source_rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)).alias("_copy"))
+    copies = planned.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
     begin = F.col("start") + F.col("_copy") * F.col("source_size")
-    timed = copies.select("_file", "_index", "size", F.least(F.col("size"), F.col("demand") - begin).alias("_words"), time_of(begin / F.greatest(F.col("demand"), F.lit(1)), _knots(F.col("source_rank"), schedules)).alias("_position"))
-    joined = keyed.join(timed, ["_file", "_index"])
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(common.WORD_PATTERN), F.lit(0)), F.lit(1), F.greatest(F.col("_words"), F.lit(1)).cast("int")), " ")
-    shorter = joined.withColumn("text", F.when(F.col("_words") < F.col("size"), cut).otherwise(F.col("text")))
+    n = F.least(F.col("size"), F.col("demand") - begin)
+    timed = copies.select("_mix_file", "_mix_index", n.alias("_mix_words"), (n < F.col("size")).alias("_mix_cut"), time_of(begin / F.greatest(F.col("demand"), F.lit(1)), _knots(F.col("source_rank"), schedules)).alias("_mix_position"))
+    joined = keyed.join(timed, ["_mix_file", "_mix_index"])
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(common.WORD_PATTERN), F.lit(0)), F.lit(1), F.greatest(F.col("_mix_words"), F.lit(1)).cast("int")), " ")
+    shorter = joined.withColumn("text", F.when(F.col("_mix_cut"), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        shorter = shorter.withColumn("n_chars", F.when(F.col("_words") < F.col("size"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    order = [F.col("_position"), F.asc_nulls_first("doc_id")]
+        shorter = shorter.withColumn("n_chars", F.when(F.col("_mix_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    order = [F.col("_mix_position"), F.asc_nulls_first("doc_id")]
     return shorter.repartitionByRange(common.parts(spark), *order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -44,6 +44,8 @@ STAR_SHARE = 4
 HOT, HOT_LEAST = 1 << 17, 8
 #: Candidate nodes up to this number may be broadcast (16 MB) to find their texts.
 SENT = 1 << 21
+#: Whole sets of at most so many nodes and bytes are broadcast to their pairs; others are shuffled.
+FEW, SENT_BYTES = 1 << 14, 16 << 20
 
 SKETCH = "doc_id long, node long, n long, sketch binary"
 POSTING = "value long, node long, n long, place int"
@@ -393,10 +395,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=common.arrow_schema("a long, b long")).filter(pa.array(keep, pa.bool_()))
 
     wanted = common.save(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
-    if wanted.count() <= SENT:
+    n = wanted.count()
+    if n <= SENT:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text").join(wanted, "node", "left_semi")
     whole = texts.select("node", "text").mapInArrow(sets, "node long, whole binary").dropDuplicates(["node"])
+    if n <= FEW:
+        whole = common.save(whole, "sets")
+        if (whole.agg(F.sum(F.length("whole"))).first()[0] or 0) <= SENT_BYTES:
+            whole = F.broadcast(whole)
     one = pairs.join(whole, pairs["a"] == whole["node"]).select("a", "b", F.col("whole").alias("x"))
     two = one.join(whole, one["b"] == whole["node"]).select("a", "b", "x", F.col("whole").alias("y"))
     return two.mapInArrow(verify, "a long, b long")

@@ -101,7 +101,7 @@ def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
         count, n, seen = np.zeros(1 << BITS, np.int64), 0, np.zeros(1 << BITS, bool)
         for batch in batches:
-            for a, b in slices(batch.column("text"), 1 << 20):
+            for a, b in slices(batch.column("text"), 1 << 18):
                 part = batch.column("text").slice(a, b - a).to_pylist()
                 of, feature, _ = grams(part)
                 order = np.argsort(of, kind="stable")
@@ -131,24 +131,25 @@ def _sampled(labelled: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray
         return []
     share = F.create_map(*[F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, min(1.0, SAMPLE / n))])
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id", "text"), 11) / F.lit(float(1 << 53))
-    chosen = labelled.where(draw < share[F.col("lang")]).limit(SAMPLE_TOTAL)
+    chosen = labelled.where(draw < share[F.col("lang")]).select("lang", fold_of(F.col("doc_id")).cast("long").alias("fold"), "text")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            part = batch.column("text").to_pylist()
-            of, feature, _ = grams(part)
-            order = np.argsort(of, kind="stable")
-            feature, cut = feature[order], np.searchsorted(of[order], np.arange(len(part) + 1))
-            f, v = [], []
-            for i in range(len(part)):
-                x, n = np.unique(feature[cut[i] : cut[i + 1]], return_counts=True)
-                f.append(x.astype(np.uint16).tobytes())
-                v.append((n / max(1, n.sum())).astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("fold"), pa.array(f, pa.binary()), pa.array(v, pa.binary())], schema=common.arrow_schema("lang string, fold long, f binary, v binary"))
-
-    rows = chosen.select("lang", fold_of(F.col("doc_id")).cast("long").alias("fold"), "text").mapInArrow(run, "lang string, fold long, f binary, v binary").collect()
+            for a, b in slices(batch.column("text"), 1 << 18):
+                part = batch.column("text").slice(a, b - a).to_pylist()
+                of, feature, _ = grams(part)
+                order = np.argsort(of, kind="stable")
+                feature, cut = feature[order], np.searchsorted(of[order], np.arange(len(part) + 1))
+                f, v = [], []
+                for i in range(len(part)):
+                    x, n = np.unique(feature[cut[i] : cut[i + 1]], return_counts=True)
+                    f.append(x.astype(np.uint16).tobytes())
+                    v.append((n / max(1, n.sum())).astype(np.float32).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), batch.column("fold").slice(a, b - a), pa.array(f, pa.binary()), pa.array(v, pa.binary())], schema=common.arrow_schema("lang string, fold long, f binary, v binary"))
+
+    rows = chosen.mapInArrow(run, "lang string, fold long, f binary, v binary").limit(SAMPLE_TOTAL).collect()
     made = [(r["lang"], r["fold"], np.frombuffer(r["f"], np.uint16).astype(np.int64), np.frombuffer(r["v"], np.float32)) for r in rows]
     return sorted(made, key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
 
@@ -228,7 +229,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
         model = held.value
         for batch in batches:
-            for a, b in slices(batch.column("text"), 1 << 20):
+            for a, b in slices(batch.column("text"), 1 << 18):
                 part = batch.column("text").slice(a, b - a).to_pylist()
                 if model is None:
                     lang, score = [UNKNOWN] * len(part), [0.0] * len(part)
@@ -254,7 +255,7 @@ def accepted(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
 
         model = held.value or Model([UNKNOWN], np.zeros((1, 1 << BITS)), np.zeros(1), 1.0)
         for batch in batches:
-            for a, b in slices(batch.column("text"), 1 << 20):
+            for a, b in slices(batch.column("text"), 1 << 18):
                 part = batch.slice(a, b - a)
                 p, letters = model.scores(part.column("text").to_pylist())
                 yield part.filter(pa.array(letters & (p.max(axis=1) >= least)))

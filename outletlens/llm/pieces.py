@@ -127,7 +127,7 @@ class Encoder:
     ordinary text. The table of pieces restarts at ``most`` entries.
     """
 
-    def __init__(self, path: str, style: str, most: int = 1_500_000) -> None:
+    def __init__(self, path: str, style: str, most: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -252,7 +252,7 @@ def encoder(path: str, style: str) -> Encoder:
     return _encoders[path, style]
 
 
-def slices(column, most: int = 2 << 20):
+def slices(column, most: int = 1 << 20):
     """Row ranges of an Arrow string or binary column of about ``most`` bytes each, or one row."""
     n = len(column)
     if not n:

@@ -352,8 +352,8 @@ def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):  # no copies: sets can be long
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 u, c = np.unique(np.concatenate([p, q]), return_counts=True)
                 full = min(len(p), len(q)) if max(len(p), len(q)) >= FILTER_K else len(u)
                 keep.append((c[:full] == 2).sum() >= FILTER_LEAST * full)
@@ -386,8 +386,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFra
 
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):  # no copies: sets can be long
+                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 if len(p) > len(q):
                     p, q = q, p
                 both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())

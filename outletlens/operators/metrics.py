@@ -39,12 +39,36 @@ def cluster_pairs(members: DataFrame, by: list[str]) -> DataFrame:
     return members.select(*by, "cluster", F.col("text").alias("a")).join(other, [*by, "cluster"]).where("a < b").select(*by, "a", "b").distinct()
 
 
+def _subsets(name: str) -> Column:
+    """Every non-empty subset of the array ``name``."""
+    return F.expr(f"transform(sequence(1L, shiftleft(1L, size({name})) - 1), m -> filter({name}, (x, i) -> getbit(m, i) = 1))")
+
+
+def _shared_pairs(texts: DataFrame, by: list[str], sets: list[str], name: str) -> DataFrame:
+    """Unordered pairs of texts that share a cluster in each of ``sets`` (arrays of clusters): by..., ``name``.
+
+    Texts with the same subset of clusters are counted and n * (n - 1) / 2 pairs
+    added for an odd, taken off for an even size of it, so no pair is made and
+    none counts twice where a text is in several clusters.
+    """
+    odd = F.lit(0)
+    for c in sets:
+        texts = texts.where(f"size({c}) > 0").withColumn(c, F.explode(_subsets(c)))
+        odd = odd + F.size(c) + 1
+    n = texts.groupBy(*by, *sets).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = F.expr("_n * (_n - 1) div 2")
+    return n.groupBy(*by).agg(F.sum(F.when(odd % 2 == 0, pairs).otherwise(-pairs)).alias(name))
+
+
 def clustering(gold: DataFrame, pred: DataFrame, by: list[str]) -> DataFrame:
-    """Pair precision, recall, F1 and Rand index of two clusterings of the same texts."""
-    g, p = cluster_pairs(gold, by).withColumn("_g", F.lit(True)), cluster_pairs(pred, by).withColumn("_p", F.lit(True))
-    both = g.join(p, [*by, "a", "b"], "full").groupBy(*by).agg(F.count_if(F.col("_g").isNotNull() & F.col("_p").isNotNull()).alias("tp"), F.count_if(F.col("_g").isNull()).alias("fp"), F.count_if(F.col("_p").isNull()).alias("fn"))
+    """Pair precision, recall, F1 and Rand index of two clusterings of the same texts, from counts."""
+    of = lambda rows, name: rows.dropna(subset=[*by, "cluster", "text"]).groupBy(*by, "text").agg(F.array_sort(F.collect_set("cluster")).alias(name))
+    each = of(gold, "_g").join(of(pred, "_p"), [*by, "text"], "full")
     texts = gold.select(*by, "text").unionByName(pred.select(*by, "text")).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    joined = texts.join(both, by, "left").na.fill(0, ["tp", "fp", "fn"])
+    joined = texts
+    for sets, name in ((["_g", "_p"], "tp"), (["_p"], "_pred"), (["_g"], "_gold")):
+        joined = joined.join(_shared_pairs(each, by, sets, name), by, "left").na.fill(0, [name])
+    joined = joined.withColumn("fp", F.col("_pred") - F.col("tp")).withColumn("fn", F.col("_gold") - F.col("tp")).select(*by, "n", "tp", "fp", "fn")
     tp, fp, fn, pairs = F.col("tp"), F.col("fp"), F.col("fn"), F.col("n") * (F.col("n") - 1) / 2
     out = joined.withColumn("precision", _share(tp, tp + fp, 1.0)).withColumn("recall", _share(tp, tp + fn, 1.0))
     both_ = F.col("precision") + F.col("recall")

@@ -301,11 +301,27 @@ pairs as (select a.lang, a.g = b.g as g, a.p = b.p as p from d a join d b on a.l
 c as (select lang, count(*) filter (where g and p) as tp, count(*) filter (where not g and p) as fp, count(*) filter (where g and not p) as fn, count(*) as n from pairs group by lang)
 select lang, tp, fp, fn, case when n = 0 then 1.0 else (n - fp - fn) / n end as rand from c""")
 def pair_metrics(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").where("doc_id < 300").withColumn("text", F.col("doc_id").cast("string"))  # the query asks about these documents
+    return _pair_metrics(_t(spark, sf_dir, "documents").where("doc_id < 300"))  # as the SQL has it; pair_metrics_all reads all
+
+
+def _pair_metrics(documents: DataFrame) -> DataFrame:
+    d = documents.withColumn("text", F.col("doc_id").cast("string"))
     gold, pred = d.select("lang", F.col("source").alias("cluster"), "text"), d.select("lang", F.concat(F.lit("k"), F.col("doc_id") % 7).alias("cluster"), "text")
     return M.clustering(gold, pred, ["lang"]).select("lang", "tp", "fp", "fn", "rand")
 
 
+@query("""with d as (select lang, source as g, doc_id % 7 as p from documents),
+g as (select lang, (sum(n * (n - 1)) // 2)::bigint as n from (select lang, count(*) as n from d where g is not null group by lang, g) group by lang),
+p as (select lang, (sum(n * (n - 1)) // 2)::bigint as n from (select lang, count(*) as n from d where p is not null group by lang, p) group by lang),
+b as (select lang, (sum(n * (n - 1)) // 2)::bigint as n from (select lang, count(*) as n from d where g is not null and p is not null group by lang, g, p) group by lang),
+a as (select lang, count(*) * (count(*) - 1) / 2 as n from d group by lang),
+c as (select lang, a.n, coalesce(b.n, 0) as tp, coalesce(p.n, 0) - coalesce(b.n, 0) as fp, coalesce(g.n, 0) - coalesce(b.n, 0) as fn from a left join g using (lang) left join p using (lang) left join b using (lang))
+select lang, tp, fp, fn, case when n = 0 then 1.0 else (n - fp - fn) / n end as rand from c""")
+def pair_metrics_all(spark, sf_dir):
+    """``pair_metrics`` over every document."""
+    return _pair_metrics(_t(spark, sf_dir, "documents"))
+
+
 @query("select role as category, count(*) as n, count(*) filter (where turn % 2 = 1) as n_merged, count(*) filter (where turn % 2 = 1) / count(*) as rate from conversations group by role")
 def false_merge_by_category(spark, sf_dir):
     return M.false_merges(_t(spark, sf_dir, "conversations").select(F.col("role").alias("category"), (F.col("turn") % 2 == 1).alias("merged")))

@@ -101,24 +101,32 @@ def clusters(claims: DataFrame, edges: DataFrame, components: DataFrame | None =
     return ids.join(found, ["event_id", "idx"], "left").withColumn("cluster", F.coalesce("cluster", "idx"))
 
 
-def connected(edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """(event_id, node, label) by pointer jumping: each round takes the smallest label around, then that label's own."""
+def connected(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """(event_id, node, label) of every node of ``edges``; label is the smallest node of its component.
+
+    Each round moves every edge towards the smallest neighbour, first seen from
+    the smaller end (large star), then from the larger (small star), until no
+    edge changes. Edges that don't settle are an error, never a result.
+    """
     from outletlens.plans.shared import save
 
-    e = edges.select("event_id", F.col("i").alias("u"), F.col("j").alias("v"))
-    both = save(e.unionByName(e.select("event_id", F.col("v").alias("u"), F.col("u").alias("v"))), "pairs")
-    label = both.groupBy("event_id", "u").agg(F.least(F.min("v"), F.first("u")).alias("label"))
-    for _ in range(rounds):
-        now = save(label, "labels")
-        around = both.join(now.withColumnsRenamed({"u": "v", "label": "l"}), ["event_id", "v"]).groupBy("event_id", "u").agg(F.min("l").alias("l"))
-        lower = now.join(around, ["event_id", "u"]).select("event_id", "u", F.least("label", "l").alias("label"))
-        jump = lower.join(lower.select("event_id", F.col("u").alias("label"), F.col("label").alias("next")), ["event_id", "label"], "left")
-        label = jump.select("event_id", "u", F.least("label", F.coalesce("next", "label")).alias("label"))
-        after = save(label, "labels")
-        if after.join(now.withColumnRenamed("label", "was"), ["event_id", "u"]).where("label <> was").isEmpty():
-            return after.withColumnRenamed("u", "node")
-        label = after
-    return label.withColumnRenamed("u", "node")
+    mark = lambda t: tuple(t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("event_id", "u", "v").cast("decimal(38,0)"))).first())
+    key, least = ["event_id", "u"], F.min("v").alias("m")
+    now = save(edges.select("event_id", F.greatest("i", "j").alias("u"), F.least("i", "j").alias("v")).where("u <> v").distinct(), "edges")
+    was = mark(now)
+    for _ in range(most_rounds):
+        both = now.unionByName(now.select("event_id", F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.where("v > u").join(both.groupBy(*key).agg(least), key).select("event_id", F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        low = large.groupBy(*key).agg(least)
+        rest = large.join(low, key).where("v <> m").select("event_id", F.col("v").alias("u"), F.col("m").alias("v"))
+        now = save(low.withColumnRenamed("m", "v").unionByName(rest).distinct(), "edges")
+        after = mark(now)
+        if after == was:
+            break
+        was = after
+    else:
+        raise RuntimeError("components didn't settle")
+    return now.select("event_id", F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select("event_id", F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
 
 
 def representatives(members: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -46,3 +46,32 @@ def test_clustering_of_many_texts(spark):
     rows = spark.range(n).selectExpr("'e' as event_id", "'c' as cluster", "cast(id as string) as text")
     r = M.clustering(rows, rows, ["event_id"]).first()
     assert (r.tp, r.fp, r.fn, r.rand) == (n * (n - 1) // 2, 0, 0, 1.0)
+
+
+def test_connected_settles_on_long_chains(spark):
+    """Chains with random node numbers, the same numbers in two events, a hub and repeated edges."""
+    from outletlens.operators import claims as C
+
+    rnd = random.Random(5)
+    edges, want = [], {}
+    for event, size in (("a", 300), ("b", 300), ("b", 7)):
+        start = 1000 if size == 7 else 0
+        nodes = rnd.sample(range(start, start + size), size)
+        edges += [(event, *rnd.sample(e, 2)) for e in zip(nodes, nodes[1:], strict=False)]
+        want |= {(event, n): start for n in nodes}
+    edges += [("c", 9, n) for n in range(10, 60)] + edges[:5]
+    want |= {("c", n): 9 for n in range(9, 60)}
+    found = C.connected(spark.createDataFrame(edges, "event_id string, i long, j long")).collect()
+    assert len(found) == len(want) and {(r.event_id, r.node): r.label for r in found} == want
+
+
+def test_a_chain_of_claims_is_one_component(spark):
+    """A claim has one cluster, however long the chain of candidates around it."""
+    from outletlens.operators import claims as C
+
+    nodes = random.Random(6).sample(range(400), 400)
+    pairs = [("e", *sorted(e), 0.9 - k / 1000) for k, e in enumerate(zip(nodes, nodes[1:], strict=False))]
+    claims = spark.createDataFrame([("e", n) for n in nodes], "event_id string, idx long")
+    members = C.clusters(claims, spark.createDataFrame(pairs, "event_id string, i long, j long, similarity double")).collect()
+    want = {n: c[0] for c in C.complete_link(nodes, [p[1:] for p in pairs]) for n in c}
+    assert len(members) == 400 and {r.idx: r.cluster for r in members} == want

@@ -18,8 +18,8 @@ from outletlens.llm.pieces import slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object embed audio video canvas svg math select datalist textarea input link meta base source track param map area col colgroup dialog".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table caption tbody thead tfoot tr ul legend optgroup option".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object embed audio video canvas datalist input link meta base source track param area col colgroup annotation annotation-xml mphantom".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table caption tbody thead tfoot tr ul legend optgroup option mtr".split())
 #: Blocks with an empty line around them.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr fieldset menu dir".split())
 #: Tags that close an open <p>.
@@ -64,6 +64,16 @@ def _attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def _foreign(stack: list[Node]) -> bool:
+    """Whether the open elements end inside <svg> or <math>, where any tag can close itself."""
+    for node in reversed(stack):
+        if node.tag in ("svg", "math"):
+            return True
+        if node.tag == "foreignobject":
+            return False
+    return False
+
+
 def parse(page: str) -> Node:
     """The tree of a page; the root has tag ''. Any input gives a tree."""
     root = Node("")
@@ -118,6 +128,8 @@ def parse(page: str) -> Node:
             close(*IMPLIED[tag])
         node = Node(tag, _attributes(found[3]) if found[3] and not found[3].isspace() else None)
         stack[-1].children.append(node)
+        if found[3].endswith("/") and (tag in ("svg", "math") or _foreign(stack)):
+            continue
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
             stop = end.start() if end else n
@@ -131,7 +143,51 @@ def parse(page: str) -> Node:
 def visible(node: Node) -> bool:
     """Whether a browser would lay the element out."""
     a = node.attrs
-    return node.tag not in UNSEEN and not ("hidden" in a and a["hidden"] != "until-found") and not ("style" in a and _HIDDEN.search(a["style"]))
+    return node.tag not in UNSEEN and (node.tag != "dialog" or "open" in a) and not ("hidden" in a and a["hidden"] != "until-found") and not ("style" in a and _HIDDEN.search(a["style"]))
+
+
+def _drawn(svg: Node) -> list:
+    """What an <svg> writes: its <text> and <foreignObject> elements, kept apart."""
+    out, todo = [], svg.children[::-1]
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str) or not visible(c) or c.attrs.get("display") == "none" or c.attrs.get("visibility") in ("hidden", "collapse"):
+            continue
+        if c.tag in ("text", "foreignobject"):
+            out += [" ", c, " "]
+        elif c.tag == "switch":  # the first that fits is drawn
+            todo += [x for x in c.children if isinstance(x, Node)][:1]
+        elif c.tag in ("svg", "g", "a"):
+            todo += c.children[::-1]
+    return out
+
+
+def _options(select: Node) -> list:
+    """What a <select> shows: all of a list box, of a drop-down its chosen option."""
+    rows, todo = [], [(c, False) for c in reversed(select.children)]
+    while todo:
+        c, off = todo.pop()
+        if isinstance(c, str):
+            continue
+        off = off or "disabled" in c.attrs
+        if c.tag == "option":
+            label = c.attrs.get("label", "")
+            rows.append(("option", [label] if label.strip() else c.children, off, c))
+        else:
+            if c.tag == "optgroup" and visible(c):
+                rows.append(("optgroup", [c.attrs.get("label", "")], off, c))
+            todo += [(x, off) for x in reversed(c.children)]
+    size = select.attrs.get("size", "")
+    if "multiple" in select.attrs or (size.isdecimal() and int(size) > 1):
+        out = []
+        for tag, children, _, c in rows:
+            if visible(c):
+                out.append(Node(tag))
+                out[-1].children = children
+        return out
+    options = [r for r in rows if r[0] == "option"]
+    chosen = [r for r in options if "selected" in r[3].attrs][-1:] or [r for r in options if not r[2]][:1]
+    return [" ", *chosen[0][1], " "] if chosen else []
 
 
 class _Writer:
@@ -261,6 +317,17 @@ def _walk(root: Node, w: _Writer, pre: bool, depth: int) -> None:
         if tag == "details" and "open" not in node.attrs:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"]
         inner = pre or tag in ("pre", "xmp", "listing")
+        if tag == "svg":
+            children = _drawn(node)
+        elif tag == "select":
+            children = _options(node)
+        elif tag == "mtd":
+            children = [" ", *children, " "]
+        elif tag == "textarea":
+            inner = True
+            children = [c.removeprefix("\n") if isinstance(c, str) else c for c in children]
+            w.space = True
+            after.append(lambda: setattr(w, "space", True))
         if tag == "li" and children and isinstance(children[0], Node) and children[0].tag in ("p", "div"):
             first = children[0]
             children = [*first.children, *children[1:]] if visible(first) else children[1:]

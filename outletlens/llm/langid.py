@@ -5,7 +5,8 @@ Texts are lower-cased, everything but letters becomes one space, and all
 share of the text's n-grams times its inverse document frequency, which is
 counted over all documents that may be learned from. The weights come from
 follow-the-regularised-leader with an elastic-net penalty on a bounded sample
-of labelled rows (``SAMPLE`` for each language, ``SAMPLE_TOTAL`` at most);
+of labelled rows (about ``SAMPLE`` for each language, less where that many
+languages would exceed ``SAMPLE_TOTAL``, but never under ``SAMPLE_LEAST``);
 another part of that sample sets the temperature of the scores.
 """
 
@@ -23,7 +24,7 @@ from outletlens.llm.pieces import slices
 BITS = 15
 ORDERS = (1, 2, 3)
 SCALE = 20.0
-SAMPLE, SAMPLE_TOTAL = 1200, 6000
+SAMPLE, SAMPLE_TOTAL, SAMPLE_LEAST = 1200, 6000, 50
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-5
 EPOCHS = 3
 UNKNOWN = "und"
@@ -129,7 +130,8 @@ def _sampled(labelled: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray
     totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     if not totals:
         return []
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, min(1.0, SAMPLE / n))])
+    size = max(SAMPLE_LEAST, min(SAMPLE, SAMPLE_TOTAL // len(totals)))
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, min(1.0, size / n))])
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id", "text"), 11) / F.lit(float(1 << 53))
     chosen = labelled.where(draw < share[F.col("lang")]).select("lang", fold_of(F.col("doc_id")).cast("long").alias("fold"), "text")
 
@@ -149,7 +151,7 @@ def _sampled(labelled: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray
                     v.append((n / max(1, n.sum())).astype(np.float32).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), batch.column("fold").slice(a, b - a), pa.array(f, pa.binary()), pa.array(v, pa.binary())], schema=common.arrow_schema("lang string, fold long, f binary, v binary"))
 
-    rows = chosen.mapInArrow(run, "lang string, fold long, f binary, v binary").limit(SAMPLE_TOTAL).collect()
+    rows = chosen.mapInArrow(run, "lang string, fold long, f binary, v binary").collect()  # a bounded sample
     made = [(r["lang"], r["fold"], np.frombuffer(r["f"], np.uint16).astype(np.int64), np.frombuffer(r["v"], np.float32)) for r in rows]
     return sorted(made, key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
 

@@ -1,8 +1,30 @@
 """Training-data operators do the whole job, on rows that the given tables lack."""
 
+import random
+
 import pytest
 
 
+def test_language_sample_holds_every_language(spark):
+    """Nine languages stored one after the other, the last one rare."""
+    from outletlens.llm import langid
+
+    rnd = random.Random(8)
+    langs = [f"l{k}" for k in range(9)]
+    rows = []
+    for k, lang in enumerate(langs):
+        letters = "abcdefghijklmnopqrstuvwxyz"[2 * k : 2 * k + 6]
+        for _ in range(1300 if k < 8 else 40):
+            rows.append((len(rows), " ".join("".join(rnd.choices(letters, k=4)) for _ in range(6)), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    sample = langid._sampled(docs)
+    assert {r[0] for r in sample} == set(langs) and len(sample) < langid.SAMPLE_TOTAL * 1.1
+    model = langid.train(docs)
+    assert model.langs == langs
+    found = langid.predict(docs, model).join(docs, "doc_id").where("held_out and lang in ('l7', 'l8')").collect()
+    assert sum(r.lang == r.lang_pred for r in found) > 0.9 * len(found)
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [

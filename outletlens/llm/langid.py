@@ -8,6 +8,10 @@ follow-the-regularised-leader with an elastic-net penalty on a bounded sample
 of labelled rows (about ``SAMPLE`` for each language, less where that many
 languages would exceed ``SAMPLE_TOTAL``, but never under ``SAMPLE_LEAST``);
 another part of that sample sets the temperature of the scores.
+
+Scores only tell learned languages apart. Whether a text is in one of them is
+judged by its mean inverse document frequency and its share of letters, against
+what is usual in the sample of the language it was given.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ SAMPLE, SAMPLE_TOTAL, SAMPLE_LEAST = 1200, 6000, 50
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-5
 EPOCHS = 3
 UNKNOWN = "und"
+#: A text is foreign if its mean n-gram is rarer than that of the quantile USUAL of its language's sample by more than
+#: GAP of the way to one never seen and SLACK standard errors (n-grams overlap, so OVERLAP of them count as one), or if
+#: its share of letters is below LETTERS times the low quantile of the sample.
+USUAL, GAP, SLACK, OVERLAP, LETTERS = 0.99, 0.2, 4.0, 6.0, 1 / 3
 
 _fold: np.ndarray | None = None
 
@@ -70,18 +78,41 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(of), np.concatenate(out), letters
 
 
+def letter_shares(texts: list[str | None]) -> np.ndarray:
+    """The share of letters among the characters of each text that aren't white space."""
+    joined = "\0".join(("" if t is None else t.replace("\0", " ")) for t in texts) + "\0"
+    c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = c == 0
+    text = np.cumsum(edge) - edge
+    count = lambda chosen: np.bincount(text[chosen & ~edge], minlength=len(texts))[: len(texts)]
+    return count(_folded()[c] != 32) / np.maximum(count((c > 32) & (c != 0xA0) & (c != 0x3000)), 1)
+
+
 @dataclass
 class Model:
-    """Weights of every language; ``scores`` gives calibrated probabilities."""
+    """Weights of every language; ``scores`` gives calibrated probabilities, ``known`` whether a text is in a learned language."""
 
     langs: list[str]
     weights: np.ndarray  # (languages, features), inverse document frequency multiplied in
     bias: np.ndarray
     temperature: float
+    idf: np.ndarray | None = None
+    usual: np.ndarray | None = None  # (languages, 2): greatest mean idf of long texts, standard deviation within texts
+    least_letters: float = 0.0
+
+    def known(self, texts: list[str | None], grams_: tuple, best: np.ndarray) -> np.ndarray:
+        """Whether each text is like those of its best language; all are without a sample to compare with."""
+        if self.usual is None:
+            return np.ones(len(texts), bool)
+        of, feature, _ = grams_
+        n = np.maximum(np.bincount(of, minlength=len(texts)), 1)
+        mean = np.bincount(of, self.idf[feature], minlength=len(texts)) / n
+        high, spread = self.usual[best].T
+        return (mean <= high + SLACK * spread * np.sqrt(OVERLAP / n)) & (letter_shares(texts) >= self.least_letters)
 
-    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, texts: list[str | None], grams_: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Probabilities (texts, languages), and which texts have a letter."""
-        of, feature, letters = grams(texts)
+        of, feature, letters = grams_ or grams(texts)
         n = np.maximum(np.bincount(of, minlength=len(texts)), 1)
         logits = np.stack([np.bincount(of, w[feature], minlength=len(texts)) for w in self.weights], axis=1) * (SCALE / n)[:, None] + self.bias
         z = logits / self.temperature
@@ -125,8 +156,8 @@ def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return out, n
 
 
-def _sampled(labelled: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
-    """(lang, fold, features, their shares) of a bounded sample, chosen by a hash of doc_id and text."""
+def _sampled(labelled: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray, float]]:
+    """(lang, fold, features, their shares, share of letters) of a bounded sample, chosen by a hash of doc_id and text."""
     totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     if not totals:
         return []
@@ -149,13 +180,27 @@ def _sampled(labelled: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray
                     x, n = np.unique(feature[cut[i] : cut[i + 1]], return_counts=True)
                     f.append(x.astype(np.uint16).tobytes())
                     v.append((n / max(1, n.sum())).astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), batch.column("fold").slice(a, b - a), pa.array(f, pa.binary()), pa.array(v, pa.binary())], schema=common.arrow_schema("lang string, fold long, f binary, v binary"))
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), batch.column("fold").slice(a, b - a), pa.array(f, pa.binary()), pa.array(v, pa.binary()), pa.array(letter_shares(part), pa.float64())], schema=common.arrow_schema("lang string, fold long, f binary, v binary, letters double"))
 
-    rows = chosen.mapInArrow(run, "lang string, fold long, f binary, v binary").collect()  # a bounded sample
-    made = [(r["lang"], r["fold"], np.frombuffer(r["f"], np.uint16).astype(np.int64), np.frombuffer(r["v"], np.float32)) for r in rows]
+    rows = chosen.mapInArrow(run, "lang string, fold long, f binary, v binary, letters double").collect()  # a bounded sample
+    made = [(r["lang"], r["fold"], np.frombuffer(r["f"], np.uint16).astype(np.int64), np.frombuffer(r["v"], np.float32), r["letters"]) for r in rows]
     return sorted(made, key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
 
 
+def _usual(rows, langs: list[str], idf: np.ndarray) -> np.ndarray:
+    """``Model.usual`` of (language number, features, values)."""
+    out = np.zeros((len(langs), 2))
+    for k in range(len(langs)):
+        means = np.array([(v * idf[f]).sum() for lang, f, v in rows if lang == k and len(f)] or [np.inf])
+        squares = np.array([(v * idf[f] ** 2).sum() for lang, f, v in rows if lang == k and len(f)] or [np.inf])
+        if np.isinf(means[0]):
+            out[k] = np.inf
+        else:
+            high = np.quantile(means, USUAL)
+            out[k] = high + GAP * max(0.0, idf.max() - high), np.sqrt(np.maximum(squares - means**2, 0).mean())
+    return out
+
+
 def _leader(rows, langs: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """FTRL-proximal weights and biases from (language number, features, values)."""
     size = (1 << BITS) + 1  # the last feature is the bias
@@ -208,11 +253,13 @@ def train(docs: DataFrame) -> Model | None:
     frequency, n = _document_frequencies(usable)
     idf = np.log((1 + n) / (1 + frequency)) + 0.2
     langs = sorted({r[0] for r in sample})
-    rows = [(langs.index(lang), fold, f, v) for lang, fold, f, v in sample]
+    rows = [(langs.index(lang), fold, f, v) for lang, fold, f, v, _ in sample]
     learn = [(lang, f, v) for lang, fold, f, v in rows if fold != 1] or [(lang, f, v) for lang, _, f, v in rows]
     weights, bias = _leader(learn, langs, idf)
     model = Model(langs, weights.astype(np.float64), bias, 1.0)
     model.temperature = _temperature(model, [(lang, f, v) for lang, fold, f, v in rows if fold == 1])
+    model.idf, model.usual = idf, _usual([(lang, f, v) for lang, _, f, v in rows], langs, idf)
+    model.least_letters = LETTERS * float(np.quantile([r[4] for r in sample], 1 - USUAL))
     return model
 
 
@@ -245,8 +292,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "text").mapInArrow(run, ddl)
 
 
-def accepted(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
-    """The rows of ``docs`` with a letter in their text and a score of ``least`` or more, all columns kept.
+def accepted(docs: DataFrame, model: Model | None, least: float, only_known: bool = False) -> DataFrame:
+    """The rows of ``docs`` with a letter in their text and a score of ``least`` or more, all columns kept; with ``only_known`` just those like the sample.
 
     Without a model every text with a letter stays. Null texts go.
     """
@@ -259,7 +306,12 @@ def accepted(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
         for batch in batches:
             for a, b in slices(batch.column("text"), 1 << 18):
                 part = batch.slice(a, b - a)
-                p, letters = model.scores(part.column("text").to_pylist())
-                yield part.filter(pa.array(letters & (p.max(axis=1) >= least)))
+                texts = part.column("text").to_pylist()
+                made = grams(texts)
+                p, letters = model.scores(texts, made)
+                keep = letters & (p.max(axis=1) >= least)
+                if only_known:
+                    keep &= model.known(texts, made, p.argmax(axis=1))
+                yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -45,3 +45,21 @@ def test_html_shows_what_a_browser_shows(page, text):
     from outletlens.llm import html
 
     assert html.extract(page) == text
+
+
+def test_pipeline_drops_what_is_in_no_learned_language(spark):
+    """Planted junk and unlearned languages go, all given documents with a letter and clean short texts stay."""
+    import re
+
+    import corpus_pipeline
+
+    planted = {
+        -1: "это совсем другой язык который раньше никто не видел " * 4, -2: "日本語の文章はここにあります。これは学習されていない言語です。" * 3, -3: "qxz jkvq wzxj pqvk xzzq kjwq vvxq zqjx " * 3,
+        -4: "12 34 a !! 99", -5: "11111 x 2222 ;;; 333 " * 20, -6: "== -- 0x 0 __ 77 ## 12,5 %% 81",
+    }
+    for sf in ("sf0.001", "sf0.01"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+        rows = [(i, t, None, "s", len(t)) for i, t in [*planted.items(), (-7, "The and of the."), (-8, "Das ist der und die.")]]
+        both = docs.unionByName(spark.createDataFrame(rows, docs.select("doc_id", "text", "lang", "source", "n_chars").schema))
+        kept = {r.doc_id for r in corpus_pipeline.language_id(spark, both, "").select("doc_id").collect()}
+        assert kept == {r.doc_id for r in both.collect() if re.search(r"[^\W\d_]", r.text or "")} - set(planted)

@@ -99,6 +99,31 @@ def dealt_sum(df: DataFrame, group: list[str], order: list[Column], value: Colum
     return joined.select(*[rows[c] for c in df.columns], (F.col("_inside") + F.col("_offset")).alias(out))
 
 
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """``names`` made longer until they clash with no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"{name}_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def runs(batches, key: str, columns: tuple[str, ...]):
+    """Lists of Python rows of ``columns`` whose ``key`` is the same, from Arrow batches sorted by it."""
+    now, held = None, []
+    for batch in batches:
+        for k, *row in zip(batch.column(key).to_pylist(), *(batch.column(c).to_pylist() for c in columns), strict=True):
+            if held and k != now:
+                yield held
+                held = []
+            now = k
+            held.append(row)
+    if held:
+        yield held
+
+
 def unique_columns(df: DataFrame, *needed: str) -> DataFrame:
     """``df`` cut down to the columns an operator reads, whatever else it holds."""
     return df.select(*[F.col(f"`{c}`") for c in needed])

@@ -3,13 +3,16 @@
 A byte-pair encoder never merges across its pre-tokenizer's pieces, so the ids
 of a text are the ids of its pieces in order. Whole batches are cut into pieces
 with numpy; each distinct piece is encoded once by the tokenizers library and
-then looked up by a 64-bit hash. Only texts of printable ASCII, line feeds and
-the letters U+00C0-U+00FF are cut here, as every version of Unicode agrees on
-their classes; any other text goes to the library whole.
+then looked up by a 64-bit hash, and its bytes are compared on every hit. Only
+texts of printable ASCII, line feeds and the letters U+00C0-U+00FF are cut here,
+as every version of Unicode agrees on their classes; any other text goes to the
+library whole, and so does one that holds the string of a special token.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: Byte classes: 0 separator, 1 white space, 2 letter, 3 digit, 4 other, 5 not cut here.
@@ -23,47 +26,50 @@ _CLASS[0x80:0xC0] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _CONTRACTIONS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_SPREAD = (np.arange(256, dtype=np.uint64) + np.uint64(0x51ED27)) * np.uint64(0xD6E8FEB86659FD93)
-_SPREAD ^= _SPREAD >> np.uint64(29)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    out[1:] = base
-    return np.multiply.accumulate(out)
-
-
-class RangeHash:
-    """Hashes of any byte ranges of a buffer, from one running polynomial sum."""
-
-    _up = _powers(_BASE, 1 << 16)
-    _down = _powers(_INVERSE, 1 << 16)
-
-    @classmethod
-    def of(cls, buf: np.ndarray, start: np.ndarray, end: np.ndarray, window: int = 1 << 20) -> np.ndarray:
-        """Hashes of buf[start:end]; both ends must not decrease. Works in windows, so memory follows the longest range."""
-        out, i = np.empty(len(start), np.uint64), 0
-        while i < len(start):
-            j = max(i + 1, int(np.searchsorted(start, start[i] + window)))
-            base = start[i]
-            out[i:j] = cls._window(buf[base : end[j - 1]], start[i:j] - base, end[i:j] - base)
-            i = j
-        return out
+#: The bytes of a little-endian word that count, by how many are left.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Ranges longer than this are hashed and compared one by one.
+_LONG = 512
+
+
+def _words(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``buf`` on, as one number; nothing is copied."""
+    return np.ndarray((max(0, len(buf) - 7),), "<u8", buf, 0, (1,))
+
 
-    @classmethod
-    def _window(cls, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        n = len(buf)
-        if n + 1 > len(cls._up):
-            size = 1 << int(n + 1).bit_length()
-            cls._up, cls._down = _powers(_BASE, size), _powers(_INVERSE, size)
-        run = np.empty(n + 1, np.uint64)
-        run[0] = 0
-        np.cumsum(_SPREAD[buf] * cls._up[:n], out=run[1:])
-        h = (run[end] - run[start]) * cls._down[start]
-        return mix(h + (end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+def range_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte ranges buf[start:end], eight bytes a step; ``buf`` has eight spare bytes at its end.
+
+    Every step mixes all bits, so texts that follow a pattern don't collide as
+    they do under polynomial sums. Equal hashes are still only a hint: who needs
+    certainty compares the bytes or keeps ``seed`` from whoever writes the texts.
+    """
+    words, size, key = _words(buf), end - start, np.uint64(seed & 0xFFFFFFFFFFFFFFFF)
+    h = mix((words[start] & _KEEP[np.minimum(size, 8)]) ^ mix(size.astype(np.uint64) * _STEP ^ key))
+    left, at = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+    while len(left):
+        rest = size[left] - at
+        h[left] = mix((h[left] + _STEP) ^ mix(words[start[left] + at] & _KEEP[np.minimum(rest, 8)] ^ key))
+        left, at = left[rest > 8], at + 8
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8, key=int(key).to_bytes(8, "little")).digest(), "little")
+    return h
+
+
+def same_bytes(a: np.ndarray, first: np.ndarray, size: np.ndarray, b: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether a[first : first + size] equals b[other : other + size], range by range; both have eight spare bytes."""
+    x, y = _words(a), _words(b)
+    out = ((x[first] ^ y[other]) & _KEEP[np.minimum(size, 8)]) == 0
+    left, at = np.flatnonzero(out & (size > 8) & (size <= _LONG)), 8
+    while len(left):
+        rest = size[left] - at
+        equal = ((x[first[left] + at] ^ y[other[left] + at]) & _KEEP[np.minimum(rest, 8)]) == 0
+        out[left[~equal]] = False
+        left, at = left[equal & (rest > 8)], at + 8
+    for i in np.flatnonzero(out & (size > _LONG)).tolist():
+        out[i] = bool((a[first[i] : first[i] + size[i]] == b[other[i] : other[i] + size[i]]).all())
+    return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -123,15 +129,17 @@ class Encoder:
 
     ``style`` is "byte" for a byte-level pre-tokenizer that keeps one leading
     space with each piece, "word" for one that lower-cases, drops white space
-    and takes digits one by one. Strings of special tokens in a text are
-    ordinary text. The table of pieces restarts at ``most`` entries.
+    and takes digits one by one. Strings of special tokens in a text become
+    their ids, as the library has it, or with ``plain_specials`` ordinary text.
+    The table of pieces restarts at ``most`` entries.
     """
 
-    def __init__(self, path: str, style: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, style: str, most: int = 500_000, plain_specials: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
+        self.specials = [] if plain_specials else [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.style, self.most = style, most
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._restart()
@@ -139,10 +147,22 @@ class Encoder:
     def _restart(self) -> None:
         self.table, self.used = _Table(), 0
         self.length, self.first, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(1 << 16, self.dtype)
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of UTF-8 texts one after another, and len(texts) + 1 offsets."""
-        buf = np.frombuffer(b"\0" + b"\0".join(texts) + b"\0\0\0\0", np.uint8)  # three spare bytes to look ahead
+        self.raw, self.raw_used, self.raw_at, self.raw_size = np.zeros(1 << 16, np.uint8), 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _special(self, joined: bytes, bounds: np.ndarray) -> np.ndarray:
+        """Numbers of the texts that hold a special token's string, in any case of its letters."""
+        low, found = joined.lower(), []
+        for s in self.specials:
+            at = low.find(s)
+            while at >= 0:
+                found.append(int(np.searchsorted(bounds, at, side="right")) - 1)
+                at = low.find(s, at + 1)
+        return np.unique(np.array(found, np.int64))
+
+    def encode(self, texts: list[bytes], whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of UTF-8 texts one after another, and len(texts) + 1 offsets; ``whole`` numbers texts that go to the library as they are."""
+        joined = b"\0" + b"\0".join(texts) + b"\0"
+        buf = np.frombuffer(joined + bytes(8), np.uint8)  # spare bytes to look ahead
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         bounds = np.concatenate([[0], np.cumsum(sizes + 1)])  # where the separators are
         kind = _CLASS[buf]
@@ -152,7 +172,7 @@ class Encoder:
         zero = np.flatnonzero(buf[: bounds[-1] + 1] == 0)
         if len(zero) != len(bounds):  # a text holds NUL
             odd[np.setdiff1d(zero, bounds)] = True
-        whole = np.unique(np.searchsorted(bounds, np.flatnonzero(odd), side="right") - 1)
+        whole = np.union1d(self._special(joined, bounds) if whole is None else whole, np.searchsorted(bounds, np.flatnonzero(odd), side="right") - 1)
         if self.style == "word":
             buf = _LOWER[buf]
             second = lead[(buf[lead + 1] >= 0x80) & (buf[lead + 1] <= 0x9E) & (buf[lead + 1] != 0x97)] + 1
@@ -170,6 +190,9 @@ class Encoder:
             keep = ~inside[np.searchsorted(bounds, start, side="right") - 1]
             start, end = start[keep], end[keep]
         number = self._numbers(buf, start, end)
+        other = (self.raw_size[number] != end - start) | ~same_bytes(buf, start, np.minimum(end - start, self.raw_size[number]), self.raw, self.raw_at[number])
+        if other.any():  # another piece has this hash
+            return self.encode(texts, np.union1d(whole, np.searchsorted(bounds, start[other], side="right") - 1))
         length = self.length[number].astype(np.int64)
         before = np.concatenate([[0], np.cumsum(length)])
         ids = self.flat[np.repeat(self.first[number] - before[:-1], length) + np.arange(before[-1])]
@@ -214,7 +237,7 @@ class Encoder:
         return np.flatnonzero(begin)
 
     def _numbers(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = RangeHash.of(buf, start, end)
+        h = range_hash(buf, start, end)
         h[h == 0] = 1
         number = self.table.find(h)
         missing = np.flatnonzero(number < 0)
@@ -224,7 +247,9 @@ class Encoder:
                 self._restart()
                 return self._numbers(buf, start, end)
             raw, at = buf.tobytes(), missing[at]
-            got = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], add_special_tokens=False)
+            pieces = [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+            got = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+            self._remember(pieces)
             ids = [e.ids for e in got]
             length = np.fromiter(map(len, ids), np.int32, len(ids))
             flat = np.fromiter((x for e in ids for x in e), self.dtype, int(length.sum()))
@@ -239,6 +264,17 @@ class Encoder:
         return number
 
 
+    def _remember(self, pieces: list[bytes]) -> None:
+        """Keep the bytes of new pieces for later comparison."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        total = int(size.sum())
+        while self.raw_used + total + 8 > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
+        self.raw[self.raw_used : self.raw_used + total] = np.frombuffer(b"".join(pieces), np.uint8)
+        self.raw_at, self.raw_size = np.concatenate([self.raw_at, self.raw_used + np.cumsum(size) - size]), np.concatenate([self.raw_size, size])
+        self.raw_used += total
+
+
 _encoders: dict[tuple[str, str], Encoder] = {}
 
 

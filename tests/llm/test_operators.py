@@ -18,9 +18,8 @@ BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path
 
 
 def tokenizer(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    """The library as it comes: strings of special tokens become their ids."""
+    return Tokenizer.from_file(path)
 
 
 def crc(ids):
@@ -35,6 +34,29 @@ def test_pieces_give_the_tokenizers_ids(path, style):
     ids, at = pieces.Encoder(path, style, most=500).encode([t.encode() for t in texts])
     t = tokenizer(path)
     assert all(ids[at[k] : at[k + 1]].tolist() == t.encode(x, add_special_tokens=False).ids for k, x in enumerate(texts))
+    ids, at = pieces.Encoder(path, style, plain_specials=True).encode([t.encode() for t in texts])
+    t.encode_special_tokens = True
+    assert all(ids[at[k] : at[k + 1]].tolist() == t.encode(x, add_special_tokens=False).ids for k, x in enumerate(texts))
+
+
+def thue_morse(n):
+    """Two texts of 2 ** n letters that polynomial sums modulo 2 ** 64 take for one."""
+    a = "a"
+    for _ in range(n):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize(("path", "style"), [(BYTE, "byte"), (WORD, "word")])
+def test_pieces_are_told_apart_by_their_bytes(path, style, monkeypatch):
+    texts = [*thue_morse(9), *thue_morse(10), *thue_morse(12), "a" * 511, "a" * 512, "a" * 513, "b" * 513, "hi <|endoftext|> there", "ab cd ba dc"]
+    t = tokenizer(path)
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts * 2]
+    ids, at = pieces.Encoder(path, style).encode([x.encode() for x in texts * 2])
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
+    monkeypatch.setattr(pieces, "range_hash", lambda buf, start, end, seed=0: (end - start).astype(np.uint64))  # all pieces of a length collide
+    ids, at = pieces.Encoder(path, style).encode([x.encode() for x in texts * 2])
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
 
 
 def test_packing(edge, corpus, empty):
@@ -197,6 +219,61 @@ def plain_components(rows):
     return sorted((str(i), len(s), str(least[find(k)])) for k, (i, s) in enumerate(sets))
 
 
+def test_shingles_of_patterned_words_differ():
+    a, b = (s.tolist() for s in minhash.shingle_sets([x.encode() for x in thue_morse(10)]))
+    assert len(a) == len(b) == 1 and a != b
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choices(["a", "B", "bb", "\tc", "dd" * 300, "é"], k=rnd.randint(0, 40))) + rnd.choice(["", " ", "\n"]) for _ in range(300)]
+    sets = minhash.shingle_sets([t.encode() for t in texts], seed=5)
+    plain = []
+    for t in texts:
+        w = t.encode().lower().split()
+        plain.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    assert [len(s) for s in sets] == list(map(len, plain)) and all((np.diff(s.astype(object)) > 0).all() for s in sets if len(s) > 1)
+    assert all(len(np.intersect1d(sets[i], sets[i + 1])) == len(plain[i] & plain[i + 1]) for i in range(299))
+
+
+def test_bitmaps_never_overstate_a_difference():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n, m = rng.integers(0, 3000, 2)
+        x, y = (np.unique(rng.integers(0, 1 << 63, k, dtype=np.uint64)) for k in (n, m))
+        y = np.union1d(y, x[: rng.integers(0, n + 1)])
+        differ = len(np.setxor1d(x, y))
+        assert minhash._differ(*(np.frombuffer(minhash.bitmap(s), np.uint64) for s in (x, y))) <= differ
+        both, union = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+        assert minhash._too_far(differ, len(x), len(y)) == (100 * both < 75 * union)
+
+
+def test_near_duplicates_of_long_texts(spark):
+    """Texts of several hundred shingles around the threshold, groups of copies and a passage, against all pairs."""
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=rnd.randint(2, 6)))
+    passage, texts = [word() for _ in range(120)], []
+    for _ in range(60):
+        w = [word() for _ in range(rnd.choice([210, 260, 400, 900, 2500]))]
+        if rnd.random() < 0.4:
+            w += passage
+        texts.append(w)
+        for _ in range(rnd.choice([0, 1, 2, 9])):
+            v = list(w)
+            for _ in range(rnd.randint(0, len(v) // 28)):
+                v[rnd.randrange(len(v))] = word()
+            texts.append(v[rnd.randint(0, len(v) // 6) :])
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = minhash.near_duplicates(docs).collect()
+    want = plain_components(docs.collect())
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+    assert len({c for _, _, c in want}) < len(texts) * 0.8
+
+
+def test_texts_that_share_a_hash_stay_apart(spark, corpus, monkeypatch):
+    real = minhash.node_of
+    monkeypatch.setattr(minhash, "node_of", lambda text, shared=(): F.when((F.length(F.coalesce(text, F.lit(""))) % 40).isin([int(x) for x in shared]), real(text)).otherwise((F.length(F.coalesce(text, F.lit(""))) % 40).cast("long")))
+    got = minhash.near_duplicates(corpus).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == plain_components(corpus.select("doc_id", "text").collect())
+
+
 def test_near_duplicates(edge, corpus, empty, monkeypatch):
     for docs in (edge, corpus):
         got = minhash.near_duplicates(docs).collect()
@@ -205,10 +282,14 @@ def test_near_duplicates(edge, corpus, empty, monkeypatch):
     assert minhash.near_duplicates(empty).count() == 0
     left = minhash.without_duplicates(corpus)
     assert left.count() == sum(r.kept for r in minhash.near_duplicates(corpus).collect()) and left.columns == corpus.columns
-    monkeypatch.setattr(minhash, "LIST", 2)
-    monkeypatch.setattr(minhash, "STAR_SHARE", 4)
+    for name, value in (("LIST", 2), ("STARS", (2,)), ("BLOCK", 5), ("HOT_LEAST", 3), ("PER_TASK", 500)):  # long and split lists
+        monkeypatch.setattr(minhash, name, value)
     got = minhash.near_duplicates(corpus).collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == plain_components(corpus.select("doc_id", "text").collect())
+    clash = corpus.selectExpr("*", "1 as _id", "2 as _node", "3 as id", "4 as node", "5 as id_")
+    left = minhash.without_duplicates(clash)
+    assert left.columns == clash.columns and left.count() == sum(r.kept for r in got)
+    assert minhash.without_duplicates(empty).count() == 0
 
 
 def test_language(spark, edge, empty):

@@ -47,7 +47,6 @@ def test_pipeline(spark):
     assert {str(r.doc_id) for r in single} == {i for i, _, c in plain_components([(r.doc_id, r.text) for r in named]) if i == c}
     assert {r.doc_id for r in cleaned} == {r.doc_id for r in single} and not any(plain_spans(r.text) for r in cleaned)
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     want = sorted((r.doc_id, len(ids := t.encode(r.text, add_special_tokens=False).ids + [2]), zlib.crc32(np.array(ids, "<u4").tobytes())) for r in mixed)
     whole = sorted((r.doc_id, r.doc_tokens, r.ids_crc32) for r in packed if r.length == r.doc_tokens)
     assert sum(r.length for r in packed) == sum(n for _, n, _ in want) and set(whole) <= set(want)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -19,8 +20,8 @@ _made: list[str] | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder takes its place.
+    It is ``spark.checkpoint.dir``; only where that is unset and the master is
+    local (tests on one machine) a temporary folder takes its place.
     """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
         at = sc._jsc.sc().getCheckpointDir()
         at = at.get() if at.isDefined() else None
     if not at:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="outletlens-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
@@ -64,11 +67,11 @@ def stage(spark: SparkSession):
         _made = outer
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

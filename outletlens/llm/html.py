@@ -1,15 +1,19 @@
 """Layout-aware text of HTML pages.
 
 A tree builder closes elements that a new tag implies to be closed and drops
-stray end tags; visibility rules leave out what a browser wouldn't show; the
-renderer writes all visible text with block spacing, list marks and tables
-whose columns are aligned.
+stray end tags; visibility rules leave out what a browser wouldn't show by its
+tag, its attributes and its own style (style sheets aren't read); the renderer
+writes all visible text with block spacing, list marks and tables whose columns
+are aligned. No step calls itself, and what is open is looked up by tag, so deep
+and hostile pages cost no more than others.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import unicodedata
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 
@@ -43,10 +47,12 @@ IMPLIED = {
 SCOPE = frozenset(["table", "td", "th", "caption", "template", "html"])
 HEAD_ONLY = frozenset("base link meta title style script noscript template head html".split())
 
-_MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<(?:[!?]|/[^A-Za-z])[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+_MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<(?:[!?]|/[^A-Za-z])[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)", re.S)
+#: The end of a tag, or an attribute: quotes count only where a value begins.
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)|(["'])|(?=>)))?+)""")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I) for t in RAW}
-_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)", re.I)
+_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -57,39 +63,59 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs or {}, []
 
 
-def _attributes(raw: str) -> dict[str, str]:
+def _attributes(page: str, at: int) -> tuple[dict[str, str], bool, int]:
+    """(attributes, whether the tag closes itself, where it ends) of a tag whose name ends at ``at``; a tag that never ends takes the rest of the page."""
     out: dict[str, str] = {}
-    for name, a, b, c in _ATTRIBUTE.findall(raw):
-        out.setdefault(name.lower(), entities.unescape(a or b or c))
-    return out
+    while found := _ATTRIBUTE.match(page, at):
+        if found[1]:
+            return out, found.end() - at > 1 and page[found.end() - 2] == "/", found.end()
+        if found[6]:
+            break
+        out.setdefault(found[2].lower(), entities.unescape(found[3] or found[4] or found[5] or ""))
+        at = found.end()
+    return out, False, len(page) + 1
 
 
-def _foreign(stack: list[Node]) -> bool:
-    """Whether the open elements end inside <svg> or <math>, where any tag can close itself."""
-    for node in reversed(stack):
-        if node.tag in ("svg", "math"):
-            return True
-        if node.tag == "foreignobject":
-            return False
-    return False
+class _Open:
+    """The open elements, the innermost last, and where each tag is among them."""
 
+    def __init__(self, root: Node) -> None:
+        self.stack, self.at = [root], {}
 
-def parse(page: str) -> Node:
-    """The tree of a page; the root has tag ''. Any input gives a tree."""
-    root = Node("")
-    stack, at, n = [root], 0, len(page)
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, k: int) -> None:
+        """Close the element at place ``k`` and all inside it."""
+        for node in self.stack[k:]:
+            self.at[node.tag].pop()
+        del self.stack[k:]
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of ``tags``; 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
 
-    def close(tags: frozenset, fence: frozenset) -> None:
+    def close(self, tags: frozenset, fence: frozenset) -> None:
         """Close the outermost open element of ``tags`` that is nearer than ``fence``."""
-        outermost = 0
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in fence:
-                break
-            if stack[k].tag in tags:
-                outermost = k
-        if outermost:
-            del stack[outermost:]
+        wall, places = self.last(fence), []
+        for t in tags:
+            of = self.at.get(t, [])
+            k = bisect_right(of, wall)
+            places += of[k : k + 1]
+        if places:
+            self.cut(min(places))
 
+    def foreign(self) -> bool:
+        """Whether they end inside <svg> or <math>, where any tag can close itself."""
+        return self.last(("svg", "math")) > self.last(("foreignobject",))
+
+
+def parse(page: str) -> Node:
+    """The tree of a page; the root has tag ''. Any input gives a tree."""
+    root = Node("")
+    now, at, n = _Open(root), 0, len(page)
+    stack = now.stack
     while at < n:
         found = _MARKUP.search(page, at)
         if not found:
@@ -98,60 +124,66 @@ def parse(page: str) -> Node:
         if found.start() > at:
             text = entities.unescape(page[at : found.start()])
             if stack[-1].tag == "head" and text.strip():
-                stack.pop()
+                now.cut(len(stack) - 1)
             stack[-1].children.append(text)
         at = found.end()
         tag = (found[2] or "").lower()
         if not tag:
             continue
+        attrs, closed, at = _attributes(page, at)
+        if at > n:  # the page ends inside the tag
+            break
         if found[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+            if tag == "p" and not now.at.get("p"):
                 stack[-1].children.append(Node("p"))
-                continue
-            if tag == "br":
+            elif tag == "br":
                 stack[-1].children.append(Node("br"))
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in SCOPE and tag not in SCOPE and tag not in ("tr", "tbody", "thead", "tfoot", "body"):
-                    break
+            elif now.at.get(tag):
+                free = tag in SCOPE or tag in ("tr", "tbody", "thead", "tfoot", "body")
+                if free or now.at[tag][-1] > now.last(SCOPE):
+                    now.cut(now.at[tag][-1])
             continue
         if stack[-1].tag == "head" and tag not in HEAD_ONLY:
-            stack.pop()
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
+            now.cut(len(stack) - 1)
+        if tag in ("html", "body") and now.at.get(tag):
             continue
         if tag in CLOSES_P:
-            close(frozenset(["p"]), SCOPE)
+            now.close(frozenset(["p"]), SCOPE)
         if tag in IMPLIED:
-            close(*IMPLIED[tag])
-        node = Node(tag, _attributes(found[3]) if found[3] and not found[3].isspace() else None)
+            now.close(*IMPLIED[tag])
+        node = Node(tag, attrs)
         stack[-1].children.append(node)
-        if found[3].endswith("/") and (tag in ("svg", "math") or _foreign(stack)):
+        if closed and (tag in ("svg", "math") or now.foreign()):
             continue
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
             stop = end.start() if end else n
             node.children.append(page[at:stop] if tag not in ("title", "textarea") else entities.unescape(page[at:stop]))
             at = n if not end else page.find(">", end.end() - 1) + 1 or n
-        elif tag not in VOID and not (found[3].endswith("/") and tag in ("path", "circle", "rect", "use")):
-            stack.append(node)
+        elif tag not in VOID and not (closed and tag in ("path", "circle", "rect", "use")):
+            now.push(node)
     return root
 
 
 def visible(node: Node) -> bool:
-    """Whether a browser would lay the element out."""
+    """Whether a browser would lay the element out; what is laid out can still be unseen (``unseen``)."""
     a = node.attrs
     return node.tag not in UNSEEN and (node.tag != "dialog" or "open" in a) and not ("hidden" in a and a["hidden"] != "until-found") and not ("style" in a and _HIDDEN.search(a["style"]))
 
 
+def unseen(node: Node, around: bool) -> bool:
+    """Whether text straight in the element isn't shown, where that around it is or isn't."""
+    found = _VISIBILITY.findall(node.attrs["style"]) if "style" in node.attrs else []
+    value = found[-1].lower() if found else node.attrs.get("visibility", "").lower() if node.tag in ("text", "g", "svg", "tspan") else ""
+    return True if value in ("hidden", "collapse") else False if value == "visible" else around
+
+
 def _drawn(svg: Node) -> list:
     """What an <svg> writes: its <text> and <foreignObject> elements, kept apart."""
     out, todo = [], svg.children[::-1]
     while todo:
         c = todo.pop()
-        if isinstance(c, str) or not visible(c) or c.attrs.get("display") == "none" or c.attrs.get("visibility") in ("hidden", "collapse"):
+        if isinstance(c, str) or not visible(c) or c.attrs.get("display") == "none":
             continue
         if c.tag in ("text", "foreignobject"):
             out += [" ", c, " "]
@@ -247,45 +279,66 @@ class _Writer:
         return "\n".join(self.lines).strip("\n")
 
 
+def _run(first):
+    """The result of a generator that yields others to wait for; they never nest on Python's own stack."""
+    stack, value = [first], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as e:
+            stack.pop()
+            value = e.value
+    return value
+
+
 def render(root: Node) -> str:
     """All visible text of a tree, in reading order."""
+    return _run(_plain([root], False))
+
+
+def _plain(nodes: list, hid: bool):
     w = _Writer()
-    _walk(root, w, False, 0)
+    for x in nodes:
+        yield _walk(x, w, False, 0, hid)
     return w.done()
 
 
-def _walk(root: Node, w: _Writer, pre: bool, depth: int) -> None:
-    """Render with a stack of its own, as pages may nest deeper than Python calls do."""
-    todo: list = [(root, pre, depth, 0)]
+def _walk(root, w: _Writer, pre: bool, depth: int, hid: bool):
+    """Render a node into ``w``."""
+    todo: list = [(root, pre, depth, 0, hid)]
     while todo:
         item = todo.pop()
         if callable(item):
             item()
             continue
-        node, pre, depth, number = item
+        node, pre, depth, number, hid = item
         if isinstance(node, str):
-            w.text(node, pre)
+            if not hid:
+                w.text(node, pre)
             continue
         tag = node.tag
         if tag and not visible(node):
             continue
+        hid = unseen(node, hid)
         if tag == "br":
             w.newline()
             continue
         if tag == "img":
-            if node.attrs.get("alt", "").strip():
+            if node.attrs.get("alt", "").strip() and not hid:
                 w.text(node.attrs["alt"])
             continue
         gap = 2 if tag in SPACED and not (depth and tag in ("ul", "ol", "menu", "dir")) else 1 if tag in BLOCK else 0
         if tag == "hr":
             w.block(2)
-            w.text("---")
+            if not hid:
+                w.text("---")
             w.block(2)
             continue
         if gap:
             w.block(gap)
         if tag == "table":
-            _table(node, w)
+            yield _table(node, w, hid)
             w.block(2)
             continue
         after = [lambda gap=gap: w.block(gap)] if gap else []
@@ -298,13 +351,14 @@ def _walk(root: Node, w: _Writer, pre: bool, depth: int) -> None:
             step = []
             for c in node.children:
                 item_tag = isinstance(c, Node) and c.tag == "li" and visible(c)
-                step.append((c, pre, depth, number if item_tag and tag == "ol" else 0))
+                step.append((c, pre, depth, number if item_tag and tag == "ol" else 0, hid))
                 number += item_tag and tag == "ol"
             todo += after + step[::-1]
             continue
         if tag == "li":
-            w.text(f"{number}." if number else "-", True)
-            w.space = True
+            if not hid:
+                w.text(f"{number}." if number else "-", True)
+                w.space = True
             old, w.prefix = w.prefix, w.prefix + "  "
             after.append(lambda old=old: setattr(w, "prefix", old))
         elif tag == "dd":
@@ -330,8 +384,8 @@ def _walk(root: Node, w: _Writer, pre: bool, depth: int) -> None:
             after.append(lambda: setattr(w, "space", True))
         if tag == "li" and children and isinstance(children[0], Node) and children[0].tag in ("p", "div"):
             first = children[0]
-            children = [*first.children, *children[1:]] if visible(first) else children[1:]
-        todo += after + [(c, inner, depth, 0) for c in reversed(children)]
+            children = [*first.children, *children[1:]] if visible(first) and not unseen(first, hid) else children[1:]
+        todo += after + [(c, inner, depth, 0, hid) for c in reversed(children)]
 
 
 def _rows(table: Node):
@@ -366,51 +420,67 @@ def _span(cell: Node, name: str) -> int:
     return min(max(int(value), 1), 1000) if value.isdecimal() else 1
 
 
-def _plain(nodes: list) -> str:
-    holder = Node("div")
-    holder.children = nodes
-    return render(holder)
+def _width(s: str) -> int:
+    """Columns that a string takes: two for wide characters, none for combining ones."""
+    return len(s) if s.isascii() else sum(2 if unicodedata.east_asian_width(c) in "WF" else 0 if unicodedata.combining(c) else 1 for c in s)
 
 
-def _table(table: Node, w: _Writer) -> None:
-    """Cells padded to the width of their columns; a cell's lines stay one below another."""
+def _placed(rows: list[list[Node]]) -> list[list[tuple[int, int, Node]]]:
+    """(first column, columns, cell) of the cells of every row; spans from rows above are kept as intervals."""
+    out, above = [], []  # above: (first column, end, last row), in order
+    for r, cells in enumerate(rows):
+        above = [x for x in above if x[2] >= r]
+        line, col, k, own = [], 0, 0, []
+        for cell in cells:
+            while k < len(above) and above[k][0] <= col:
+                col = max(col, above[k][1])
+                k += 1
+            across, last = _span(cell, "colspan"), min(r + _span(cell, "rowspan"), len(rows)) - 1
+            line.append((col, across, cell))
+            if last > r:
+                own.append((col, col + across, last))
+            col += across
+        if own:
+            merged: list[tuple[int, int, int]] = []
+            for x in sorted(above + own):
+                if merged and merged[-1][2] == x[2] and merged[-1][1] == x[0]:
+                    merged[-1] = (merged[-1][0], x[1], x[2])
+                else:
+                    merged.append(x)
+            above = merged
+        out.append(line)
+    return out
+
+
+def _table(table: Node, w: _Writer, hid: bool):
+    """Cells padded to the width of their columns; a cell's lines stay one below another. Columns in which no cell begins take no place."""
     rows, captions, loose = _rows(table)
     for x in loose:  # what a browser moves before the table
-        if isinstance(x, str):
-            w.text(x)
-        else:
-            _walk(x, w, False, 0)
+        yield _walk(x, w, False, 0, hid)
         w.block(1)
     for x in captions:
-        w.text(_plain(x.children), True)
+        w.text((yield _plain(x.children, unseen(x, hid))), True)
         w.block(1)
     grid: list[dict[int, list[str]]] = []
-    taken: dict[tuple[int, int], bool] = {}
     widths: dict[int, int] = {}
-    for r, cells in enumerate(rows):
-        line, col = {}, 0
-        for cell in cells:
-            while taken.get((r, col)):
-                col += 1
-            across, down = _span(cell, "colspan"), min(_span(cell, "rowspan"), len(rows) - r)
-            for y in range(1, down):
-                for x in range(across):
-                    taken[r + y, col + x] = True
-            lines = _plain(cell.children).split("\n")
+    for cells in _placed(rows):
+        line = {}
+        for col, across, cell in cells:
+            lines = (yield _plain(cell.children, unseen(cell, hid))).split("\n")
             line[col] = lines
-            if across == 1:
-                widths[col] = max(widths.get(col, 0), *map(len, lines))
-            col += across
+            widths[col] = max(widths.get(col, 0), *(map(_width, lines) if across == 1 else (0,)))
         grid.append(line)
+    columns = sorted(widths)
     for line in grid:
         if not any("".join(x) for x in line.values()):
             continue
-        last = max(line)
+        shown = columns[: bisect_right(columns, max(line))]
         for k in range(max(map(len, line.values()))):
             parts = []
-            for col in range(last + 1):
+            for col in shown:
                 cell = line.get(col, [""])
-                parts.append((cell[k] if k < len(cell) else "").ljust(widths.get(col, 0)))
+                text = cell[k] if k < len(cell) else ""
+                parts.append(text + " " * (widths[col] - _width(text)))
             w.block(1)
             w.text(" | ".join(parts).rstrip(), True)
 
@@ -429,11 +499,8 @@ def pages_text(pages: DataFrame) -> DataFrame:
     ddl = "page_id long, text string"
 
     def run(batches):
-        import sys
-
         import pyarrow as pa
 
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
         for batch in batches:
             for a, b in slices(batch.column("html")):
                 out = [extract(x) for x in batch.column("html").slice(a, b - a).to_pylist()]

@@ -31,6 +31,8 @@ SCALE = 20.0
 SAMPLE, SAMPLE_TOTAL, SAMPLE_LEAST = 1200, 6000, 50
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 1e-4, 1e-5
 EPOCHS = 3
+#: Texts of fewer n-grams have theirs sorted to count them once; longer ones mark all features.
+DENSE = 600
 UNKNOWN = "und"
 #: A text is foreign if its mean n-gram is rarer than that of the quantile USUAL of its language's sample by more than
 #: GAP of the way to one never seen and SLACK standard errors (n-grams overlap, so OVERLAP of them count as one), or if
@@ -136,11 +138,16 @@ def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
             for a, b in slices(batch.column("text"), 1 << 18):
                 part = batch.column("text").slice(a, b - a).to_pylist()
                 of, feature, _ = grams(part)
+                size = np.bincount(of, minlength=len(part))
+                short = size[of] < DENSE
+                pairs = np.unique(of[short].astype(np.int64) << BITS | feature[short])
+                count += np.bincount(pairs & (1 << BITS) - 1, minlength=1 << BITS)
+                of, feature = of[~short], feature[~short]
                 order = np.argsort(of, kind="stable")
-                feature, cut = feature[order], np.searchsorted(of[order], np.arange(len(part) + 1))
-                for i in range(len(part)):
+                of, feature = of[order], feature[order]
+                for i in np.flatnonzero(size >= DENSE).tolist():
                     seen[:] = False
-                    seen[feature[cut[i] : cut[i + 1]]] = True
+                    seen[feature[np.searchsorted(of, i) : np.searchsorted(of, i, side="right")]] = True
                     count += seen
                 n += len(part)
         some = np.flatnonzero(count)
@@ -295,23 +302,25 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 def accepted(docs: DataFrame, model: Model | None, least: float, only_known: bool = False) -> DataFrame:
     """The rows of ``docs`` with a letter in their text and a score of ``least`` or more, all columns kept; with ``only_known`` just those like the sample.
 
-    Without a model every text with a letter stays. Null texts go.
+    Without a model every text with a letter stays. Null and empty texts go;
+    repeated rows stay or go together; an empty table gives no rows. Only the
+    texts go to Python, and one boolean for each comes back.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def stays(text):
         import pyarrow as pa
 
         model = held.value or Model([UNKNOWN], np.zeros((1, 1 << BITS)), np.zeros(1), 1.0)
-        for batch in batches:
-            for a, b in slices(batch.column("text"), 1 << 18):
-                part = batch.slice(a, b - a)
-                texts = part.column("text").to_pylist()
-                made = grams(texts)
-                p, letters = model.scores(texts, made)
-                keep = letters & (p.max(axis=1) >= least)
-                if only_known:
-                    keep &= model.known(texts, made, p.argmax(axis=1))
-                yield part.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+        out = [np.zeros(0, bool)]
+        for a, b in slices(text, 1 << 18):
+            texts = text.slice(a, b - a).to_pylist()
+            made = grams(texts)
+            p, letters = model.scores(texts, made)
+            keep = letters & (p.max(axis=1) >= least)
+            if only_known:
+                keep &= model.known(texts, made, p.argmax(axis=1))
+            out.append(keep)
+        return pa.array(np.concatenate(out))
+
+    return docs.where(F.arrow_udf(stays, "boolean")(docs["text"]))

@@ -84,33 +84,51 @@ def mux(payload: bytes) -> bytes:
     return b"".join((ftyp, moov(len(ftyp) + size + len(head)), head, payload))
 
 
-def walk(data: memoryview, start: int = 0, end: int | None = None, path: bytes = b""):
+def walk(data: memoryview, start: int = 0, end: int | None = None):
     """(path, first byte, end) of every box's payload, outer boxes first; payloads aren't read."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+    todo = [(start, len(data) if end is None else end, b"")]
+    while todo:
+        start, end, path = todo.pop()
+        if start + 8 > end:
+            continue
         size, kind, head = int.from_bytes(data[start : start + 4], "big"), bytes(data[start + 4 : start + 8]), 8
         if size == 1:
-            size, head = int.from_bytes(data[start + 8 : start + 16], "big"), 16
+            size, head = int.from_bytes(data[start + 8 : min(end, start + 16)], "big"), 16
         elif size == 0:
             size = end - start
         if size < head or start + size > end:
             raise ValueError(f"box {kind!r} at {start} has a bad size")
         inner = path + b"/" + kind
         yield inner, start + head, start + size
-        if kind in PARENTS:
-            yield from walk(data, start + head + PARENTS[kind], start + size, inner)
-        start += size
+        todo.append((start + size, end, path))
+        if kind in PARENTS and len(inner) < 500:
+            todo.append((start + head + PARENTS[kind], start + size, inner))
 
 
 def probe(media: bytes) -> dict:
     """Codec, duration and byte ranges of the tracks of a container, from its boxes and sample tables alone.
 
-    The result has ``brand``, ``seconds`` and ``tracks``: for each track ``codec``,
-    ``timescale``, ``duration``, ``samples`` (array of first byte and size of each),
-    ``keyframes`` (numbers, from 0, of sync samples; all where no table lists them).
+    The result has ``brand``, ``seconds`` and ``tracks``: for each track that has
+    sample tables ``codec``, ``timescale``, ``duration`` (the sum of its samples',
+    or what the header says where there is no table of them), ``samples`` (array
+    of first byte and size of each), ``keyframes`` (numbers, from 0, of sync
+    samples; all where no table lists them). What is no container, or one whose
+    tables don't fit together, is a ValueError; no track is none.
     """
-    data, tracks, brand, seconds = memoryview(media), [], "", 0.0
-    u4 = lambda at, n: np.frombuffer(data, ">u4", n, at).astype(np.int64)
+    try:
+        return _probe(memoryview(media))
+    except (struct.error, IndexError, KeyError, UnicodeDecodeError) as e:
+        raise ValueError(f"broken container: {e!r}") from e
+
+
+def _probe(data: memoryview) -> dict:
+    tracks, brand, seconds = [], "", 0.0
+
+    def u4(at, n):
+        if n < 0 or at + 4 * n > len(data):
+            raise ValueError("a table ends beyond its file")
+        return np.frombuffer(data, ">u4", n, at).astype(np.int64)
+
     for path, a, b in walk(data):
         kind = path.rpartition(b"/")[2]
         if kind == b"ftyp":
@@ -120,46 +138,78 @@ def probe(media: bytes) -> dict:
             seconds = length / scale if scale else 0.0
         elif kind == b"trak":
             tracks.append({})
+        elif not tracks:
+            continue
         elif kind == b"mdhd":
             tracks[-1]["timescale"], tracks[-1]["duration"] = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
         elif kind == b"stsd":
             tracks[-1]["codec"] = bytes(data[a + 12 : a + 16]).decode("latin-1")
+        elif kind == b"stts":
+            runs = u4(a + 8, 2 * int(u4(a + 4, 1)[0])).reshape(-1, 2)
+            tracks[-1]["times"] = int((runs[:, 0] * runs[:, 1]).sum())
         elif kind == b"stss":
             tracks[-1]["stss"] = u4(a + 8, int(u4(a + 4, 1)[0])) - 1
         elif kind == b"stsz":
             one, n = map(int, u4(a + 4, 2))
+            if one * n > len(data):
+                raise ValueError("more samples than bytes")
             tracks[-1]["sizes"] = np.full(n, one, np.int64) if one else u4(a + 12, n)
+        elif kind == b"stz2":
+            bits, n = data[a + 7], int(u4(a + 8, 1)[0])
+            if bits not in (4, 8, 16) or n * bits > 8 * (b - a):
+                raise ValueError("a table ends beyond its file")
+            raw = np.frombuffer(data, ">u2" if bits == 16 else "u1", -(-n * bits // (16 if bits == 16 else 8)), a + 12).astype(np.int64)
+            tracks[-1]["sizes"] = (np.stack([raw >> 4, raw & 15], axis=1).ravel() if bits == 4 else raw)[:n]
         elif kind == b"stsc":
             tracks[-1]["stsc"] = u4(a + 8, 3 * int(u4(a + 4, 1)[0])).reshape(-1, 3)
         elif kind in (b"stco", b"co64"):
             n = int(u4(a + 4, 1)[0])
+            if kind == b"co64":
+                u4(a + 8, 2 * n)
             tracks[-1]["chunks"] = u4(a + 8, n) if kind == b"stco" else np.frombuffer(data, ">u8", n, a + 8).astype(np.int64)
+    tracks = [t for t in tracks if {"sizes", "chunks", "stsc"} <= t.keys()]
     for t in tracks:
-        sizes, chunks = t.pop("sizes"), t.pop("chunks")
-        runs = t.pop("stsc")
-        per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
-        chunk = np.repeat(np.arange(len(chunks)), per)[: len(sizes)]
+        sizes, chunks, runs = t.pop("sizes"), t.pop("chunks"), t.pop("stsc")
+        spans = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+        if (spans < 0).any() or (len(chunks) and (not len(runs) or runs[0, 0] != 1)) or (spans * runs[:, 1]).sum() != len(sizes):
+            raise ValueError("chunks and samples don't fit together")
+        chunk = np.repeat(np.arange(len(chunks)), np.repeat(runs[:, 1], spans))
         before = np.cumsum(sizes) - sizes
         first = np.searchsorted(chunk, np.arange(len(chunks)))
-        t["samples"] = np.stack([chunks[chunk] + before - before[np.minimum(first, len(sizes) - 1)][chunk], sizes], axis=1)
+        at = chunks[chunk] + before - (before[np.minimum(first, len(sizes) - 1)][chunk] if len(sizes) else 0)
+        if len(at) and (at.min() < 0 or (at + sizes).max() > len(data)):
+            raise ValueError("a sample lies beyond its file")
+        t["samples"] = np.stack([at, sizes], axis=1)
         t["keyframes"] = t.pop("stss", np.arange(len(sizes)))
+        if len(t["keyframes"]) and (t["keyframes"].min() < 0 or t["keyframes"].max() >= len(sizes)):
+            raise ValueError("a sync sample is none of the samples")
+        t["duration"] = t.pop("times", t.get("duration", 0))
+        t.setdefault("codec", "")
+        t.setdefault("timescale", 0)
     return {"brand": brand, "seconds": seconds, "tracks": tracks}
 
 
 def payload_of(media: bytes) -> bytes:
-    """The samples of the first track, read back in their order."""
-    data, s = memoryview(media), probe(media)["tracks"][0]["samples"]
+    """The samples of the first track, read back in their order; nothing without a track."""
+    tracks = probe(media)["tracks"]
+    if not tracks:
+        return b""
+    data, s = memoryview(media), tracks[0]["samples"]
     if len(s) and (s[1:, 0] == s[:-1, 0] + s[:-1, 1]).all():
         return bytes(data[int(s[0, 0]) : int(s[-1].sum())])
     return b"".join(bytes(data[a : a + n]) for a, n in s.tolist())
 
 
 ENCODED = "doc_id long, n_bytes long, media binary"
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, seconds double, n_keyframes long"
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, seconds double, n_keyframes long, error string"
 
 
 def encode(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and the container (``media``) of every text; null text is stored as the empty one."""
+    """doc_id, n_bytes and the container (``media``) of every text.
+
+    Null text is stored as the empty one; equal texts give equal containers;
+    texts of any length are stored whole; an empty table gives no rows.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -172,48 +222,83 @@ def encode(docs: DataFrame) -> DataFrame:
     return common.unique_columns(docs, "doc_id", "text").mapInArrow(run, ENCODED)
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The media table of ``encode``, written to the shared folder."""
+    return common.save(encode(docs), "media", "zstd")
+
+
 def _keyframe_ranges(track: dict) -> np.ndarray:
-    """First byte and end of each group of samples from one keyframe to the next."""
-    s, k = track["samples"], track["keyframes"]
-    ends = s[:, 0] + s[:, 1]
-    return np.stack([s[k, 0], ends[np.append(k[1:], len(s)) - 1]], axis=1)
+    """(number of the keyframe, first byte, end) of every run of bytes from one keyframe to the next; samples of other tracks between them cut it."""
+    s, k = track["samples"], np.sort(track["keyframes"])
+    if not len(k):
+        return np.zeros((0, 3), np.int64)
+    s, group = s[k[0] :], np.searchsorted(k, np.arange(k[0], len(s)), side="right") - 1
+    begins = np.concatenate([[True], (s[1:, 0] != s[:-1, 0] + s[:-1, 1]) | (group[1:] != group[:-1])])
+    at = np.flatnonzero(begins)
+    last = np.append(at[1:], len(s)) - 1
+    return np.stack([k[group[at]], s[at, 0], s[last].sum(axis=1)], axis=1)
+
+
+KEYFRAMES = "doc_id long, codec string, keyframe long, first_byte long, end_byte long"
 
 
 def keyframes(media: DataFrame) -> DataFrame:
-    """One row for each keyframe: doc_id, codec, keyframe (number), first_byte, end_byte."""
+    """One row for each run of bytes of a keyframe and what follows it: doc_id, codec, keyframe (number), first_byte, end_byte.
+
+    Null media, what is no container and containers without a track give no
+    rows; repeated rows give repeated results; an empty table gives no rows.
+    """
 
     def run(batches):
         import pyarrow as pa
 
-        schema = common.arrow_schema("doc_id long, codec string, keyframe long, first_byte long, end_byte long")
         for batch in batches:
-            for i, m in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
-                for t in probe(m)["tracks"]:
-                    r = _keyframe_ranges(t)
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(r), pa.int64()), pa.array([t["codec"]] * len(r)), pa.array(t["keyframes"]), pa.array(r[:, 0]), pa.array(r[:, 1])], schema=schema)
-
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, codec string, keyframe long, first_byte long, end_byte long")
+            for a, b in slices(batch.column("media")):
+                for i, m in zip(batch.column("doc_id").slice(a, b - a).to_pylist(), batch.column("media").slice(a, b - a).to_pylist(), strict=True):
+                    try:
+                        tracks = probe(m)["tracks"] if m is not None else []
+                    except ValueError:
+                        tracks = []
+                    for t in tracks:
+                        r = _keyframe_ranges(t)
+                        yield pa.RecordBatch.from_arrays([pa.array([i] * len(r), pa.int64()), pa.array([t["codec"]] * len(r), pa.string()), *(pa.array(r[:, c]) for c in range(3))], schema=common.arrow_schema(KEYFRAMES))
+
+    return media.select("doc_id", "media").mapInArrow(run, KEYFRAMES)
+
+
+def _features(i, n, m) -> tuple:
+    """A row of ``FEATURES``."""
+    try:
+        found = probe(m) if m is not None else {"tracks": []}
+        error = None if found["tracks"] else "no track" if m is not None else "no media"
+    except ValueError as e:
+        found, error = {"tracks": []}, str(e)
+    size, digest = (len(m), hashlib.sha256(m).hexdigest()) if m is not None else (None, None)
+    if not found["tracks"]:
+        return (i, n, None, None, None, size, digest, None, None, found.get("seconds"), None, error)
+    back, t = payload_of(m), found["tracks"][0]
+    ranges = _keyframe_ranges(t)
+    text = f"{t['codec'].strip()}:{t['duration']}/{t['timescale']}:{len(t['samples'])}:{len(t['keyframes'])}:{zlib.crc32(ranges[:, 1:].astype('<i8').tobytes()):08x}"
+    return (i, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), size, digest, text, t["codec"], found["seconds"], len(t["keyframes"]), None)
 
 
 def features(media: DataFrame) -> DataFrame:
     """What the stored bytes say (columns as in ``FEATURES``); the text is not looked at again.
 
     ``feature`` is codec, duration/timescale, samples, keyframes and a crc32 of
-    all keyframe byte ranges.
+    all keyframe byte ranges. Null media and what can't be read as a container
+    with a track have null features and say why in ``error``; repeated rows give
+    repeated results; an empty table gives no rows.
     """
 
     def run(batches):
         import pyarrow as pa
 
+        schema = common.arrow_schema(FEATURES)
         for batch in batches:
-            rows = []
-            for i, n, m in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist(), strict=True):
-                found, back = probe(m), payload_of(m)
-                t = found["tracks"][0]
-                ranges = _keyframe_ranges(t)
-                text = f"{t['codec'].strip()}:{t['duration']}/{t['timescale']}:{len(t['samples'])}:{len(ranges)}:{zlib.crc32(ranges.astype('<i8').tobytes()):08x}"
-                rows.append((i, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(m), hashlib.sha256(m).hexdigest(), text, t["codec"], found["seconds"], len(ranges)))
-            schema = common.arrow_schema(FEATURES)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+            for a, b in slices(batch.column("media")):
+                columns = (batch.column(c).slice(a, b - a).to_pylist() for c in ("doc_id", "n_bytes", "media"))
+                rows = [_features(*row) for row in zip(*columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURES)

@@ -80,8 +80,8 @@ def time_of(share: Column, knots: Column) -> Column:
 def plan(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), schedules=SCHEDULES) -> DataFrame:
     """The mix: doc_id, size, source_size, target, taken, n_copies, position, range-sorted by position.
 
-    Order within a source: md5 of doc_id, then doc_id and size; rows equal in
-    all of these are interchangeable. A source's demand is its target, rounded;
+    Order within a source: md5 of doc_id (of the size where that is null), then
+    doc_id and size; rows equal in all of these are interchangeable. A source's demand is its target, rounded;
     documents follow one another in that order, around again as long as demand
     is left, and the last copy is cut at a word so that the words taken are
     the demand exactly. ``taken`` counts the words of all copies, ``n_copies``
@@ -98,7 +98,7 @@ def arrange(sized: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3
     """``plan`` over (doc_id, source, size) rows; any further columns stay."""
     spark = sized.sparkSession
     goal = targets(sized, most, weights).withColumnsRenamed({"source": "_of"})
-    mark = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
+    mark = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.col("size"))))  # null doc_ids are dealt by their sizes
     bucket = (F.conv(F.substring(F.col("_mark"), 1, 7), 16, 10).cast("long") * common.parts(spark) / F.lit(1 << 28)).cast("int")
     placed = common.dealt_sum(sized.withColumn("_mark", mark), ["source"], [F.col("_mark"), F.col("doc_id"), F.col("size")], F.col("size"), "_start", F.coalesce(bucket, F.lit(0)))
     joined = placed.join(goal, placed["source"].eqNullSafe(goal["_of"]))
@@ -122,24 +122,22 @@ def mixed(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3),
     """The documents of the mix: a row for each copy, range-sorted by training position, columns as in ``docs``.
 
     Rows are told apart by their place in the files of ``docs``; what isn't
-    read from files is written first. The cut last copy of a source holds its
-    words with single spaces, and n_chars, where there is one, follows it.
+    read from files is written first. Texts stay whole: the last copy of a
+    source, which ``plan`` cuts at a word, is taken if at least half of it is.
+    Null, empty and wordless texts are never taken; rows that repeat others are
+    documents of their own; null sources are one source; an empty table gives no rows.
     """
     spark = docs.sparkSession
     if "_metadata" in docs.columns or not docs.inputFiles():
         docs = common.save(docs, "mix-input")
-    place = [F.xxhash64("_metadata.file_path").alias("_mix_file"), F.col("_metadata.row_index").alias("_mix_index")]
+    file, index, position = common.own_names(docs, "mix_file", "mix_index", "mix_position")
+    place = [F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(index)]
     keyed = docs.select("*", *place)
     sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), *place)
     planned = arrange(sized, most, weights, schedules, ordered=False).where("n_copies > 0")
     copies = planned.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_copies") - 1)))
     begin = F.col("start") + F.col("_copy") * F.col("source_size")
-    n = F.least(F.col("size"), F.col("demand") - begin)
-    timed = copies.select("_mix_file", "_mix_index", n.alias("_mix_words"), (n < F.col("size")).alias("_mix_cut"), time_of(begin / F.greatest(F.col("demand"), F.lit(1)), _knots(F.col("source_rank"), schedules)).alias("_mix_position"))
-    joined = keyed.join(timed, ["_mix_file", "_mix_index"])
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(common.WORD_PATTERN), F.lit(0)), F.lit(1), F.greatest(F.col("_mix_words"), F.lit(1)).cast("int")), " ")
-    shorter = joined.withColumn("text", F.when(F.col("_mix_cut"), cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        shorter = shorter.withColumn("n_chars", F.when(F.col("_mix_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    order = [F.col("_mix_position"), F.asc_nulls_first("doc_id")]
-    return shorter.repartitionByRange(common.parts(spark), *order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in docs.columns])
+    enough = 2 * F.least(F.col("size"), F.col("demand") - begin) >= F.col("size")
+    timed = copies.where(enough).select(file, index, time_of(begin / F.greatest(F.col("demand"), F.lit(1)), _knots(F.col("source_rank"), schedules)).alias(position))
+    order = [F.col(position), F.asc_nulls_first("doc_id")]
+    return keyed.join(timed, [file, index]).repartitionByRange(common.parts(spark), *order).sortWithinPartitions(*order).select(*[F.col(f"`{c}`") for c in docs.columns])

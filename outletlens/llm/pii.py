@@ -1,14 +1,14 @@
 """Personal data by weak supervision, with DataFrame and SQL functions only.
 
 Four base kinds are found by fixed patterns and always stay. Further candidates
-(telephone numbers without a plus sign, national ids, IBANs, names after a
-title, dates of birth) come from wider patterns. Every candidate, base ones
-too, gets votes of labelers that look at its form, its check digits, word
-lists, the words before it and what stands nearby. Expectation-maximisation
-over the counts of vote patterns estimates each labeler's reliability and the
-probability of each pattern; a naive Bayes span classifier is then trained on
-these probabilities with features that no labeler sees, and decides on the
-further candidates.
+(telephone numbers without a plus sign, national ids, IBANs, names, dates of
+birth, and secrets: passwords, tokens and keys) come from wider patterns. Every
+candidate, base ones too, gets votes of labelers that look at its form, its
+check digits, word lists, the words before it and what stands nearby.
+Expectation-maximisation over the counts of vote patterns estimates each
+labeler's reliability and the probability of each pattern; a naive Bayes span
+classifier is then trained on these probabilities with features of the span
+itself, and it alone decides on the further candidates.
 
 The text is read once; candidates and votes are written to the shared folder.
 There are at most 3 ** len(LABELERS) vote patterns and a few hundred feature
@@ -37,19 +37,31 @@ BASE = ("email", "ip", "card", "phone")
 TEL = r"(?<![0-9A-Za-z+])(?:\([0-9]{2,5}\)|0?[0-9]{2,5})[ ./-][0-9]{3,4}[ .-][0-9]{3,5}(?![0-9A-Za-z])"
 NATIONAL = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
-NAME = r"(?<![\p{L}])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Sr|Sra)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"
 BORN = r"(?<![0-9./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9./-])"
-MORE = ("tel", "national", "iban", "name", "born")
+#: A value given to a word for secrets, or one whose first characters say what it is.
+SECRET_WORD = r"(?i:password|passwd|passphrase|pwd|secret|token|bearer|credential|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth[_ -]?key)"
+SECRET_MARK = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsur]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|sk_(?:live|test)_[0-9A-Za-z]{16,}|eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]+|-----BEGIN [A-Z ]*PRIVATE KEY-----"
+SECRET = rf"{SECRET_WORD}[\"']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}[\"']?[^\s\"']{{8,}}|(?<![0-9A-Za-z_-])(?:{SECRET_MARK})"
+MORE = ("tel", "national", "iban", "name", "born", "secret")
 
 #: Word lists of the gazetteer and context labelers; fixed values.
 TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Madame|Sr|Sra"
-FIRST_NAMES = "James|John|Robert|Michael|David|Mary|Anna|Maria|Sarah|Laura|Peter|Paul|Thomas|Hans|Klaus|Ursula|Sabine|Pierre|Jean|Marie|Claire|Juan|Carlos|Jose|Carmen|Lucia|Elena|Wei|Mohammed|Fatima"
-DOMAINS = "com|org|net|edu|gov|io|info|de|fr|es|uk|eu|us|ch|at|it"
+FIRST_NAMES = (
+    "James|John|Robert|Michael|William|David|Richard|Joseph|Thomas|Charles|Christopher|Daniel|Matthew|Anthony|Mark|Steven|Andrew|Kevin|Brian|George|Edward|Ronald|Timothy|Jason|Jeffrey|Ryan|Jacob|Gary|Eric|Jonathan"
+    "|Mary|Patricia|Jennifer|Linda|Elizabeth|Barbara|Susan|Jessica|Sarah|Karen|Lisa|Nancy|Betty|Margaret|Sandra|Ashley|Emily|Donna|Michelle|Carol|Amanda|Melissa|Deborah|Stephanie|Rebecca|Laura|Sharon|Cynthia|Kathleen|Amy"
+    "|Peter|Paul|Hans|Klaus|Wolfgang|Stefan|Andreas|Jürgen|Uwe|Dieter|Ursula|Sabine|Monika|Petra|Renate|Birgit|Heike|Katrin|Anna|Julia"
+    "|Pierre|Jean|Michel|Philippe|Alain|Nicolas|Laurent|Olivier|Marie|Claire|Nathalie|Isabelle|Sophie|Camille|Juan|Carlos|José|Antonio|Manuel|Francisco|Javier|Miguel|Carmen|Lucía|Elena|Maria|María|Ana|Pilar|Dolores"
+    "|Wei|Mohammed|Muhammad|Ahmed|Ali|Fatima|Aisha|Yusuf|Olga|Ivan|Dmitri|Natalia|Giovanni|Giulia|Marco|Luca"
+)
+NAME = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?|(?:{FIRST_NAMES}) \p{{Lu}}\p{{Ll}}+)(?!\p{{L}})"
+#: What a text must hold for further candidates to be looked for.
+MAY_HOLD = rf"[0-9]|{NAME}|{SECRET_WORD}|PRIVATE KEY"
+DOMAINS = "com|org|net|edu|gov|mil|int|io|info|biz|name|app|dev|de|fr|es|uk|eu|us|ca|mx|br|ar|cl|co|pe|ch|at|it|nl|be|lu|dk|se|no|fi|is|ie|pt|pl|cz|sk|hu|ro|bg|gr|tr|ru|ua|il|za|in|cn|jp|kr|tw|sg|au|nz"
 FOR = "tel|telephone|phone|fon|telefon|mobile|call|fax|email|mail|contact|kontakt|write to|ssn|social security|passport|iban|account|konto|card|visa|mastercard|born|birth|geboren|name|dear|address|from"
 AGAINST = "version|isbn|issn|page|pages|chapter|figure|table|order|item|total|price|release|build|section|no"
 
 LABELERS = ("form", "check", "gazetteer", "context", "nearby", "noise")
-FEATURES = ("kind", "length", "before", "after", "digits")
+FEATURES = ("kind", "length", "before", "after", "digits", "shape", "word")
 ROUNDS = 30
 
 
@@ -121,7 +133,7 @@ def base_spans(text: Column) -> Column:
 def _more_spans(text: Column, base: Column) -> Column:
     """Further candidates that touch no base span."""
     digit = text.rlike("[0-9]")
-    needs = {"tel": (TEL, digit), "national": (NATIONAL, digit), "iban": (IBAN, digit), "name": (NAME, F.lit(True)), "born": (BORN, digit)}
+    needs = {"tel": (TEL, digit), "national": (NATIONAL, digit), "iban": (IBAN, digit), "name": (NAME, F.lit(True)), "born": (BORN, digit), "secret": (SECRET, F.lit(True))}
     kinds = [F.when(may & text.rlike(p), matches(text, p, k)).otherwise(_none()) for k, (p, may) in needs.items()]
     free = F.filter(F.concat(*kinds), lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     return F.array_sort(free)
@@ -132,9 +144,16 @@ def _votes(text: Column, m: Column) -> Column:
     kind, found = m["kind"], m["found"]
     before = F.lower(F.substring(text, F.greatest(F.lit(1), m["start"] - 31), F.least(m["start"], F.lit(32))))
     digits = _digits(found)
-    form = F.when(kind.isin(*BASE, "national", "iban"), 1).when(kind == "tel", F.when(F.length(digits).between(7, 13), 1).otherwise(-1)).otherwise(0)
-    check = F.when(kind == "card", 1).when(kind == "national", F.when(found.rlike("^(?:000|666|9)|-00-|-0000$"), -1).otherwise(1)).when(kind == "ip", F.when(found.rlike(r"^0*(?:0|127|255)\."), -1).otherwise(1)).when(kind == "born", F.when(digits.rlike("(?:^|[^0-9])(?:3[2-9]|[4-9][0-9])"), -1).otherwise(0)).otherwise(0)
-    gazetteer = F.when(kind == "email", F.when(F.lower(found).rlike(rf"\.(?:{DOMAINS})$"), 1).otherwise(0)).when(kind == "name", F.when(found.rlike(rf"(?:{TITLES})\.? (?:{FIRST_NAMES})\b"), 1).otherwise(0)).when(kind == "iban", F.when(found.rlike("^(?:DE|FR|ES|IT|GB|NL|BE|AT|CH|PT|PL)"), 1).otherwise(-1)).otherwise(0)
+    value = F.regexp_replace(found, rf"^{SECRET_WORD}[^0-9A-Za-z]*", "")
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.length(value) >= 12)
+    marked = found.rlike(rf"^(?:{SECRET_MARK})")
+    form = (
+        F.when(kind.isin(*BASE, "national", "iban"), 1).when(kind == "tel", F.when(F.length(digits).between(7, 13), 1).otherwise(-1))
+        .when(kind == "secret", F.when(mixed | marked, 1).otherwise(-1)).when(kind == "name", F.when(found.rlike(r" \p{Lu}\p{Ll}+ \p{Lu}"), 1).otherwise(0)).otherwise(0)
+    )
+    variety = F.size(F.array_distinct(F.split(F.lower(value), "")))
+    check = F.when(kind == "card", 1).when(kind == "national", F.when(found.rlike("^(?:000|666|9)|-00-|-0000$"), -1).otherwise(1)).when(kind == "ip", F.when(found.rlike(r"^0*(?:0|127|255)\."), -1).otherwise(1)).when(kind == "born", F.when(digits.rlike("(?:^|[^0-9])(?:3[2-9]|[4-9][0-9])"), -1).otherwise(0)).when(kind == "secret", F.when(variety >= 8, 1).otherwise(-1)).otherwise(0)
+    gazetteer = F.when(kind == "email", F.when(F.lower(found).rlike(rf"\.(?:{DOMAINS})$"), 1).otherwise(0)).when(kind == "name", F.when(found.rlike(rf"(?:^|(?:{TITLES})\.? )(?:{FIRST_NAMES})(?!\p{{L}})"), 1).otherwise(0)).when(kind == "secret", F.when(marked | found.rlike(rf"^{SECRET_WORD}"), 1).otherwise(0)).when(kind == "iban", F.when(found.rlike("^(?:DE|FR|ES|IT|GB|NL|BE|AT|CH|PT|PL)"), 1).otherwise(-1)).otherwise(0)
     context = F.when(before.rlike(rf"(?:^|[^\p{{L}}])(?:{FOR})[^\p{{L}}]{{0,4}}(?:\p{{L}}+[^\p{{L}}]{{1,3}})?$"), 1).when(before.rlike(rf"(?:^|[^\p{{L}}])(?:{AGAINST})[^\p{{L}}]{{0,4}}$|[$\x{{20ac}}\x{{a3}}#] ?$"), -1).otherwise(0)
     around = F.concat(F.substring(text, F.greatest(F.lit(1), m["start"] - 63), F.least(m["start"], F.lit(64))), F.lit("|"), F.substring(text, m["end"] + 1, F.lit(64)))
     nearby = F.when(around.rlike("@|[0-9]{5}"), 1).otherwise(0)
@@ -143,25 +162,31 @@ def _votes(text: Column, m: Column) -> Column:
 
 
 def _features(text: Column, m: Column) -> Column:
-    """A value of each feature, none of them a labeler's."""
+    """A value of each feature: kind, length, what stands on both sides, number of digits, runs of character classes, and what the word before is for."""
     kind_of = lambda c: F.when(c == "", "edge").when(c.rlike(r"\s"), "space").when(c.rlike(r"\p{L}"), "letter").when(c.rlike("[0-9]"), "digit").otherwise("other")
     size = F.least(F.floor((m["end"] - m["start"]) / 4), F.lit(12)).cast("string")
     before = F.when(m["start"] == 0, "").otherwise(F.substring(text, m["start"], F.lit(1)))
-    return F.array(m["kind"], size, kind_of(before), kind_of(F.substring(text, m["end"] + 1, F.lit(1))), F.least(F.length(_digits(m["found"])), F.lit(20)).cast("string"))
+    shape = m["found"]
+    for pattern, mark in ((r"\p{Lu}+", "A"), (r"\p{Ll}+", "a"), ("[0-9]+", "9"), (r"\s+", " "), (r"[^Aa9 ]+", ".")):
+        shape = F.regexp_replace(shape, pattern, mark)
+    last = F.lower(F.regexp_extract(F.substring(text, F.greatest(F.lit(1), m["start"] - 31), F.least(m["start"], F.lit(32))), r"(\p{L}+)[^\p{L}]*$", 1))
+    word = F.when(last.rlike(rf"^(?:{FOR})$"), "for").when(last.rlike(rf"^(?:{AGAINST})$"), "against").when(last == "", "none").otherwise("other")
+    return F.array(m["kind"], size, kind_of(before), kind_of(F.substring(text, m["end"] + 1, F.lit(1))), F.least(F.length(_digits(m["found"])), F.lit(20)).cast("string"), F.substring(shape, 1, 6), word)
 
 
-def _judged(docs: DataFrame) -> DataFrame:
-    """``docs`` with all candidates of every text: spans (start, kind, end, base, votes, features)."""
+def _judged(docs: DataFrame, spans: str) -> DataFrame:
+    """``docs`` with all candidates of every text in the column ``spans`` (start, kind, end, base, votes, features)."""
     text = F.coalesce("text", F.lit(""))
-    with_base = docs.withColumn("_base", F.when(text.rlike("[0-9@+]"), base_spans(text)).otherwise(_none()))
-    with_more = with_base.withColumn("_more", F.when(text.rlike(rf"[0-9]|{NAME}"), _more_spans(text, F.col("_base"))).otherwise(_none()))
+    first, more = common.own_names(docs, "base_spans", "more_spans")
+    with_base = docs.withColumn(first, F.when(text.rlike("[0-9@+]"), base_spans(text)).otherwise(_none()))
+    with_more = with_base.withColumn(more, F.when(text.rlike(MAY_HOLD), _more_spans(text, F.col(first))).otherwise(_none()))
     judged = lambda c, is_base: F.transform(c, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), F.lit(is_base).alias("base"), _votes(text, m).alias("votes"), _features(text, m).alias("features")))
-    return with_more.withColumn("_spans", F.concat(judged(F.col("_base"), True), judged(F.col("_more"), False))).drop("_base", "_more")
+    return with_more.withColumn(spans, F.concat(judged(F.col(first), True), judged(F.col(more), False))).drop(first, more)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id and all candidates of every text (``spans``), saved."""
-    return common.save(_judged(common.unique_columns(docs, "doc_id", "text")).select("doc_id", F.col("_spans").alias("spans")), "candidates")
+    return common.save(_judged(common.unique_columns(docs, "doc_id", "text"), "spans").select("doc_id", "spans"), "candidates")
 
 
 #: One round of expectation-maximisation over (votes, n) patterns ``p`` from parameters ``s``: prior, and each labeler's share of 1 among its votes on personal (a) and other (b) spans.
@@ -205,22 +230,18 @@ def classifier(found: DataFrame, patterns: DataFrame) -> dict[tuple[int, str], f
 
 @dataclass
 class Model:
-    """Log odds of the classifier and probabilities of the vote patterns."""
+    """The classifier: log odds of the prior and of every feature value."""
 
     prior: float
     odds: dict[tuple[int, str], float]
-    patterns: dict[tuple[int, ...], float]
 
     def keep(self, spans: Column, threshold: float) -> Column:
-        """Base spans and those candidates whose score reaches ``threshold``, each with its score."""
-        table = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair]) if pairs else F.create_map(F.lit(""), F.lit(0.0))
-        odds = table([(f"{f}:{v}", w) for (f, v), w in sorted(self.odds.items())])
-        patterns = table([(",".join(map(str, v)), p) for v, p in sorted(self.patterns.items())])
+        """Base spans and those candidates whose probability by the classifier reaches ``threshold``, each with it."""
+        table = F.create_map(*[F.lit(x) for (f, v), w in sorted(self.odds.items()) for x in (f"{f}:{v}", w)]) if self.odds else F.create_map(F.lit(""), F.lit(0.0))
 
         def score(m):
-            text = F.aggregate(F.sequence(F.lit(0), F.lit(len(FEATURES) - 1)), F.lit(self.prior), lambda acc, i: acc + F.coalesce(odds[F.concat_ws(":", i.cast("string"), F.get(m["features"], i))], F.lit(0.0)))
-            p = F.least(F.greatest(F.coalesce(patterns[F.array_join(F.transform(m["votes"], lambda v: v.cast("string")), ",")], F.lit(0.5)), F.lit(1e-6)), F.lit(1 - 1e-6))
-            return 1 / (1 + F.exp(-(text + F.log(p / (1 - p))) / 2))
+            odds = F.aggregate(F.sequence(F.lit(0), F.lit(len(FEATURES) - 1)), F.lit(self.prior), lambda acc, i: acc + F.coalesce(table[F.concat_ws(":", i.cast("string"), F.get(m["features"], i))], F.lit(0.0)))
+            return 1 / (1 + F.exp(-odds))
 
         scored = F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), m["base"].alias("base"), score(m).alias("score")))
         return F.filter(scored, lambda m: m["base"] | (m["score"] >= threshold))
@@ -230,16 +251,14 @@ def fit(found: DataFrame) -> Model:
     """Labeler reliabilities and classifier from ``candidates``' spans."""
     patterns = common.save(reliabilities(found), "reliabilities")
     odds = classifier(found, patterns)
-    by_votes = {tuple(r["votes"]): float(r["posterior"]) for r in patterns.select("votes", "posterior").collect()}  # bounded by the number of patterns
-    return Model(float(odds.pop((-1, ""))), odds, by_votes)
+    return Model(float(odds.pop((-1, ""))), odds)
 
 
 def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id and ``spans`` (start, kind, end, base, score) of every text.
 
     Base spans come first in their order and always stay; a further candidate
-    stays if its score, the classifier's and its vote pattern's log odds taken
-    together, reaches ``threshold``. Null text counts as empty and has no spans;
+    stays if the classifier's probability reaches ``threshold``. Null text counts as empty and has no spans;
     repeated rows give repeated results; an empty table gives no rows.
     """
     found = candidates(docs)
@@ -250,18 +269,20 @@ def cleaned(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` with every span of ``detect`` replaced by its kind in brackets; n_chars, where there is one, follows.
 
     Overlapping spans are replaced together, under the kind that starts first.
-    Null text stays null.
+    Null text stays null and empty text empty; repeated rows give repeated
+    results; an empty table gives no rows. Texts are matched once to train and
+    once more to cut them, as no key tells repeated rows apart.
     """
-    model = fit(candidates(docs))
-    marked = _judged(docs).withColumn("_spans", F.array_sort(model.keep(F.col("_spans"), threshold)))
+    model, (spans,) = fit(candidates(docs)), common.own_names(docs, "spans")
+    marked = _judged(docs, spans).withColumn(spans, F.array_sort(model.keep(F.col(spans), threshold)))
     t = F.col("text")
 
     def step(acc, m):
         after = F.concat(acc["out"], F.substring(t, acc["at"] + 1, m["start"] - acc["at"]), F.lit("["), F.upper(m["kind"]), F.lit("]"))
         return F.when(m["start"] >= acc["at"], F.struct(m["end"].alias("at"), after.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], m["end"]).alias("at"), acc["out"].alias("out")))
 
-    cut = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    some = F.size("_spans") > 0
+    cut = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
+    some = F.size(spans) > 0
     out = marked.withColumn("text", F.when(some, cut).otherwise(t))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

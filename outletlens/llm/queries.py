@@ -30,7 +30,7 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every text as an ISO media file and read its features from the stored bytes."""
-    return media.features(media.encode(_table(spark, sf_dir, "documents")))
+    return media.features(media.stored(_table(spark, sf_dir, "documents")))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,19 +6,21 @@ and then writes one index file beside it:
 
 * ``<shard>.bin``: the ids of all its documents, little-endian unsigned 16- or
   32-bit numbers (16 when the vocabulary fits), nothing else;
-* ``<shard>.idx``: an ``.npz`` of ``bounds`` (id offset of each document and the
-  end), ``keys`` (doc_ids in file order, for scans), ``nulls`` (documents
-  without a key, which come first), and of the minimal perfect hash: level
-  ``sizes`` and ``bits``, and for each slot the ``fingerprint`` of its key and
-  the ordinal ``first`` of its first document.
-
-A file is written under a name of its task attempt and then renamed, so a task
-that runs again after a lost executor replaces whole files only.
+* ``<shard>.idx``: a line of JSON that says where each array is, then the
+  arrays: ``bounds`` (id offset of each document and the end), ``keys`` (doc_ids
+  in file order, for scans), and of the minimal perfect hash the level ``sizes``,
+  ``bits`` (in words of 64) and ``ranks`` (bits set before each 512), and for each
+  slot the ``fingerprint`` of its key and the ordinal ``first`` of its first document.
+
+One key is found with a fixed number of small reads, however large the shard is.
+Shards are named by their partition: a task that runs again after a lost
+executor writes under a name of its own and then takes the place of what was
+there; names that were never taken up are deleted at the end.
 """
 
 from __future__ import annotations
 
-import io
+import json
 import zlib
 
 import numpy as np
@@ -48,16 +50,16 @@ class PerfectHash:
     """Minimal perfect hash of distinct 64-bit keys: a cascade of collision-free bit levels.
 
     A key's slot is the rank of its bit among all bits set so far, found with
-    one stored count for each 512 bits: constant time, about 3 bits a key.
+    one stored count for each 512 bits: constant time, about 4 bits a key.
     """
 
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray) -> None:
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, ranks: np.ndarray | None = None) -> None:
         self.sizes, self.bits = sizes, bits
-        flat = np.unpackbits(bits, bitorder="little")
         self.first = np.concatenate([[0], np.cumsum(sizes)])
-        block = np.add.reduceat(flat, np.arange(0, len(flat), 512), dtype=np.int64) if len(flat) else np.zeros(0, np.int64)
-        self.rank = np.concatenate([[0], np.cumsum(block)])
-        self.flat = flat
+        if ranks is None:
+            counts = np.bitwise_count(bits).reshape(-1, 8).sum(axis=1, dtype=np.int64)
+            ranks = np.cumsum(counts) - counts
+        self.ranks = ranks
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
@@ -73,8 +75,8 @@ class PerfectHash:
             left = left[~alone[at]]
         if len(left):
             raise ValueError("keys aren't distinct")
-        flat = np.concatenate(levels) if levels else np.zeros(0, bool)
-        return cls(np.array(sizes, np.int64), np.packbits(flat, bitorder="little"))
+        flat = np.packbits(np.concatenate(levels), bitorder="little") if levels else np.zeros(0, np.uint8)
+        return cls(np.array(sizes, np.int64), np.concatenate([flat, np.zeros(-len(flat) % 64, np.uint8)]).view("<u8"))
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         """Slot of each key; -1 for some keys that were never in the set."""
@@ -83,16 +85,19 @@ class PerfectHash:
             if not len(left):
                 break
             bit = self.first[level] + _level_hash(keys[left], level, size)
-            hit = self.flat[bit] == 1
+            hit = (self.bits[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
             out[left[hit]] = self._rank(bit[hit])
             left = left[~hit]
         return out
 
     def _rank(self, bit: np.ndarray) -> np.ndarray:
-        block = bit >> 9
-        padded = np.concatenate([self.flat, np.zeros(512, np.uint8)])
-        inside = padded[(block << 9)[:, None] + np.arange(512)]
-        return self.rank[block] + (inside * (np.arange(512) < (bit & 511)[:, None])).sum(axis=1)
+        block, word = bit >> 9, bit >> 6
+        out = self.ranks[block].copy()
+        for k in range(7):  # the whole words before the bit's own
+            at = (block << 3) + k
+            out += np.where(at < word, np.bitwise_count(self.bits[at]), 0)
+        below = (np.uint64(1) << (bit & 63).astype(np.uint64)) - np.uint64(1)
+        return out + np.bitwise_count(self.bits[word] & below)
 
 
 def _files(root: str):
@@ -103,18 +108,19 @@ def _files(root: str):
 
 def _write_shards(root: str, tokenizer: str, style: str, end_id: int):
     def write(batches):
-        import os
         import uuid
 
         import pyarrow as pa
+        from pyspark import TaskContext
 
         store, base = _files(root)
-        name, own = uuid.uuid4().hex, None
+        part = TaskContext.get().partitionId()
+        name, own, attempt = f"part-{part:06d}", None, uuid.uuid4().hex
         counts, keys, nulls, total = [], [], 0, 0
         for batch in batches:
             if own is None:
                 store.create_dir(base, recursive=True)
-                own = store.open_output_stream(f"{base}/_{name}.bin")
+                own = store.open_output_stream(f"{base}/_{attempt}.bin")
             text, ids = batch.column("text"), batch.column("doc_id")
             for a, b in slices(text):
                 enc = encoder(tokenizer, style)
@@ -140,19 +146,30 @@ def _write_shards(root: str, tokenizer: str, style: str, end_id: int):
         slot = perfect.slots(distinct.view(np.uint64))
         mark, at = np.empty(len(slot), np.uint32), np.empty(len(slot), np.int64)
         mark[slot], at[slot] = fingerprints(distinct.view(np.uint64)), first + nulls
-        packed = io.BytesIO()
-        np.savez(packed, bounds=bounds, keys=keys, nulls=nulls, sizes=perfect.sizes, bits=perfect.bits, fingerprint=mark, first=at, width=width)
-        with store.open_output_stream(f"{base}/_{name}.idx") as f:
-            f.write(packed.getbuffer())
+        arrays = {"bounds": bounds, "keys": keys, "sizes": perfect.sizes, "bits": perfect.bits, "ranks": perfect.ranks, "fingerprint": mark, "first": at}
+        with store.open_output_stream(f"{base}/_{attempt}.idx") as f:
+            _write_index(f, arrays, {"nulls": nulls, "width": width})
         for kind in ("bin", "idx"):
-            store.move(f"{base}/_{name}.{kind}", f"{base}/{name}.{kind}")
+            store.move(f"{base}/_{attempt}.{kind}", f"{base}/{name}.{kind}")
         low, high = (int(keys[0]), int(keys[-1])) if len(keys) else (None, None)
-        yield pa.RecordBatch.from_pylist([{"shard": name, "low": low, "high": high, "nulls": nulls, "n_docs": len(bounds) - 1, "n_ids": total}], schema=common.arrow_schema(MANIFEST))
+        yield pa.RecordBatch.from_pylist([{"part": part, "shard": name, "low": low, "high": high, "nulls": nulls, "n_docs": len(bounds) - 1, "n_ids": total}], schema=common.arrow_schema(MANIFEST))
 
     return write
 
 
-MANIFEST = "shard string, low long, high long, nulls long, n_docs long, n_ids long"
+def _write_index(f, arrays: dict[str, np.ndarray], more: dict) -> None:
+    """A line of JSON with kind, place and length of each array, then the arrays."""
+    at, places = 0, {}
+    for name, x in arrays.items():
+        x = arrays[name] = x.astype(x.dtype.newbyteorder("<"))
+        places[name] = [x.dtype.str, at, len(x)]
+        at += x.nbytes
+    f.write(json.dumps({"arrays": places} | more).encode() + b"\n")
+    for x in arrays.values():
+        f.write(x.tobytes())
+
+
+MANIFEST = "part long, shard string, low long, high long, nulls long, n_docs long, n_ids long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -167,35 +184,66 @@ def write(docs: DataFrame, root: str, tokenizer: str, style: str = "byte", end_i
     spark = docs.sparkSession
     rows = common.unique_columns(docs, "doc_id", "text")
     dealt = rows.repartitionByRange(common.parts(spark), F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"), "text")
-    return common.save(dealt.mapInArrow(_write_shards(root, tokenizer, style, end_id), MANIFEST), "manifest")
+    manifest = common.save(dealt.mapInArrow(_write_shards(root, tokenizer, style, end_id), MANIFEST), "manifest")
+    store, base = _files(root)
+    from pyarrow import fs
+
+    for info in store.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+        if info.base_name.startswith("_"):  # left by attempts that were lost
+            store.delete_file(info.path)
+    return manifest
 
 
 class Shard:
-    """One shard, opened for keyed access."""
+    """One shard, opened for keyed access: its index is read array by array or, for one key, a few bytes at a time."""
 
     def __init__(self, root: str, name: str) -> None:
         store, base = _files(root)
-        with store.open_input_file(f"{base}/{name}.idx") as f:
-            index = np.load(io.BytesIO(f.read()))
-            self.index = {k: index[k] for k in index.files}
-        self.hash = PerfectHash(self.index["sizes"], self.index["bits"])
-        self.dtype = np.dtype("<u2" if int(self.index["width"]) == 2 else "<u4")
-        self.file = store.open_input_file(f"{base}/{name}.bin")
+        self.idx, self.file = store.open_input_file(f"{base}/{name}.idx"), store.open_input_file(f"{base}/{name}.bin")
+        head = self.idx.read(1 << 12).split(b"\n", 1)[0]
+        self.start, said = len(head) + 1, json.loads(head)
+        self.places, self.nulls = said["arrays"], said["nulls"]
+        self.dtype = np.dtype("<u2" if said["width"] == 2 else "<u4")
+        self.held: dict[str, np.ndarray] = {}
+
+    def part(self, name: str, a: int, b: int) -> np.ndarray:
+        """Entries a to b of an array, read from the file."""
+        kind, at, _ = self.places[name]
+        kind = np.dtype(kind)
+        return np.frombuffer(self.idx.read_at((b - a) * kind.itemsize, self.start + at + a * kind.itemsize), kind)
+
+    def whole(self, name: str) -> np.ndarray:
+        if name not in self.held:
+            self.held[name] = self.part(name, 0, self.places[name][2])
+        return self.held[name]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Ordinal of each key's first document; -1 where the fingerprint says that there is none."""
         raw = np.asarray(keys, np.int64).view(np.uint64)
-        slot = self.hash.slots(raw)
-        if not len(self.index["first"]):
+        slot = PerfectHash(self.whole("sizes"), self.whole("bits"), self.whole("ranks")).slots(raw)
+        if not len(self.whole("first")):
             return slot
-        known = (slot >= 0) & (self.index["fingerprint"][slot] == fingerprints(raw))
-        return np.where(known, self.index["first"][slot], -1)
+        known = (slot >= 0) & (self.whole("fingerprint")[slot] == fingerprints(raw))
+        return np.where(known, self.whole("first")[slot], -1)
+
+    def find_one(self, key: int) -> int:
+        """``find`` of one key: one word of bits for each level, then 64 bytes, a count, a fingerprint and an ordinal are read."""
+        raw, first = np.array([key], np.int64).view(np.uint64), 0
+        for level, size in enumerate(self.whole("sizes").tolist()):
+            bit = first + int(_level_hash(raw, level, size)[0])
+            if int(self.part("bits", bit >> 6, (bit >> 6) + 1)[0]) >> (bit & 63) & 1:
+                block = bit >> 9
+                words = self.part("bits", 8 * block, 8 * block + 8)
+                inside = sum(int(w).bit_count() for w in words[: (bit >> 6) & 7]) + (int(words[(bit >> 6) & 7]) & (1 << (bit & 63)) - 1).bit_count()
+                slot = int(self.part("ranks", block, block + 1)[0]) + inside
+                return int(self.part("first", slot, slot + 1)[0]) if self.part("fingerprint", slot, slot + 1)[0] == fingerprints(raw)[0] else -1
+            first += size
+        return -1
 
     def ids(self, ordinal: int, to: int | None = None) -> np.ndarray:
         """Ids of one document, or of all from ``ordinal`` up to ``to``."""
-        a, b = self.index["bounds"][ordinal], self.index["bounds"][ordinal + 1 if to is None else to]
-        self.file.seek(int(a) * self.dtype.itemsize)
-        return np.frombuffer(self.file.read(int(b - a) * self.dtype.itemsize), self.dtype)
+        a, b = (int(x) for x in (self.part("bounds", ordinal, ordinal + 2) if to is None else self.whole("bounds")[[ordinal, to]]))
+        return np.frombuffer(self.file.read_at((b - a) * self.dtype.itemsize, a * self.dtype.itemsize), self.dtype)
 
 
 def _read_shards(root: str):
@@ -205,7 +253,7 @@ def _read_shards(root: str):
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(root, row["shard"])
-                bounds, keys, nulls = shard.index["bounds"], shard.index["keys"], int(shard.index["nulls"])
+                bounds, keys, nulls = shard.whole("bounds"), shard.whole("keys"), shard.nulls
                 first = shard.find(keys)
                 if (first < nulls).any():
                     raise ValueError(f"{row['shard']}: a key isn't in its index")
@@ -228,33 +276,32 @@ def _read_shards(root: str):
 
 def read_back(spark: SparkSession, manifest: DataFrame, root: str) -> DataFrame:
     """Every document of the shards, fetched through each shard's index: doc_id, start, n_tokens, ids_crc32."""
-    order = W.orderBy(F.asc_nulls_first("low"), "high", "shard").rowsBetween(W.unboundedPreceding, -1)  # a row for each shard
+    order = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row for each shard
     placed = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
     return placed.repartition(common.parts(spark), "shard").mapInArrow(_read_shards(root), READ)
 
 
 def lookup(manifest: DataFrame, keys: DataFrame, root: str) -> DataFrame:
-    """The ids of given doc_ids (column doc_id): each key goes to the shard whose range holds it.
+    """The ids of given doc_ids (column doc_id): each key goes to the shards whose range holds it.
 
-    Returns doc_id and ids (array of long) of its first document; keys in no
-    shard give no row.
+    Returns doc_id and ids (array of long) of its first document in file order;
+    null keys, repeats of a key and keys in no shard give no further row.
     """
     import pyarrow as pa
 
     def fetch(batches):
-        open_shards: dict[str, Shard] = {}
+        name, shard = None, None
         for batch in batches:
             found = []
             for row in batch.to_pylist():
-                if row["shard"] not in open_shards:
-                    open_shards.clear()
-                    open_shards[row["shard"]] = Shard(root, row["shard"])
-                shard = open_shards[row["shard"]]
-                o = int(shard.find(np.array([row["doc_id"]]))[0])
+                if row["shard"] != name:
+                    name, shard = row["shard"], Shard(root, row["shard"])
+                o = shard.find_one(row["doc_id"])
                 if o >= 0:
-                    found.append({"doc_id": row["doc_id"], "ids": shard.ids(o).tolist()})
-            yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))]))
+                    found.append({"doc_id": row["doc_id"], "part": row["part"], "ids": shard.ids(o).tolist()})
+            yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("ids", pa.list_(pa.int64()))]))
 
     wanted = keys.select("doc_id").where("doc_id is not null").distinct()
-    placed = wanted.join(manifest, (F.col("doc_id") >= F.col("low")) & (F.col("doc_id") <= F.col("high"))).select("doc_id", "shard")
-    return placed.repartition("shard").sortWithinPartitions("shard").mapInArrow(fetch, "doc_id long, ids array<long>").dropDuplicates(["doc_id"])
+    placed = wanted.join(manifest, (F.col("doc_id") >= F.col("low")) & (F.col("doc_id") <= F.col("high"))).select("doc_id", "part", "shard")
+    found = placed.repartition("shard", "doc_id").sortWithinPartitions("shard").mapInArrow(fetch, "doc_id long, part long, ids array<long>")
+    return found.groupBy("doc_id").agg(F.min_by("ids", "part").alias("ids"))

@@ -130,10 +130,41 @@ def test_media(edge, empty):
     spans = media.keyframes(stored.where("doc_id = 7")).orderBy("keyframe").collect()
     assert [s.keyframe for s in spans] == list(range(0, 157, 64)) and all(a.end_byte == b.first_byte for a, b in zip(spans, spans[1:], strict=False))
     assert media.features(media.encode(empty)).count() == 0
+    for n in (1, 64, 65, 200):  # the feature, computed from the payload's length alone
+        m = media.mux(b"x" * 192 * n)
+        base = len(m) - 192 * n
+        cuts = [*range(0, n, 64), n]
+        spans = np.array([(base + 192 * a, base + 192 * b) for a, b in zip(cuts, cuts[1:])], "<i8")
+        assert media._features(1, 5, m)[7] == f"raw:{192 * n}/48000:{n}:{len(cuts) - 1}:{zlib.crc32(spans.tobytes()):08x}"
     with pytest.raises(ValueError, match="size"):
         list(media.walk(memoryview(b"\0\0\1\0mdat")))
 
 
+def test_media_of_others(spark):
+    """Null, empty and broken media, containers without a track, other tables, and samples of two tracks in turn."""
+    good = media.mux(b"a" * 192 * 40)
+    no_track = media._box(b"ftyp", b"isom", bytes(4)) + media._box(b"moov")
+    broken = good.replace(b"stsc", b"free")
+    small = media._full(b"stz2", b"\0\0\0\x08", bytes([0, 0, 0, 4]), bytes([10, 20, 30, 40]))
+    parts = lambda sizes, *more: media._box(b"moov", media._box(b"trak", media._box(b"mdia", media._box(b"minf", media._box(b"stbl", sizes, *more)))))
+    chunks = lambda *at: media._full(b"stco", len(at).to_bytes(4, "big"), *(x.to_bytes(4, "big") for x in at))
+    per = media._full(b"stsc", (1).to_bytes(4, "big"), b"".join(x.to_bytes(4, "big") for x in (1, 2, 1)))
+    times = media._full(b"stts", (2).to_bytes(4, "big"), b"".join(x.to_bytes(4, "big") for x in (3, 5, 1, 7)))
+    other = parts(small, chunks(300, 400), per, times) + bytes(600)
+    found = media.probe(other)["tracks"][0]
+    assert found["samples"].tolist() == [[300, 10], [310, 20], [400, 30], [430, 40]] and found["duration"] == 22
+    assert media._keyframe_ranges(found | {"keyframes": np.array([1])}).tolist() == [[1, 310, 330], [1, 400, 470]]
+    deep = b"moov"
+    for _ in range(2000):
+        deep = media._box(b"moov", deep)
+    huge = good.replace(media._full(b"stsz", (192).to_bytes(4, "big"), (40).to_bytes(4, "big")), media._full(b"stsz", (192).to_bytes(4, "big"), b"\xff" * 4))
+    rows = [(1, None), (2, b""), (3, b"\0\0\1\0mdat"), (4, no_track), (5, broken), (6, good), (6, good), (None, good), (7, deep), (8, huge), (9, good[:-5])]
+    table = spark.createDataFrame([(i, 3, m, "x") for i, m in rows], "doc_id long, n_bytes long, media binary, codec string")
+    got = {r.doc_id: r for r in media.features(table).collect()}
+    assert all(got[i].error and got[i].payload_sha256 is None for i in (1, 2, 3, 4, 5, 7, 8, 9)) and got[6].error is None and got[None].payload_bytes == 192 * 40
+    assert {r.doc_id for r in media.keyframes(table).collect()} == {6, None}
+
+
 KINDS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 
@@ -164,9 +195,28 @@ def test_pii(spark, edge, empty):
     assert pii.detect(empty).count() == 0 and pii.cleaned(empty).columns == empty.columns
 
 
+def test_secrets_and_names_are_found_and_prose_is_left_alone(spark):
+    """Planted tokens, keys and names among the given documents: nearly all found, clean texts untouched."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rnd = random.Random(12)
+    hexa = lambda n: "".join(rnd.choices("0123456789abcdef", k=n))
+    planted, clean = [], []
+    for i in range(60):
+        planted.append((-1 - i, rnd.choice([f'so the token = "{hexa(40)}" was', f"password: Tr0ub4dor-{hexa(6)} here", f"api_key='{hexa(32)}'", f"AKIA{hexa(16).upper()} is", "dear Mr. John Smith, we", "call Maria Keller now"])))
+        clean.append((-1000 - i, rnd.choice(["the token is a word here", "a secret garden: flowers", "page 12 of version 1.2.3", "password rules are long", "In May 2020 it rained", "token = x"])))
+    both = docs.unionByName(spark.createDataFrame(planted + clean, docs.schema))
+    got = {r.doc_id: r.spans for r in pii.digest(pii.detect(both)).collect()}
+    assert sum(bool(got[i]) for i, _ in planted) >= 57 and not any(got[i] for i, _ in clean)
+    given = {r.doc_id: r.text or "" for r in docs.collect()}
+    held = {i for i, t in given.items() if re.search(r'(?i)token = "[0-9a-f]{40}', t)}
+    assert held and sum("secret:" in got[i] for i in held) >= 0.95 * len(held)
+    bare = [i for i, t in given.items() if not re.search(r"[0-9@]", t)]
+    assert len(bare) > 100 and not any(got[i] for i in bare)
+
+
 def test_reliabilities_separate_good_labelers(spark):
     spans = [([1, 1, 0, 1, 0, 0], 40), ([1, 0, 0, 0, 0, 0], 10), ([-1, 0, 0, -1, 0, -1], 40), ([0, 0, 0, 1, 0, 0], 5)]
-    rows = [([(0, "tel", 1, False, v, ["tel", "1", "space", "space", "9"])] * n,) for v, n in spans]
+    rows = [([(0, "tel", 1, False, v, ["tel", "1", "space", "space", "9", "9", "other"])] * n,) for v, n in spans]
     found = spark.createDataFrame(rows, "spans array<struct<start:int,kind:string,end:int,base:boolean,votes:array<int>,features:array<string>>>")
     post = {tuple(r.votes): r.posterior for r in pii.reliabilities(found).collect()}
     assert post[1, 1, 0, 1, 0, 0] > 0.9 and post[-1, 0, 0, -1, 0, -1] < 0.1
@@ -179,6 +229,29 @@ def test_perfect_hash():
     assert token_store.PerfectHash.build(np.zeros(0, np.uint64)).slots(keys[:3]).tolist() == [-1] * 3
 
 
+def test_one_key_takes_a_few_small_reads(tmp_path):
+    """However many keys a shard has, the bytes read for one stay the same."""
+    reads = {}
+    for n in (1000, 200_000):
+        keys = np.arange(n, dtype=np.int64) * 7 - 1000
+        perfect = token_store.PerfectHash.build(keys.view(np.uint64))
+        slot = perfect.slots(keys.view(np.uint64))
+        mark, first = np.empty(n, np.uint32), np.empty(n, np.int64)
+        mark[slot], first[slot] = token_store.fingerprints(keys.view(np.uint64)), np.arange(n)
+        with open(tmp_path / f"{n}.idx", "wb") as f:
+            token_store._write_index(f, {"bounds": np.arange(n + 1), "keys": keys, "sizes": perfect.sizes, "bits": perfect.bits, "ranks": perfect.ranks, "fingerprint": mark, "first": first}, {"nulls": 0, "width": 2})
+        (tmp_path / f"{n}.bin").write_bytes(bytes(2 * n))
+        shard = token_store.Shard(f"file://{tmp_path}", str(n))
+        shard.whole("sizes")
+        real, sizes = shard.part, []
+        shard.part = lambda name, a, b, real=real, sizes=sizes: sizes.append(b - a) or real(name, a, b)
+        some = keys[:: n // 500]
+        assert [shard.find_one(int(k)) for k in some] == np.arange(n)[:: n // 500].tolist() and shard.find_one(3) == -1
+        reads[n] = sum(sizes) / len(some), max(sizes)
+        assert shard.find(keys).tolist() == list(range(n))
+    assert reads[200_000][1] == reads[1000][1] == 8 and reads[200_000][0] < 1.2 * reads[1000][0]
+
+
 def test_token_store(spark, edge, empty):
     t, root = tokenizer(BYTE), common.scratch_path(spark, "ids")
     manifest = token_store.write(edge, root, BYTE)
@@ -193,6 +266,13 @@ def test_token_store(spark, edge, empty):
     assert [(r.doc_id, r.ids) for r in found] == [(4, t.encode("one two three four", add_special_tokens=False).ids + [0])]
     root = common.scratch_path(spark, "ids")
     assert token_store.read_back(spark, token_store.write(empty, root, BYTE), root).count() == 0
+    same = spark.range(40).selectExpr("if(id < 20, null, 5L) as doc_id", "concat('t', id % 3) as text").repartition(3)  # one key, and none, over several shards
+    for _ in range(2):
+        root = common.scratch_path(spark, "ids")
+        manifest = token_store.write(same, root, BYTE)
+        rows = sorted(token_store.read_back(spark, manifest, root).collect(), key=lambda r: r.start)
+        assert [r.doc_id for r in rows] == [None] * 20 + [5] * 20 and [r.start for r in rows] == np.cumsum([0] + [r.n_tokens for r in rows])[:-1].tolist()
+        assert token_store.lookup(manifest, spark.createDataFrame([(5,), (5,)], "doc_id long"), root).count() == 1
 
 
 def plain_components(rows):
@@ -340,8 +420,14 @@ def test_mixing(edge, corpus, empty):
         assert sorted(map(str, again)) == sorted(map(str, got))
         copies = mixing.mixed(docs)
         assert copies.columns == docs.columns
-        assert sum(len((r.text or "").split()) for r in copies.collect()) == sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in copies.collect()) == sum(r.taken for r in got)
-    assert mixing.plan(empty).count() == 0
+        whole, times = {(r.doc_id, r.text) for r in docs.collect()}, {}
+        for r in copies.collect():
+            assert (r.doc_id, r.text) in whole
+            times[r.source] = times.get(r.source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+        longest = max(r.size for r in got)
+        assert all(abs(times.get(s, 0) - goal[s]) <= longest / 2 + 1 for s in names)
+    assert mixing.plan(empty).count() == 0 and mixing.mixed(empty).count() == 0
+    assert mixing.mixed(corpus.selectExpr("*", "1 as mix_file", "2 as _mix_file", "3 as mix_position")).columns[-3:] == ["mix_file", "_mix_file", "mix_position"]
 
 
 def test_schedules_are_inverted(spark):
@@ -367,12 +453,33 @@ def test_schedules_are_inverted(spark):
         ("x < y <b>z", "x < y z"),
         ("", ""),
         ("<!-- c --><p>un<b>closed", "unclosed"),
+        ("<a href=x title=don't>one</a> two <b>it's</b>", "one two it's"),
+        ("<p title=it's>hello</p>", "hello"),
+        ("<p title = \"a > b\" data-x='>' hidden=until-found>x<br/>y", "x\ny"),
+        ("a<p title=\"never closed>b</p>", "a"),
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b><ul><li>no</ul></div>", "yes"),
+        ("<table><tr><td>日本<td>1<tr><td>abcde<td>2</table>", "日本  | 1\nabcde | 2"),
+        ("<table><tr><td colspan=2>wide cell<td>z<tr><td>a<td>b<td>c</table>", "wide cell |   | z\na | b | c"),
     ],
 )
 def test_html(page, text):
     assert html.extract(page) == text
 
 
+def test_html_hostile_pages():
+    """Deep, wide and unbalanced pages take time and memory as their length does."""
+    import time
+
+    began = time.time()
+    assert html.extract("<table><tr><td>" * 6000 + "deep") == "deep"
+    assert html.extract("<div>" * 20_000 + "</p></i>" * 20_000 + "x").strip() == "x"
+    wide = html.extract("<table>" + "<tr><td colspan=1000 rowspan=1000>a" * 500 + "</table>")
+    assert wide.count("a") == 500 and len(wide) < 2_000_000
+    assert html.extract("<p " + "a=b " * 50_000 + ">x") == "x" and html.extract("<p " + "'" * 50_000) == ""
+    assert html.extract("<i>" + "<table><tr><td>" + "<div>" * 5000 + "</i>" * 5000 + "y").strip() == "y"
+    assert time.time() - began < 20
+
+
 def test_html_pages(spark):
     table = spark.createDataFrame([(1, "<p>a", "t"), (2, None, "t"), (None, "", "t"), (1, "<p>a", "t"), (3, "<div>" * 5000 + "deep", "t")], "page_id long, html string, text string")
     assert sorted(map(str, ((r.page_id, r.text) for r in html.pages_text(table).collect()))) == sorted(map(str, [(1, "a"), (2, None), (None, ""), (1, "a"), (3, "deep")]))

@@ -117,6 +117,59 @@ def test_top_k(spark):
     assert big(slice(None), slice(None)).tolist() == [[1 << 61]]
 
 
+def test_the_trees_leave_out_what_is_far():
+    """Clustered vectors: a small share of all pairs is scored, and the result is that of all pairs."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16)) * 200
+    x = np.round(centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 16)) * 4).astype(np.int64)
+    x[:50] = x[0]  # repeated rows
+    tree, seen = covertree.build(x.astype(float)), []
+    todo = [tree]
+    while todo:
+        t = todo.pop()
+        todo += t.children
+        inside, stack = [], [t]
+        while stack:
+            u = stack.pop()
+            inside += [] if u.points is None else u.points.tolist()
+            stack += u.children
+        assert len(inside) == t.size and np.linalg.norm(x[inside] - t.centre, axis=1).max() <= t.radius + 1e-9
+        seen += [] if t.points is None else t.points.tolist()
+    assert sorted(seen) == list(range(4000)) and tree.children
+    rows, queries = np.arange(4000), np.arange(0, 4000, 50)
+    best = covertree.search(x[queries], x, 5, rows, queries, rows)
+    assert best.scored < 0.25 * len(queries) * len(x)
+    for i, q in enumerate(queries.tolist()):
+        scores = x @ x[q]
+        want = sorted(((-int(s), int(r)) for r, s in enumerate(scores) if r != q))[:5]
+        assert list(zip((-best.score[i]).tolist(), best.id[i].tolist(), strict=True)) == want
+
+
+def test_blocks_that_are_far_never_meet(spark, monkeypatch):
+    """Several blocks: fewer pairs of blocks are searched than there are, with the result of all."""
+    monkeypatch.setattr(covertree, "DATA_BLOCK", 200)
+    monkeypatch.setattr(covertree, "QUERY_BLOCK", 20)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 8))
+    rows = [(i, (centres[i % 12] + 0.01 * rng.normal(size=8)).tolist()) for i in range(2400)]
+    counted, real = {}, common.save
+
+    def save(df, name, *more):
+        out = real(df, name, *more)
+        counted[name] = out.count()
+        return out
+
+    monkeypatch.setattr(common, "save", save)
+    got = sorted(tuple(r) for r in covertree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10).collect())
+    x = np.floor(256 * np.array([v for _, v in rows])).astype(int)
+    want = []
+    for q in range(0, 2400, 10):
+        best = sorted((-int(s), r) for r, s in enumerate(x @ x[q]) if r != q)[:5]
+        want += [(q, k + 1, r, -s) for k, (s, r) in enumerate(best)]
+    assert got == sorted(want)
+    assert counted["first-pairs"] + counted["more-pairs"] < 0.8 * counted["block-pairs"]
+
+
 def test_media(edge, empty):
     stored = media.encode(edge)
     raw = {(r.doc_id, r.n_bytes): r.media for r in stored.collect()}
@@ -377,6 +430,8 @@ def test_language(spark, edge, empty):
     model = langid.train(docs)
     rows = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert len(rows) > 100 and np.mean([r.lang == r.lang_pred for r in rows]) > 0.98 and all(0 <= r.score <= 1 for r in rows)
+    there = model.idf < model.idf.max()
+    assert 0.5 < (model.weights[:, there] == 0).mean() < 1  # the penalty makes the weights sparse
     got = {r.doc_id: r.lang_pred for r in langid.predict(edge, model).collect()}
     assert got[1] == got[2] == got[10] == "und" and got[5] != "und" and len(langid.predict(edge, model).collect()) == edge.count()
     assert {r.lang_pred for r in langid.predict(edge, None).collect()} == {"und"} and langid.train(empty) is None

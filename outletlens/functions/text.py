@@ -178,12 +178,13 @@ def lemma_en(word: Column) -> Column:
 
 def negated(body: Column) -> Column:
     """Whether a clause is negated, in either language."""
-    return body.rlike(L.NEGATION_ZH) | F.arrays_overlap(F.concat(ascii_words(body, 1), F.array(F.lit(""))), F.array(*map(F.lit, L.NEGATION_EN)))
+    return (has_cjk(body) & body.rlike(L.NEGATION_ZH)) | F.arrays_overlap(F.concat(ascii_words(body, 1), F.array(F.lit(""))), F.array(*map(F.lit, L.NEGATION_EN)))
 
 
 def modality(body: Column, raw: Column) -> Column:
     """demand, plan, opinion or statement, the first that shows: Chinese marks in the body, English ones in the whole."""
-    return F.when(body.rlike(L.DEMAND_ZH) | finds(raw, L.DEMAND_EN), "demand").when(body.rlike(L.PLAN_ZH) | finds(raw, L.PLAN_EN), "plan").when(body.rlike(L.OPINION_ZH) | finds(raw, L.OPINION_EN), "opinion").otherwise("statement")
+    may = has_cjk(body) | F.lower(raw).rlike(L.MODAL_STEMS)  # one cheap look spares most texts six dear ones
+    return F.when(~may, "statement").when(body.rlike(L.DEMAND_ZH) | finds(raw, L.DEMAND_EN), "demand").when(body.rlike(L.PLAN_ZH) | finds(raw, L.PLAN_EN), "plan").when(body.rlike(L.OPINION_ZH) | finds(raw, L.OPINION_EN), "opinion").otherwise("statement")
 
 
 def attribution(text: Column) -> Column:
@@ -243,17 +244,18 @@ def eligibility(text: Column) -> Column:
     count = lambda c, p: F.regexp_count(c, F.lit(p))
     zh, en = f"(?U){L.SPEECH_ZH}", f"(?iuU){L.SPEECH_EN}"
     body = lambda p: strip(F.regexp_extract(raw, p, 2))
+    has_zh, speaks = cjk > 0, F.lower(raw).rlike(L.SPEECH_STEMS)
     reason = (
         F.when(raw == "", "empty")
         .when((cjk == 0) & no_words, "no words")
         .when((cjk < 2) & no_words & ~((cjk == 1) & raw.rlike(r"\d")), "single character")
         .when(fits(raw, L.UI_NOISE), "page furniture")
-        .when(raw.rlike(f"^{L.CREDIT_BRACKETS}$") & finds(raw, L.CREDIT_WORDS), "credit")
+        .when(raw.rlike("^[（(\\[{【〔<「『]") & raw.rlike(f"^{L.CREDIT_BRACKETS}$") & finds(raw, L.CREDIT_WORDS), "credit")
         .when(raw.rlike(f"(?iuU)^{L.BYLINE}") & (F.length(_cjk_text(rest)) < 4) & (count(rest, "[a-zA-Z0-9]+") <= 4), "byline")
         .when(fits(raw, L.ATTRIBUTION_ONLY), "attribution only")
-        .when(raw.rlike(f"(?U)^{L.DISCOURSE_ZH}$") | fits(raw, L.DISCOURSE_EN), "discourse particle")
+        .when((has_zh & raw.rlike(f"(?U)^{L.DISCOURSE_ZH}$")) | fits(raw, L.DISCOURSE_EN), "discourse particle")
         .when((F.length(raw) <= 12) & raw.rlike(f"(?U)^{L.TEMPORAL_ZH}$"), "time only")
-        .when(raw.rlike(zh) & (F.length(F.regexp_replace(body(zh), r"[^\p{L}\p{N}]", "")) < 2), "attribution only")
-        .when(raw.rlike(en) & (count(body(en), r"\S+") < 2), "attribution only")
+        .when(has_zh & raw.rlike(zh) & (F.length(F.regexp_replace(body(zh), r"[^\p{L}\p{N}]", "")) < 2), "attribution only")
+        .when(speaks & raw.rlike(en) & (count(body(en), r"\S+") < 2), "attribution only")
     )
     return F.struct(reason.isNull().alias("eligible"), F.coalesce(reason, F.lit("eligible")).alias("reason"))

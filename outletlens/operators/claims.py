@@ -18,7 +18,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def candidate_pairs(claims: DataFrame, least: float = CANDIDATE) -> DataFrame:
-    """Pairs i < j of one event whose cosine reaches ``least``: event_id, i, j, similarity.
+    """Pairs i < j of one event whose cosine, to twelve places, reaches ``least``: event_id, i, j, similarity.
 
     An event is compared in square blocks of a few hundred claims, each one
     matrix product in its own task, so a large event is spread over many tasks.
@@ -38,7 +38,7 @@ def candidate_pairs(claims: DataFrame, least: float = CANDIDATE) -> DataFrame:
         block_of = table.column("_b").to_numpy()
         idx, vec = table.column("idx").to_numpy(), np.array(table.column("vec").to_pylist(), np.float64)
         x, y = (np.flatnonzero(block_of == k) for k in (p, q))
-        sim = vec[x] @ vec[y].T
+        sim = np.round(vec[x] @ vec[y].T, 12)  # the order of rows must not decide between equal ones
         r, c = np.nonzero((sim >= least) & (idx[x][:, None] < idx[y][None, :]))
         return pa.table({"event_id": pa.array([event] * len(r), pa.string()), "i": pa.array(idx[x[r]], pa.int64()), "j": pa.array(idx[y[c]], pa.int64()), "similarity": pa.array(sim[r, c])})
 
@@ -70,13 +70,8 @@ def complete_link(nodes: list[int], edges: list[tuple[int, int, float]]) -> list
         if a is not b and all(near(x, y) for x in a for y in b):
             merged = a | b
             of |= dict.fromkeys(merged, merged)
-    made, seen = [], set()
-    for n in sorted(nodes):
-        c = of.get(n) or {n}
-        if id(c) not in seen:
-            seen.add(id(c))
-            made.append(sorted(c))
-    return made
+    groups = {min(c): sorted(c) for c in (of.get(n) or {n} for n in nodes)}
+    return [groups[k] for k in sorted(groups)]
 
 
 def clusters(claims: DataFrame, edges: DataFrame, components: DataFrame | None = None) -> DataFrame:

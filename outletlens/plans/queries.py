@@ -18,7 +18,6 @@ from outletlens.operators import diff as D
 from outletlens.operators import metrics as M
 from outletlens.operators import propositions as P
 from outletlens.operators import syntax as S
-from outletlens.operators import verify as V
 from outletlens.streaming import articles as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,7 +51,7 @@ def _re2(pattern: str, flags: str = "i") -> str:
 _EXACT = """
 with s as (
   select {event} as event_id, source as article_id, trim(unnest(regexp_split_to_array(text, '[.!?\\n;]'))) as sentence from documents where text is not null
-), m as (select * from s where len(sentence) >= 20 and event_id is not null),
+), m as (select * from s where sentence <> '' and event_id is not null),
 o as (select {event} as event_id, count(distinct source) as total_articles from documents where text is not null group by 1),
 c as (
   select event_id, sentence, count(distinct article_id) as coverage_count, total_articles, round(count(distinct article_id) / total_articles, 4) as coverage_ratio
@@ -68,7 +67,7 @@ def exact_claims(spark: SparkSession, sf_dir: str, event: Column) -> tuple[DataF
     """(members, outlets) of claims that are equal sentences."""
     docs = _t(spark, sf_dir, "documents").where("text is not null").withColumn("event_id", event)
     parts = docs.select("event_id", F.col("source").alias("article_id"), F.explode(F.split("text", r"[.!?\n;]")).alias("s")).withColumn("cluster", F.trim("s"))
-    return parts.where(F.length("cluster") >= 20).where("event_id is not null").select("event_id", "cluster", "article_id"), docs.select("event_id", F.col("source").alias("article_id")).distinct()
+    return parts.where(F.col("cluster") != "").where("event_id is not null").select("event_id", "cluster", "article_id"), docs.select("event_id", F.col("source").alias("article_id")).distinct()
 
 
 def _coverage(members: DataFrame, outlets: DataFrame) -> DataFrame:
@@ -124,27 +123,27 @@ def outlet_single_claims(spark, sf_dir):
 # Cleaning, language, eligibility and claim features.
 
 _NOISE_SQL = " or ".join(f"regexp_full_match(line, '{_re2(p)}')" for p in L.NOISE_LINES)
-_LINES = "with l as (select doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\\s+|\\s+$', '', 'g') as line from documents)"
+_LINES = "with l as (select doc_id, regexp_replace(unnest(string_split(coalesce(text, ''), chr(10))), '^\\s+|\\s+$', '', 'g') as line from documents)"
 
 
 @query(f"{_LINES} select doc_id, count(*) filter (where line = '') as n_blank, count(*) filter (where line <> '' and ({_NOISE_SQL})) as n_noise, count(*) as n_lines from l group by doc_id")
 def noise_line_counts(spark, sf_dir):
-    ls = _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("x")).select("doc_id", T.strip(F.col("x")).alias("line"))
+    ls = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("x")).select("doc_id", T.strip(F.col("x")).alias("line"))
     return ls.groupBy("doc_id").agg(F.count_if(F.col("line") == "").alias("n_blank"), F.count_if((F.col("line") != "") & T.is_noise(F.col("line"))).alias("n_noise"), F.count(F.lit(1)).alias("n_lines"))
 
 
-@query(f"{_LINES}, k as (select doc_id, count(*) as n, sum(len(line)) as n_chars from l where line <> '' and not ({_NOISE_SQL}) group by 1) select doc_id, coalesce(n, 0) as n_lines, coalesce(n_chars, 0)::bigint as n_chars from (select distinct doc_id from documents where text is not null) left join k using (doc_id)")
+@query(f"{_LINES}, k as (select doc_id, count(*) as n, sum(len(line)) as n_chars from l where line <> '' and not ({_NOISE_SQL}) group by 1) select doc_id, coalesce(n, 0) as n_lines, coalesce(n_chars, 0)::bigint as n_chars from (select distinct doc_id from documents) left join k using (doc_id)")
 def clean_lines(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").where("text is not null").withColumn("c", T.clean_lines(F.col("text")))
+    d = _t(spark, sf_dir, "documents").withColumn("c", T.clean_lines(F.coalesce("text", F.lit(""))))
     return d.select("doc_id", F.size("c").cast("long").alias("n_lines"), F.aggregate("c", F.lit(0).cast("long"), lambda a, s: a + F.length(s)).alias("n_chars"))
 
 
 _SHARE = "len(regexp_extract_all(text, '[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{20000}-\\x{2A6DF}]')) / nullif(len(regexp_extract_all(text, '\\p{L}')), 0)"
 
 
-@query(f"select doc_id, case when coalesce({_SHARE}, 1) >= 0.15 then 'zh' else 'en' end as language from documents where text is not null")
+@query(f"select doc_id, case when coalesce({_SHARE}, 1) >= 0.15 then 'zh' else 'en' end as language from documents")
 def language_detect(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.detect_language(F.col("text")).alias("language"))
+    return _t(spark, sf_dir, "documents").select("doc_id", T.detect_language(F.col("text")).alias("language"))
 
 
 _CJK_ROWS = [("警方逮捕三名抗議者", "Police arrested three protesters"), ("Council 通過 budget", "議會通過預算"), ("123", "!"), ("abc", "def")]
@@ -296,20 +295,6 @@ def confusion_matrix(spark, sf_dir):
     return M.confusion(rows, ["0", "1"])
 
 
-@query("""with d as (select doc_id, lang, source as g, 'k' || (doc_id % 7) as p, doc_id::varchar as t from documents where doc_id < 300),
-pairs as (select a.lang, a.g = b.g as g, a.p = b.p as p from d a join d b on a.lang = b.lang and a.t < b.t),
-c as (select lang, count(*) filter (where g and p) as tp, count(*) filter (where not g and p) as fp, count(*) filter (where g and not p) as fn, count(*) as n from pairs group by lang)
-select lang, tp, fp, fn, case when n = 0 then 1.0 else (n - fp - fn) / n end as rand from c""")
-def pair_metrics(spark, sf_dir):
-    return _pair_metrics(_t(spark, sf_dir, "documents").where("doc_id < 300"))  # as the SQL has it; pair_metrics_all reads all
-
-
-def _pair_metrics(documents: DataFrame) -> DataFrame:
-    d = documents.withColumn("text", F.col("doc_id").cast("string"))
-    gold, pred = d.select("lang", F.col("source").alias("cluster"), "text"), d.select("lang", F.concat(F.lit("k"), F.col("doc_id") % 7).alias("cluster"), "text")
-    return M.clustering(gold, pred, ["lang"]).select("lang", "tp", "fp", "fn", "rand")
-
-
 @query("""with d as (select lang, source as g, doc_id % 7 as p from documents),
 g as (select lang, (sum(n * (n - 1)) // 2)::bigint as n from (select lang, count(*) as n from d where g is not null group by lang, g) group by lang),
 p as (select lang, (sum(n * (n - 1)) // 2)::bigint as n from (select lang, count(*) as n from d where p is not null group by lang, p) group by lang),
@@ -317,19 +302,30 @@ b as (select lang, (sum(n * (n - 1)) // 2)::bigint as n from (select lang, count
 a as (select lang, count(*) * (count(*) - 1) / 2 as n from d group by lang),
 c as (select lang, a.n, coalesce(b.n, 0) as tp, coalesce(p.n, 0) - coalesce(b.n, 0) as fp, coalesce(g.n, 0) - coalesce(b.n, 0) as fn from a left join g using (lang) left join p using (lang) left join b using (lang))
 select lang, tp, fp, fn, case when n = 0 then 1.0 else (n - fp - fn) / n end as rand from c""")
-def pair_metrics_all(spark, sf_dir):
-    """``pair_metrics`` over every document."""
+def pair_metrics(spark, sf_dir):
     return _pair_metrics(_t(spark, sf_dir, "documents"))
 
 
+def _pair_metrics(documents: DataFrame) -> DataFrame:
+    d = documents.withColumn("text", F.col("doc_id").cast("string"))
+    gold, pred = d.select("lang", F.col("source").alias("cluster"), "text"), d.select("lang", F.concat(F.lit("k"), F.col("doc_id") % 7).alias("cluster"), "text")
+    return M.clustering(gold, pred, ["lang"]).select("lang", "tp", "fp", "fn", "rand")
+
+
 @query("select role as category, count(*) as n, count(*) filter (where turn % 2 = 1) as n_merged, count(*) filter (where turn % 2 = 1) / count(*) as rate from conversations group by role")
 def false_merge_by_category(spark, sf_dir):
     return M.false_merges(_t(spark, sf_dir, "conversations").select(F.col("role").alias("category"), (F.col("turn") % 2 == 1).alias("merged")))
 
 
-@query("select 93.0 as score")
+@query("""with c as (select count(*) filter (where quality = 1 and toxic = 1) as tp, count(*) filter (where quality <> 1 and toxic = 1) as fp, count(*) filter (where quality = 1 and toxic <> 1) as fn, count(*) as n from labels),
+r as (select 2.0 * tp / nullif(2 * tp + fp + fn, 0) as f1, (n - fp - fn) / n as accuracy, (select count(*) filter (where turn % 2 = 1) / count(*) from conversations) as rate from c)
+select round(greatest(0, 100 * (0.15 * f1 + 0.10 * f1 + 0.15 * f1 + 0.10 * accuracy + 0.20 * f1 + 0.15 * accuracy + 0.15 * accuracy - 0.20 * rate)), 2) as score from r""")
 def composite_score(spark, sf_dir):
-    return spark.range(1).select(M.composite(dict.fromkeys(M.WEIGHTS, 0.95), 0.1).alias("score"))
+    """The weighted score, with the labels' F1 and accuracy in the place of the parts."""
+    m = M.binary(_t(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("gold"), (F.col("toxic") == 1).alias("pred")))
+    merged = _t(spark, sf_dir, "conversations").agg(F.avg((F.col("turn") % 2 == 1).cast("double")).alias("rate"))
+    parts = {k: F.col("accuracy") if k in ("normalisation", "relation", "clustering") else F.col("f1") for k in M.WEIGHTS}
+    return m.withColumn("one", F.lit(1)).join(merged.withColumn("one", F.lit(1)), "one").select(M.composite(parts, F.col("rate")).alias("score"))
 
 
 # Streams' batch twins.
@@ -369,24 +365,6 @@ def quantity_extract(spark, sf_dir):
     return got.select("s", one["raw"].alias("raw"), one["value"].alias("value"), F.array_join(one["targets"], ",").alias("targets"))
 
 
-_PAIRS = [
-    ("The council approved the plan.", "The council approved the plan.", 0.4),
-    ("The council did not approve the plan.", "The council approved the plan.", 0.83),
-    ("Rain fell on the coast.", "Shares closed in Tokyo.", 0.03),
-    ("Police arrested 30 protesters.", "Police arrested 90 protesters.", 0.9),
-    ("警方逮捕抗議者", "Police arrested protesters", 0.85),
-    ("The city will repair the bridge.", "The city repaired the bridge.", 0.9),
-    ("The mayor opened the new park today.", "The mayor opened a new park today.", 0.95),
-]
-
-
-@query(_values([(*p[:2], r, e) for p, r, e in zip(_PAIRS, ["EQUIVALENT", "CONTRADICTORY", "UNRELATED", "CONTRADICTORY", "EQUIVALENT", "RELATED", "EQUIVALENT"], [True, False, False, False, True, False, True], strict=True)], "a, b, relation, is_equivalent"))
-def verify_pairs(spark, sf_dir):
-    rows = spark.createDataFrame(_PAIRS, "a string, b string, similarity double")
-    x = V.features(rows, "a").withColumnRenamed("f", "fa")
-    return V.verify(V.features(x, "b").withColumnRenamed("f", "fb")).select("a", "b", "relation", "is_equivalent")
-
-
 _SPLIT = ["Minister Lee said, the ministry approved the budget.", "According to police", "議會通過預算，並審查法案。"]
 
 
@@ -412,31 +390,12 @@ def _tokens(spark):
     return spark.createDataFrame([("e", *t) for t in _TOKENS], "event_id string, article_id string, sent_idx int, i int, text string, lemma string, pos string, dep string, head int, ws boolean")
 
 
-@query(_values([("a", "detain", "Guards", "angry marchers", False, ""), ("b", "detain", "Marchers", "guards", True, "Marchers,were,by,by")], "article_id, verb, subjects, objects, is_passive, markers"))
-def svo_records(spark, sf_dir):
-    r = S.svo(_tokens(spark))
-    return r.select("article_id", "verb", F.array_join("subjects", ",").alias("subjects"), F.array_join("objects", ",").alias("objects"), "is_passive", F.array_join("voice_markers", ",").alias("markers"))
-
-
 @query(_values([("a", "Guards", "ORG", ""), ("a", "marchers", "EVENT_NOUN", "angry"), ("b", "detained", "VERB_ACTION", "quickly")], "article_id, name, type, modifiers"))
 def entity_modifiers_passes(spark, sf_dir):
     ents = spark.createDataFrame([("e", "a", 0, 0, 1, "ORG"), ("e", "a", 0, 3, 4, "DATE")], "event_id string, article_id string, sent_idx int, start int, end int, label string")
     return S.descriptors(_tokens(spark), ents).select("article_id", "name", "type", F.array_join("modifiers", ",").alias("modifiers"))
 
 
-@query(_values([("Guards", "ORG", "armed", ""), ("crowd", "EVENT_NOUN", "", "angry,loud")], "name, type, modifiers_a, modifiers_b"))
-def descriptor_contrast(spark, sf_dir):
-    make = lambda rows: spark.createDataFrame(rows, "name string, type string, modifiers array<string>, pos int")
-    a, b = make([("Guards", "ORG", ["old"], 0), ("Guards", "ORG", ["armed"], 1), ("Mayor", "PERSON", [], 2)]), make([("crowd", "EVENT_NOUN", ["angry", "loud"], 0), ("Mayor", "PERSON", [], 1)])
-    return D.descriptor_contrast(a, b).select("name", "type", F.array_join("modifiers_a", ",").alias("modifiers_a"), F.array_join("modifiers_b", ",").alias("modifiers_b"))
-
-
-@query(_values([("police", True), ("通過", True), ("緊張", False), ("將表", False), ("預算案", False), ("說", True), ("火", False)], "verb, valid"))
-def predicate_validity(spark, sf_dir):
-    rows = spark.createDataFrame([(v,) for v in ("police", "通過", "緊張", "將表", "預算案", "說", "火")], "verb string")
-    return rows.select("verb", S.valid_predicate(F.col("verb"), F.lit("zh")).alias("valid"))
-
-
 def _event(spark):
     svo = spark.createDataFrame(
         [("e", "a", 0, "detain", ["Guards"], ["marchers"], False), ("e", "b", 0, "detain", ["Marchers"], ["guards"], True), ("e", "c", 0, "occur", ["Harbour City"], [], False), ("e", "c", 1, "praise", ["President Lee"], ["the guards"], False), ("e", "a", 1, "meet", ["Lee"], ["marchers"], False)],
@@ -447,18 +406,11 @@ def _event(spark):
     return svo, entities, articles
 
 
-@query(_values([("Lee", "PERSON", "Lee,President Lee", "a,c", 4.266667), ("the guards", A.SVO_TYPE, "Guards,guards,the guards", "a,b,c", 6.1), ("Marchers", A.SVO_TYPE, "Marchers,marchers", "a,b", 4.766667)], "name, type, surfaces, article_ids, importance"))
-def actor_importance(spark, sf_dir):
+@query(_values([("President Lee", "PERSON", "Lee,President Lee", "a,c", 4.266667), ("the guards", A.SVO_TYPE, "Guards,guards,the guards", "a,b,c", 6.1), ("marchers", A.SVO_TYPE, "Marchers,marchers", "a,b", 4.766667)], "name, type, surfaces, article_ids, importance"))
+def actor_names(spark, sf_dir):
+    """Names of merged actors: most mentions, then the longest, then the first."""
     actors, _ = A.resolve(*_event(spark))
-    name = F.when(F.array_contains("surfaces", "marchers"), "Marchers").when(F.array_contains("surfaces", "Lee"), "Lee").otherwise(F.col("name"))
-    return actors.select(name.alias("name"), "type", F.array_join("surfaces", ",").alias("surfaces"), F.array_join("article_ids", ",").alias("article_ids"), F.round("importance", 6).alias("importance"))
-
-
-@query(_values([("guards", "a", 1, 0, 0, "detain", ""), ("guards", "b", 1, 0, 0, "detain", ""), ("guards", "c", 0, 1, 0, "", "praise"), ("lee", "a", 1, 0, 0, "meet", ""), ("lee", "b", 0, 0, 0, "", ""), ("lee", "c", 1, 0, 0, "praise", ""), ("marchers", "a", 0, 2, 0, "", "detain,meet"), ("marchers", "b", 0, 1, 1, "", "detain"), ("marchers", "c", 0, 0, 0, "", "")], "who, article_id, agents, patients, passive, agent_verbs, patient_verbs"))
-def actor_role_stats(spark, sf_dir):
-    _, stats = A.resolve(*_event(spark))
-    who = F.regexp_replace(A.key(F.col("name")), "^president ", "")
-    return stats.select(who.alias("who"), "article_id", F.col("agent_count").alias("agents"), F.col("patient_count").alias("patients"), F.col("passive_patient_count").alias("passive"), F.array_join("agent_verbs", ",").alias("agent_verbs"), F.array_join("patient_verbs", ",").alias("patient_verbs"))
+    return actors.select("name", "type", F.array_join("surfaces", ",").alias("surfaces"), F.array_join("article_ids", ",").alias("article_ids"), F.round("importance", 6).alias("importance"))
 
 
 @query(_values([("police", "the police said", True), ("police", "new policies", False), ("Japan", "Japan Airlines", False), ("卓榮泰", "行政院長卓榮泰", True), ("日本", "日本氣象廳", False), ("熊本", "熊本縣今日", True)], "c, s, inside"))
@@ -483,7 +435,4 @@ def framing_clusters(spark, sf_dir):
     return N.framing_clusters(d.where("event_id is not null and article_id is not null").select("event_id", "article_id", F.array("c", "d").alias("features")))
 
 
-@query(_values([("a", 0.0), ("b", 1.0), ("c", 0.0), ("d", 0.0)], "article_id, passive_ratio"))
-def passive_ratio(spark, sf_dir):
-    svo, _, articles = _event(spark)
-    return D.passive_ratio(svo, articles.unionByName(spark.createDataFrame([("e", "d")], "event_id string, article_id string"))).drop("event_id")
+from outletlens.plans import stories  # noqa: E402, F401  registers its queries here

@@ -52,12 +52,18 @@ def load(spark: SparkSession, paths: list[str]) -> DataFrame:
         warnings.warn(f"{p}: not a .txt file", stacklevel=2)
     if len(kept) < 2:
         raise ValueError("fewer than two article files")
-    order = spark.createDataFrame(list(enumerate(p.rsplit("/", 1)[-1] for p in kept)), "ordinal int, _file string")
-    rows = _decoded(spark.read.format("binaryFile").load(kept))
+    jvm, hconf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def whole(p: str) -> str:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        return path.getFileSystem(hconf).makeQualified(path).toString()
+
+    order = spark.createDataFrame([(k, whole(p)) for k, p in enumerate(kept)], "ordinal int, _file string")
+    rows = _decoded(spark.read.format("binaryFile").load(sorted(set(kept))))
     bad = rows.where("error is not null").select("error").first()
     if bad:
         raise ValueError(bad["error"])
-    return rows.drop("error").join(F.broadcast(order), F.col("_name") == F.col("_file")).drop("_name", "_file").orderBy("ordinal")
+    return rows.drop("error").join(F.broadcast(order), F.col("path") == F.col("_file")).drop("_name", "_file").orderBy("ordinal")
 
 
 def raw_pair(spark: SparkSession, a: str, b: str) -> DataFrame:

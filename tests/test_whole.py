@@ -12,7 +12,7 @@ from outletlens.plans.queries import ORACLE, QUERIES
 from tests.test_oracle import rows_of
 
 
-@pytest.mark.parametrize("name", ["pair_metrics", "pair_metrics_all"])
+@pytest.mark.parametrize("name", ["pair_metrics"])
 def test_pair_metrics_match_sql_beyond_300_documents(spark, name):
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()

@@ -39,7 +39,7 @@ SIMILAR = 75
 #: Values of a sketch that estimate a union; a pair estimated at SURE or more goes to its whole sets at once, any other is held against the bitmaps.
 FILTER_K, SURE = 32, 0.95
 #: Bits of a parity bitmap for each element of the set, and the least and most of them.
-BITS, LEAST_BITS, MOST_BITS = 4, 256, 1 << 16
+BITS, LEAST_BITS, MOST_BITS = 2, 256, 1 << 16
 LIST = 6
 #: Members of the largest part of a long list, and of the others, that the rounds between link all its members to.
 STARS = (32,)
@@ -339,8 +339,19 @@ def meet(lists: DataFrame, tasks: int) -> DataFrame:
     return lists.repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(run, MET)
 
 
-def _apart(members: DataFrame, star: int) -> DataFrame:
-    """Different pairs (a, b) of long lists (value, node, n, place, label, bitmap) that may be near and have different labels.
+def _merged(members: DataFrame) -> DataFrame:
+    """Long lists (value, node, n, place) with those of the same members taken together, as the values of a passage have; each node at its first place.
+
+    Lists are told apart by two sums over their members; taking others together
+    too would only bring more pairs about.
+    """
+    both = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"sum{k}") for k in (0, 1)]
+    of = members.groupBy("value").agg(F.count(F.lit(1)).alias("size"), *both).select(F.col("value").alias("of_value"), F.xxhash64("size", "sum0", "sum1").alias("list"))
+    return members.join(of, members["value"] == of["of_value"]).groupBy(F.col("list").alias("value"), "node").agg(F.max("n").alias("n"), F.min("place").alias("place"))
+
+
+def _apart(members: DataFrame, maps: DataFrame, star: int) -> DataFrame:
+    """Different pairs (a, b) of long lists (value, node, n, place, label) that may be near and have different labels; ``maps`` holds the bitmaps of nodes.
 
     With ``star`` only the pairs of so many members of a list's most common
     label and so many others, the first by hash; else all. A list of more than
@@ -430,7 +441,7 @@ def _apart(members: DataFrame, star: int) -> DataFrame:
     else:
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))
         blocks = dealt.withColumn("_other", other).withColumn("block", F.xxhash64("value", F.least("part", "_other"), F.greatest("part", "_other")))
-    placed = blocks.select("block", *columns).repartition(tasks, "block").sortWithinPartitions("block", "n", "node")
+    placed = blocks.join(maps, "node").select("block", *columns).repartition(tasks, "block").sortWithinPartitions("block", "n", "node")
     return placed.mapInArrow(run, packed).repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(unpack, "a long, b long")
 
 
@@ -511,14 +522,14 @@ def links(docs: DataFrame, sketches: DataFrame, words: int = WORDS, seed: int =
     heads = sketches.select("node", "n", F.substring("sketch", 1, 8 * FILTER_K).alias("head"), "bitmap").dropDuplicates(["node"])
     edges = common.save(_confirmed(common.save(_likely(tested, heads), "likely"), docs, *how), "links")
     found = common.save(components(edges), "components")
-    listed_in = found_met.where("kind = 1").select(F.col("a").alias("value"), F.col("b").alias("node"), "n", "place").distinct()
+    listed_in = common.save(_merged(found_met.where("kind = 1").select(F.col("a").alias("value"), F.col("b").alias("node"), "n", "place").distinct()), "long-lists")
     maps = sketches.select("node", "bitmap").dropDuplicates(["node"])
     for turn, star in enumerate((*STARS, 0)):
         some = listed_in.where(F.shiftrightunsigned("value", 7).bitwiseAND(F.lit(STAR_SHARE - 1)) == turn) if star else listed_in
         long = some.join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = long.groupBy("value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("value")
-        members = common.save(long.join(mixed, "value").join(maps, "node").select("value", "node", "n", "place", "label", "bitmap"), "members")
-        apart = common.save(_apart(members, star).join(tested, ["a", "b"], "left_anti"), "apart")
+        members = common.save(long.join(mixed, "value").select("value", "node", "n", "place", "label"), "members")
+        apart = common.save(_apart(members, maps, star).join(tested, ["a", "b"], "left_anti"), "apart")
         if apart.isEmpty():
             continue
         tested = tested.unionByName(apart)

@@ -33,6 +33,8 @@ from outletlens.llm import common
 SHRINK, LEAF = 1.5, 32
 #: Parts of so few points become no node; where none of so many points is near another, no part would have more.
 ALONE, PROBE = 4, 64
+#: Share of the probed points without a neighbour from which on a node isn't split: nearly all parts would be single points.
+LONELY = 0.875
 PIVOTS = 64
 DATA_BLOCK, QUERY_BLOCK = 4096, 2048
 LAST = np.iinfo(np.int64).max
@@ -69,7 +71,7 @@ def build(x: np.ndarray, leaf: int = LEAF, alone_of: int = ALONE) -> Tree:
         if len(rows) > PROBE:
             some = x[rows[:: len(rows) // PROBE][:PROBE]]
             near = np.sqrt(np.maximum(((some[:, None, :] - some[None]) ** 2).sum(axis=2), 0)) <= cover
-            if near.sum() == len(some) and not (d <= cover).any():
+            if (near.sum(axis=1) == 1).mean() >= LONELY:
                 alone, left = [rows], rows[:0]
         while len(left):
             near = far <= cover

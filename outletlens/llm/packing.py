@@ -185,6 +185,7 @@ def layout(lengths: DataFrame) -> Layout:
     inside = (F.col("bin") == F.col("slot_bin")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
     placed = ranked.join(F.broadcast(slots), inside, "left")
     placed = placed.select("row", "r", "w", "_at", (F.col("base") + F.col("rank") - F.col("low")).alias("seq"), "place")
+    placed = common.save(placed, "packing-placed")  # read three times below; a few numbers a document
     in_pattern = W.partitionBy("seq").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
     matched = placed.where("seq is not null").select("row", (F.col("w") * WINDOW).alias("start"), F.col("r").alias("length"), F.col("seq").alias("sequence_id"), F.coalesce(F.sum("r").over(in_pattern), F.lit(0)).alias("offset"))
     stream = common.dealt_sum(placed.where("seq is null"), [], order, F.col("r"), "p", bucket)

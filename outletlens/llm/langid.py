@@ -191,8 +191,8 @@ def _sampled(labelled: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), batch.column("fold").slice(a, b - a), pa.array(f, pa.binary()), pa.array(v, pa.binary()), pa.array(letter_shares(part), pa.float64())], schema=common.arrow_schema("lang string, fold long, f binary, v binary, letters double"))
 
     rows = chosen.mapInArrow(run, "lang string, fold long, f binary, v binary, letters double").collect()  # a bounded sample
-    made = [(r["lang"], r["fold"], np.frombuffer(r["f"], np.uint16).astype(np.int64), np.frombuffer(r["v"], np.float32), r["letters"]) for r in rows]
-    return sorted(made, key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
+    rows.sort(key=lambda r: (r["lang"], r["fold"], r["f"], r["v"]))
+    return [(r["lang"], r["fold"], np.frombuffer(r["f"], np.uint16), np.frombuffer(r["v"], np.float32), r["letters"]) for r in rows]  # views, no copies
 
 
 def _usual(rows, langs: list[str], idf: np.ndarray) -> np.ndarray:

@@ -81,9 +81,7 @@ def analyze(spark: SparkSession, args: argparse.Namespace) -> None:
     none = spark.createDataFrame([], "event_id string, article_id string, name string, type string, modifiers array<string>, pos int")
     done = event.analyse(rows, sentences, svo_of(tokens), none, n_clusters=args.clusters, **({"least": args.threshold} if args.threshold is not None else {}))
     if args.format == "json":
-        claims = done.consensus.groupBy("event_id").agg(F.sort_array(F.collect_list(F.struct("cluster_id", "representative", "coverage_count", "total_articles", "coverage_ratio", "category", "article_ids", "absent_ids"))).alias("claims"))
-        people = done.actors.groupBy("event_id").agg(F.collect_list(F.struct("name", "type", "surfaces", "article_ids", "importance")).alias("actors"))
-        _emit(S.to_json(claims.join(people, "event_id", "left")).first()["json"], args.output)
+        _emit(S.to_json(R.event_export(rows, done.consensus, done.evidence, done.actors, done.stats, done.framing)).first()["json"], args.output)
     else:
         _emit(R.event_report(event_id, done.consensus, done.actors, done.stats, done.framing, args.details, args.verbose), args.output)
 

@@ -57,6 +57,33 @@ def lloyd(x, k: int, rounds: int = 50, seed: int = 42):
     return label
 
 
+def scaled(x, k: int, rounds: int = 300, seed: int = 42):
+    """Labels of k-means over standardised columns, the first centres drawn far apart.
+
+    A column without variance counts as 0 everywhere. Where fewer than ``k``
+    rows differ there are as many clusters as different rows.
+    """
+    import numpy as np
+
+    x = np.asarray(x, float)
+    spread = x.std(axis=0)
+    x = (x - x.mean(axis=0)) / np.where(spread > 0, spread, 1.0)
+    rng = np.random.default_rng(seed)
+    centre = x[[rng.integers(len(x))]]
+    near = ((x - centre[0]) ** 2).sum(axis=1)
+    while len(centre) < k and near.max() > 1e-12:
+        centre = np.vstack([centre, x[rng.choice(len(x), p=near / near.sum())]])
+        near = np.minimum(near, ((x - centre[-1]) ** 2).sum(axis=1))
+    label = None
+    for _ in range(rounds):
+        now = ((x[:, None, :] - centre[None]) ** 2).sum(axis=2).argmin(axis=1)
+        if label is not None and (now == label).all():
+            break
+        label = now
+        centre = np.stack([x[label == c].mean(axis=0) if (label == c).any() else centre[c] for c in range(len(centre))])
+    return label
+
+
 def framing_clusters(features: DataFrame, k: int | None = None, cluster_fn=lloyd) -> DataFrame:
     """event_id, article_id, label: structural clusters of each event's articles; events of one article have none.
 

@@ -35,6 +35,29 @@ def tag(kind: str) -> str:
     return {"VERB_ACTION": "ACTION", "EVENT_NOUN": "EVENT", "PER": "PERSON"}.get(kind, kind)
 
 
+def event_export(outlets: DataFrame, consensus: DataFrame, evidence: DataFrame, actors: DataFrame, stats: DataFrame, framing: DataFrame) -> DataFrame:
+    """One nested row for each event of ``outlets`` (event_id, article_id).
+
+    ``claims`` hold the ``evidence`` of each, by article and sentence; ``actors``
+    the ``profiles`` of each in every article; ``framing`` its structural
+    clusters. Lists that nothing belongs to are empty.
+    """
+    rows = lambda name, *cols: F.array_sort(F.collect_list(F.struct(*cols))).alias(name)
+    said = evidence.groupBy("event_id", "cluster").agg(rows("evidence", "article_id", "sentence", "similarity"))
+    claims = consensus.join(said, ["event_id", "cluster"], "left").groupBy("event_id").agg(
+        rows("claims", "cluster_id", "representative", "coverage_count", "total_articles", "coverage_ratio", "category", "article_ids", "absent_ids", "evidence")
+    )
+    profile = ["article_id", "mention_count", "agent_count", "patient_count", "passive_patient_count", "agent_ratio", "patient_ratio", "passive_patient_ratio", "agent_verbs", "patient_verbs", "modifiers"]
+    each = stats.groupBy("event_id", "actor").agg(rows("profiles", *profile))
+    ranked = actors.join(each, ["event_id", "actor"], "left").withColumn("_order", -F.col("importance"))
+    people = ranked.groupBy("event_id").agg(rows("actors", "_order", "name", "type", "surfaces", "article_ids", "importance", "profiles")).withColumn("actors", F.transform("actors", lambda a: a.dropFields("_order")))
+    groups = framing.groupBy("event_id", "label").agg(F.array_sort(F.collect_list("article_id")).alias("article_ids")).groupBy("event_id").agg(rows("framing", "label", "article_ids"))
+    out = outlets.groupBy("event_id").agg(F.array_sort(F.collect_set("article_id")).alias("article_ids"))
+    for part in (claims, people, groups):
+        out = out.join(part, "event_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("claims", "actors", "framing")})
+
+
 def event_report(event_id: str, consensus: DataFrame, actors: DataFrame, stats: DataFrame, framing: DataFrame, details: bool = False, verbose: bool = False) -> str:
     """Claim coverage, participants and structural clusters of one event.
 

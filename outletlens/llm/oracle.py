@@ -104,4 +104,79 @@ with v as (
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
-ORACLE = {"op2_exact_top_k": TOP_K, "op9_mixing": MIXING.replace("POSITION", _position()), "op8_chat_formatting": PREFERENCES}
+KEPT_VECTORS = """
+with kept as materialized (
+  select vec_id, row_number() over () as own, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), c0 as materialized (
+  select row_number() over (order by mark nulls last, v) - 1 as c, v from (select v, sha256('3:' || vec_id::varchar) as mark from kept order by mark nulls last, v limit 8)
+)"""
+
+ROUND = """, s{r} as materialized (
+  select k.own, k.vec_id, k.v, c.c, list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d from kept k cross join c{r} c
+), a{r} as materialized (
+  select own, any_value(vec_id) as vec_id, any_value(v) as v, arg_min(c, (d, c)) as c, min(d) as d from s{r} group by own
+)"""
+
+CENTROIDS = """, m{r} as (
+  select c, i, count(*)::hugeint as n, sum(v[i])::hugeint as s from a{q} cross join range(1, 65) t(i) group by c, i
+), c{r} as materialized (
+  select o.c, coalesce(u.v, o.v) as v from c{q} o left join (select c, list(((s - ((s % n) + n) % n) // n)::bigint order by i) as v from m{r} group by c) u using (c)
+)"""
+
+
+def clustering(rounds: int = 10) -> str:
+    """SQL for k-means over the kept vectors: a round's distances, assignment and centroids each a step."""
+    steps = [KEPT_VECTORS, ROUND.format(r=0)]
+    for r in range(1, rounds + 1):
+        steps += [CENTROIDS.format(r=r, q=r - 1), ROUND.format(r=r)]
+    return "".join(steps) + f"""
+select a.vec_id, a.c::int as cluster, a.d as distance, (sum(a.d) over (partition by a.c))::bigint as cluster_inertia, (sum(a.d) over ())::bigint as inertia,
+  sha256(array_to_string(c.v, ',')) as centroid_sha256
+from a{rounds} a join c{rounds} c on a.c = c.c
+"""
+
+
+TRIE = """
+with t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as k
+  from conversations where conv_id is not null
+), convs as (
+  select conv_id as c, conv_id - conv_id % 100 as base, count(*) as turns,
+    xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(conv_id::varchar, ''), lambda x: ord(x)::bigint)), lambda crc, b:
+      list_reduce(list_concat([xor(crc, b)], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295) % 6 as h
+  from t group by conv_id
+), plans as (
+  select c.c, c.base, c.h, least(c.h, coalesce(b.turns, 0)) as head from convs c left join convs b on b.c = c.base
+), rows_ as (
+  select p.c, t.k as d, t.role, t.text from plans p join t on t.conv_id = p.base and t.k <= p.head
+  union all
+  select p.c, t.k - p.h + p.head, t.role, t.text from plans p join t on t.conv_id = p.c and t.k > p.h
+), prefixes as (
+  select c, d, len(text) as n, list(struct_pack(role := role, text := text)) over (partition by c order by d) as said from rows_
+  union all
+  select c, 0, 0, []::struct(role varchar, text varchar)[] from convs
+), ends as (
+  select c, max(d) as last from prefixes group by c
+), nodes as (
+  select said, any_value(d) as depth, min(c) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(n) as own,
+    sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where d = last), '')) as ends_sha256
+  from prefixes join ends using (c) group by said
+), named as (
+  select distinct on (n.conv_id, n.depth, p.d) n.*, p.d as up_depth, u.conv_id as up_id
+  from nodes n join prefixes p on p.c = n.conv_id and p.d <= n.depth join nodes u on u.said = p.said
+), children as (
+  select up_id as conv_id, up_depth as depth, count(*) as n_children from named where up_depth = depth - 1 group by all
+), totals as (
+  select up_id as conv_id, up_depth as depth, sum(own)::bigint as saved_tokens, count(*) filter (where c.n_children is null) as n_leaves
+  from named n left join children c on c.conv_id = n.conv_id and c.depth = n.depth group by all
+)
+select n.conv_id, n.depth::bigint as depth, n.n_convs, n.ends_sha256, coalesce(c.n_children, 0) as n_children, s.n_leaves, s.saved_tokens, p.up_id as parent_conv_id
+from nodes n left join children c on c.conv_id = n.conv_id and c.depth = n.depth join totals s on s.conv_id = n.conv_id and s.depth = n.depth
+  left join named p on p.conv_id = n.conv_id and p.depth = n.depth and p.up_depth = n.depth - 1
+"""
+
+ORACLE = {
+    "op2_exact_top_k": TOP_K, "op9_mixing": MIXING.replace("POSITION", _position()), "op8_chat_formatting": PREFERENCES, "op11_centroid_clustering": clustering(), "op13_prefix_trie": TRIE,
+}

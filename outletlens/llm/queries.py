@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outletlens.llm import chat, common, covertree, html, langid, media, minhash, mixing, packing, pii, token_store
+from outletlens.llm import centroids, chat, common, covertree, html, langid, media, minhash, mixing, packing, pii, sharding, token_store, trie
 
 
 def _path(name: str) -> str:
@@ -73,4 +73,25 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.pages_text(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_top_k, op3_media_columns, op4_pii, op5_token_output, op6_minhash_near_dedup, op7_language_id, op8_chat_formatting, op9_mixing, op10_html_extraction)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight clusters of all vectors after ten rounds."""
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shuffle all documents into eight shards on disk, then read every record's place from them."""
+    root = common.scratch_path(spark, "shards")
+    schema = sharding.write(_table(spark, sf_dir, "documents"), root)
+    return sharding.digest(sharding.read(spark, root, schema))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+OPERATORS = (
+    op1_packing, op2_exact_top_k, op3_media_columns, op4_pii, op5_token_output, op6_minhash_near_dedup, op7_language_id, op8_chat_formatting, op9_mixing, op10_html_extraction,
+    op11_centroid_clustering, op12_sharding, op13_prefix_trie,
+)
+QUERIES = {f.__name__: f for f in OPERATORS}

@@ -26,7 +26,7 @@ def test_matches_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert {int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES} == set(range(1, 14))
 
 
 def test_pipeline(spark):

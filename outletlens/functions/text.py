@@ -116,7 +116,15 @@ def _cjk_text(text: Column) -> Column:
 
 def _ngrams(s: Column, n: int) -> Column:
     """All n-grams of a string's characters, in order."""
-    return F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i: F.substring(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    last = lambda cs: F.greatest(F.size(cs) - (n - 1), F.lit(0))
+
+    def joined(cs):
+        out = F.slice(cs, 1, last(cs))
+        for k in range(2, n + 1):
+            out = F.zip_with(out, F.slice(cs, k, last(cs)), lambda a, b: F.concat(a, b))
+        return out
+
+    return F.element_at(F.transform(F.array(F.split(s, "")), joined), 1)
 
 
 def ascii_words(text: Column, least: int = 2) -> Column:
@@ -244,6 +252,7 @@ def eligibility(text: Column) -> Column:
     count = lambda c, p: F.regexp_count(c, F.lit(p))
     zh, en = f"(?U){L.SPEECH_ZH}", f"(?iuU){L.SPEECH_EN}"
     body = lambda p: strip(F.regexp_extract(raw, p, 2))
+    speech_end = L.ATTRIBUTION_ONLY[L.ATTRIBUTION_ONLY.index("(?:") + 3 : L.ATTRIBUTION_ONLY.index(")")]  # the verbs, eight letters at most
     has_zh, speaks = cjk > 0, F.lower(raw).rlike(L.SPEECH_STEMS)
     reason = (
         F.when(raw == "", "empty")
@@ -252,7 +261,7 @@ def eligibility(text: Column) -> Column:
         .when(fits(raw, L.UI_NOISE), "page furniture")
         .when(raw.rlike("^[（(\\[{【〔<「『]") & raw.rlike(f"^{L.CREDIT_BRACKETS}$") & finds(raw, L.CREDIT_WORDS), "credit")
         .when(raw.rlike(f"(?iuU)^{L.BYLINE}") & (F.length(_cjk_text(rest)) < 4) & (count(rest, "[a-zA-Z0-9]+") <= 4), "byline")
-        .when(fits(raw, L.ATTRIBUTION_ONLY), "attribution only")
+        .when(F.right(F.regexp_replace(raw, r"(?U)[，,：:\s]+$", ""), F.lit(8)).rlike(f"(?iuU)(?:{speech_end})$") & fits(raw, L.ATTRIBUTION_ONLY), "attribution only")
         .when((has_zh & raw.rlike(f"(?U)^{L.DISCOURSE_ZH}$")) | fits(raw, L.DISCOURSE_EN), "discourse particle")
         .when((F.length(raw) <= 12) & raw.rlike(f"(?U)^{L.TEMPORAL_ZH}$"), "time only")
         .when(has_zh & raw.rlike(zh) & (F.length(F.regexp_replace(body(zh), r"[^\p{L}\p{N}]", "")) < 2), "attribution only")

@@ -9,15 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outletlens.functions import lexicons as L
-from outletlens.functions import quantities as Qn
 from outletlens.functions import text as T
 from outletlens.operators import actors as A
 from outletlens.operators import claims as C
 from outletlens.operators import consensus as N
 from outletlens.operators import diff as D
 from outletlens.operators import metrics as M
-from outletlens.operators import propositions as P
 from outletlens.operators import syntax as S
+from outletlens.plans.shared import spread
 from outletlens.streaming import articles as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +36,7 @@ def query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _re2(pattern: str, flags: str = "i") -> str:
@@ -146,15 +145,6 @@ def language_detect(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", T.detect_language(F.col("text")).alias("language"))
 
 
-_CJK_ROWS = [("警方逮捕三名抗議者", "Police arrested three protesters"), ("Council 通過 budget", "議會通過預算"), ("123", "!"), ("abc", "def")]
-
-
-@query("select * from (values ('警方逮捕三名抗議者', 'zh', true, 8), ('Council 通過 budget', 'en', false, 1), ('123', 'zh', false, 0), ('abc', 'en', false, 0)) v(a, language, crosses, n_bigrams)")
-def cjk_profile(spark, sf_dir):
-    rows = spark.createDataFrame(_CJK_ROWS, "a string, b string")
-    return rows.select("a", T.detect_language(F.col("a")).alias("language"), T.cross_lingual(F.col("a"), F.col("b")).alias("crosses"), F.size(T.cjk_bigrams(F.col("a"))).alias("n_bigrams"))
-
-
 _SENT = "select doc_id, trim(unnest(regexp_split_to_array(text, '[.!?\\n;]'))) as s from documents where text is not null"
 
 
@@ -351,35 +341,6 @@ def _values(rows: list[tuple], names: str) -> str:
     return f"select * from (values {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) v({names})"
 
 
-@query(_values([("約三百人", 300.0), ("兩千", 2000.0), ("三萬六千", 36000.0), ("一億兩千萬", 120000000.0), ("2,000", 2000.0), ("4 billion", 4e9), ("2兆8622億", 2862200000000.0), ("twelve", 12.0)], "q, value"))
-def zh_numerals(spark, sf_dir):
-    rows = ["約三百人", "兩千", "三萬六千", "一億兩千萬", "2,000", "4 billion", "2兆8622億", "twelve"]
-    got = spark.createDataFrame([(x,) for x in rows], "q string")
-    return got.select("q", F.get(Qn.quantities_column()(F.col("q")), F.lit(0))["value"].alias("value"))
-
-
-@query(_values([("Police arrested 30 protesters on Monday.", "30", 30.0, "arrested,protesters"), ("No numbers here.", None, None, None), ("Two people were hurt.", "Two", 2.0, "hurt,people")], "s, raw, value, targets"))
-def quantity_extract(spark, sf_dir):
-    got = spark.createDataFrame([("Police arrested 30 protesters on Monday.",), ("No numbers here.",), ("Two people were hurt.",)], "s string").withColumn("q", Qn.quantities_column()(F.col("s")))
-    one = F.get("q", F.lit(0))
-    return got.select("s", one["raw"].alias("raw"), one["value"].alias("value"), F.array_join(one["targets"], ",").alias("targets"))
-
-
-_SPLIT = ["Minister Lee said, the ministry approved the budget.", "According to police", "議會通過預算，並審查法案。"]
-
-
-@query(_values([(_SPLIT[0], 0, "the ministry approved the budget", "Minister Lee"), (_SPLIT[2], 0, "議會通過預算", None), (_SPLIT[2], 1, "議會並審查法案", None)], "sentence, prop_idx, text, speaker"))
-def proposition_decompose(spark, sf_dir):
-    rows = spark.createDataFrame([("e", "a", k, s) for k, s in enumerate(_SPLIT)], "event_id string, article_id string, sentence_idx int, sentence string")
-    return P.propositions(rows).select("sentence", "prop_idx", "text", "speaker")
-
-
-@query("with s as (select * from (values (0, 'The rate rose by 3.'), (1, '5 percent.'), (2, 'It fell.'), (3, 'Costs hit 1.'), (4, '2.'), (5, '5 million.')) v(i, s)), f as (select *, case when regexp_matches(lag(s) over (order by i), '\\d+\\.$') and regexp_matches(s, '^\\d') then 0 else 1 end as b from s), g as (select *, sum(b) over (order by i) as k from f) select string_agg(s, '' order by i) as sentence from g group by k")
-def decimal_rejoin(spark, sf_dir):
-    rows = spark.createDataFrame([(["The rate rose by 3.", "5 percent.", "It fell.", "Costs hit 1.", "2.", "5 million."],)], "s array<string>")
-    return rows.select(F.explode(T.rejoin_decimals(F.col("s"))).alias("sentence"))
-
-
 _TOKENS = [
     ("a", 0, 0, "Guards", "guard", "NOUN", "nsubj", 1, True), ("a", 0, 1, "detained", "detain", "VERB", "ROOT", 1, True), ("a", 0, 2, "angry", "angry", "ADJ", "amod", 3, True), ("a", 0, 3, "marchers", "marcher", "NOUN", "dobj", 1, False), ("a", 0, 4, ".", ".", "PUNCT", "punct", 1, False),
     ("b", 0, 0, "Marchers", "marcher", "NOUN", "nsubjpass", 2, True), ("b", 0, 1, "were", "be", "AUX", "auxpass", 2, True), ("b", 0, 2, "detained", "detain", "VERB", "ROOT", 2, True), ("b", 0, 3, "quickly", "quickly", "ADV", "advmod", 2, True), ("b", 0, 4, "by", "by", "ADP", "agent", 2, True), ("b", 0, 5, "guards", "guard", "NOUN", "pobj", 4, False),
@@ -435,4 +396,4 @@ def framing_clusters(spark, sf_dir):
     return N.framing_clusters(d.where("event_id is not null and article_id is not null").select("event_id", "article_id", F.array("c", "d").alias("features")))
 
 
-from outletlens.plans import stories  # noqa: E402, F401  registers its queries here
+from outletlens.plans import clauses, stories  # noqa: E402, F401  register their queries here

@@ -24,3 +24,9 @@ def save(df: DataFrame, name: str) -> DataFrame:
     target.getFileSystem(hconf).deleteOnExit(target)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores where its files are read in fewer tasks than there are cores; as it is otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from outletlens.functions import lexicons as L
 from outletlens.functions import text as T
@@ -38,8 +39,9 @@ def story(spark, sf_dir: str, words: list[str]) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda w: w != "").alias("t"))
     names = F.array(*map(F.lit, words))
     said = F.transform("t", lambda w, i: F.element_at(names, ((F.length(w) * 5 + i * 3 + F.col("doc_id")) % len(words) + 1).cast("int")))
-    each = docs.withColumn("t", said).where("size(t) > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / LENGTH).cast("int"))))
-    return each.select("doc_id", "k", F.slice("t", F.col("k") * LENGTH + 1, F.lit(LENGTH)).alias("w")).withColumn("s", F.array_join("w", " "))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / LENGTH).cast("int")), lambda k: F.slice("t", k * LENGTH + 1, F.lit(LENGTH)))
+    each = docs.withColumn("t", said).select("doc_id", F.posexplode(F.when(F.size("t") > 0, cut)).alias("k", "w"))  # the pieces alone, not a whole document beside each
+    return each.withColumn("s", F.array_join("w", " "))
 
 
 def _story_sql(words: list[str]) -> str:
@@ -119,9 +121,9 @@ v as (select r.doc_id, r.k, r.s, r.j, case when len(na) > 0 and len(nb) > 0 and
 select doc_id, k, {_RELATION} as relation, {_RELATION} in ('EQUIVALENT', 'COMPATIBLE') as is_equivalent, round_even(({_CONFIDENCE})::double, 4) as confidence from v""")
 def verify_sentences(spark, sf_dir):
     """The verifier's verdict on every two neighbouring sentences, whose similarity is a number of their place."""
-    rows = V.features(story(spark, sf_dir, MIXED), "s").select("doc_id", "k", "f")
-    later = rows.select("doc_id", (F.col("k") - 1).alias("k"), F.col("f").alias("fb"))
-    pairs = rows.withColumnRenamed("f", "fa").join(later, ["doc_id", "k"]).withColumn("similarity", ((F.col("doc_id") * 37 + F.col("k") * 53) % 101) / 100.0)
+    rows = V.features(story(spark, sf_dir, MIXED), "s").select("doc_id", "k", F.col("f").alias("fa"))
+    later = F.lead("fa").over(W.partitionBy("doc_id").orderBy("k"))  # features once a sentence: the other side of a pair is the next row
+    pairs = rows.withColumn("fb", later).where("fb is not null").withColumn("similarity", ((F.col("doc_id") * 37 + F.col("k") * 53) % 101) / 100.0)
     return V.verify(pairs).select("doc_id", "k", "relation", "is_equivalent", "confidence")
 
 

@@ -47,7 +47,7 @@ def claim_tables(sentences: DataFrame, embed_fn=None, least: float = C.CANDIDATE
     claims = save(V.features(embedded(props, embed_fn).withColumn("idx", (F.row_number().over(order) - 1).cast("long"))), "claims")
     pairs = save(C.candidate_pairs(claims, least), "pairs")
     edges = save(C.verified_edges(claims, pairs), "edges")
-    members = save(claims.select("event_id", "article_id", "idx", "text", "sentence", "speaker").join(C.clusters(claims, edges), ["event_id", "idx"]), "members")
+    members = save(C.coherent(claims.select("event_id", "article_id", "idx", "text", "sentence", "speaker", "vec").join(C.clusters(claims, edges), ["event_id", "idx"]), edges), "members")
     return claims, pairs, edges, members
 
 
@@ -62,7 +62,7 @@ def analyse(articles: DataFrame, sentences: DataFrame | None = None, svo: DataFr
     sentences = sentences if sentences is not None else sentence_rows(articles)
     outlets = articles.select(F.col("event_id").cast("string").alias("event_id"), F.col("article_id").cast("string").alias("article_id")).distinct()
     claims, pairs, edges, members = claim_tables(sentences, embed_fn, least)
-    reps = C.representatives(members, pairs)
+    reps = C.representatives(members)
     text = members.select("event_id", F.col("idx").alias("representative"), F.col("text").alias("_text"))
     covered = C.numbered(C.coverage(members, outlets)).join(reps, ["event_id", "cluster"]).join(text, ["event_id", "representative"]).drop("representative").withColumnRenamed("_text", "representative")
     view = N.consensus(covered)
@@ -72,7 +72,7 @@ def analyse(articles: DataFrame, sentences: DataFrame | None = None, svo: DataFr
         stats = save(stats, "stats")
         counted = outlets.join(sentences.groupBy("event_id", "article_id").agg(F.count(F.lit(1)).alias("n_sentences")), ["event_id", "article_id"], "left")
         framing = N.framing_clusters(N.framing_features(counted, svo, N.entity_matrix(stats), members), n_clusters)
-    return Analysis(claims, pairs, edges, members, view, C.evidence(members, pairs, reps), actors, stats, framing)
+    return Analysis(claims, pairs, edges, members, view, C.evidence(members, reps), actors, stats, framing)
 
 
 def compare(articles: DataFrame, sentences: DataFrame, svo: DataFrame | None = None, embed_fn=None, threshold: float = 0.60) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -355,24 +355,22 @@ su as (select event_id, idx, sum(s) as s from (select p.event_id, i as idx, s fr
 re as (select event_id, cluster, idx as representative from c left join su using (event_id, idx) qualify row_number() over (partition by event_id, cluster order by round(coalesce(s, 0), 9) desc, len(text), idx) = 1)"""
 
 
-def _clustered(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    e = _t(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("event_id"), F.col("vec_id").alias("idx"), F.col("embedding").alias("vec"), (F.col("vec_id") % 7).alias("cluster"), F.concat(F.lit("o"), F.col("vec_id") % 5).alias("article_id"), F.expr("repeat('x', cast(vec_id % 4 + 1 as int))").alias("text"))
-    return e, C.candidate_pairs(e, -2.0)
+def _clustered(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("event_id"), F.col("vec_id").alias("idx"), F.col("embedding").alias("vec"), (F.col("vec_id") % 7).alias("cluster"), F.concat(F.lit("o"), F.col("vec_id") % 5).alias("article_id"), F.expr("repeat('x', cast(vec_id % 4 + 1 as int))").alias("text"))
 
 
 @query(f"with {_CLUSTERED} select event_id, cluster, representative from re")
 def cluster_representatives(spark, sf_dir):
     """The member of each cluster that is most like the others."""
-    members, pairs = _clustered(spark, sf_dir)
-    return C.representatives(members, pairs)
+    return C.representatives(_clustered(spark, sf_dir))
 
 
 @query(f"""with {_CLUSTERED} select event_id, cluster, article_id, text as sentence, round(least(greatest(max(case when idx = representative then 1.0 else coalesce(s, 0) end), 0), 1), 4) as similarity
 from c join re using (event_id, cluster) left join pr on pr.event_id = c.event_id and pr.i = least(idx, representative) and pr.j = greatest(idx, representative) group by all""".replace("select event_id, cluster, article_id, text", "select c.event_id, cluster, article_id, text"))
 def cluster_evidence(spark, sf_dir):
     """How like its cluster's representative each outlet's sentence is at best."""
-    members, pairs = _clustered(spark, sf_dir)
-    return C.evidence(members.withColumnRenamed("text", "sentence"), pairs, C.representatives(members, pairs))
+    members = _clustered(spark, sf_dir)
+    return C.evidence(members.withColumnRenamed("text", "sentence"), C.representatives(members))
 
 
 @query(f"""with {_CLUSTERED}, k as (select event_id, cluster, list_sort(list(distinct article_id)) as ids, count(*) as n_sources from c group by 1, 2), t as (select event_id, list_sort(list(distinct article_id)) as all_ids from c group by 1)
@@ -380,7 +378,10 @@ select event_id, cluster, 'C' || lpad(row_number() over (partition by event_id o
 case when len(ids) / len(all_ids) >= 0.8 then 'Widely shared' when len(ids) / len(all_ids) >= 0.5 then 'Commonly reported' when len(ids) / len(all_ids) >= 0.2 then 'Minority coverage' else 'Rare claim' end as category from k join t using (event_id)""")
 def cluster_consensus(spark, sf_dir):
     """Name, coverage, absent outlets and category of every cluster."""
-    members, _ = _clustered(spark, sf_dir)
+    members = _clustered(spark, sf_dir)
     view = N.consensus(C.numbered(C.coverage(members.select("event_id", "cluster", "article_id"), members.select("event_id", "article_id").distinct())))
     return view.select("event_id", "cluster", "cluster_id", "coverage_count", "n_sources", "coverage_ratio", F.array_join("absent_ids", ",").alias("absent"), "category")
 
+
+
+from outletlens.plans import clauses  # noqa: E402, F401  registers its queries here

@@ -14,6 +14,9 @@ from pyspark.sql import Window as W
 #: Words as every contract of this subpackage reads them.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Rows that cross to Python and back at a time in a stage.
+BATCH_ROWS = 1000
+
 _made: list[str] | None = None
 
 
@@ -52,8 +55,13 @@ _last: list[str] = []
 
 @contextlib.contextmanager
 def stage(spark: SparkSession):
-    """A stage of a pipeline, whose input is written: the tables of the stage before it go, its own stay until the next begins."""
+    """A stage of a pipeline, whose input is written: the tables of the stage before it go, its own stay until the next begins.
+
+    From here on, batches between the JVM and Python hold ``BATCH_ROWS`` rows: a
+    stage is run after it returns, and one batch of long texts must not fill a worker.
+    """
     global _made
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     jvm, hconf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in _last:
         target = jvm.org.apache.hadoop.fs.Path(path)

@@ -5,7 +5,11 @@ stray end tags; visibility rules leave out what a browser wouldn't show by its
 tag, its attributes and its own style (style sheets aren't read); the renderer
 writes all visible text with block spacing, list marks and tables whose columns
 are aligned. No step calls itself, and what is open is looked up by tag, so deep
-and hostile pages cost no more than others.
+and hostile pages cost no more than others. For their sake layout has bounds, text
+has none: lists and quotes are indented by ``DEEPEST`` characters at most, tables
+inside ``NESTED`` others are written row by row without columns, and a table whose
+padding would exceed ``PADDING`` times its text (and a thousand characters) isn't
+padded. Numbers of more than nine digits in attributes count as the greatest allowed.
 """
 
 from __future__ import annotations
@@ -13,21 +17,23 @@ from __future__ import annotations
 import html as entities
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 
 from outletlens.llm import common
 from outletlens.llm.pieces import slices
 
+DEEPEST, NESTED, PADDING = 64, 6, 8
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object embed audio video canvas datalist input link meta base source track param area col colgroup annotation annotation-xml mphantom".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table caption tbody thead tfoot tr ul legend optgroup option mtr".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object embed audio video canvas datalist link meta base source track param area col colgroup annotation annotation-xml mphantom rp progress meter".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table caption tbody thead tfoot tr ul legend optgroup option mtr plaintext".split())
 #: Blocks with an empty line around them.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr fieldset menu dir".split())
 #: Tags that close an open <p>.
-CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
+CLOSES_P = frozenset("plaintext address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 #: New tag -> (tags it closes, tags beyond which it doesn't look).
 IMPLIED = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])),
@@ -56,6 +62,24 @@ _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
+_ZEROS = re.compile(r"&#0+(?=[0-9])")
+_HUGE = re.compile(r"&#(?:0*[1-9][0-9]{7,}|[xX]0*[1-9a-fA-F][0-9a-fA-F]{6,});?")
+
+
+def _unescape(s: str) -> str:
+    """Character references as characters; numbers beyond all characters are U+FFFD, however long."""
+    return entities.unescape(_ZEROS.sub("&#", _HUGE.sub("\ufffd", s))) if "&" in s else s
+
+
+def _number(value: str, default: int, most: int) -> int:
+    """A whole number of an attribute, between -``most`` and ``most``; anything else is ``default``."""
+    found = re.match(r"[ \t\n\f\r]*([+-]?)([0-9]+)", value)
+    if not found:
+        return default
+    size = min(int(found[2]), most) if len(found[2].lstrip("0")) <= 9 else most
+    return -size if found[1] == "-" else size
+
+
 class Node:
     __slots__ = ("attrs", "children", "tag")
 
@@ -71,7 +95,7 @@ def _attributes(page: str, at: int) -> tuple[dict[str, str], bool, int]:
             return out, found.end() - at > 1 and page[found.end() - 2] == "/", found.end()
         if found[6]:
             break
-        out.setdefault(found[2].lower(), entities.unescape(found[3] or found[4] or found[5] or ""))
+        out.setdefault(found[2].lower(), _unescape(found[3] or found[4] or found[5] or ""))
         at = found.end()
     return out, False, len(page) + 1
 
@@ -119,16 +143,20 @@ def parse(page: str) -> Node:
     while at < n:
         found = _MARKUP.search(page, at)
         if not found:
-            stack[-1].children.append(entities.unescape(page[at:]))
+            stack[-1].children.append(_unescape(page[at:]))
             break
         if found.start() > at:
-            text = entities.unescape(page[at : found.start()])
+            text = _unescape(page[at : found.start()])
             if stack[-1].tag == "head" and text.strip():
                 now.cut(len(stack) - 1)
             stack[-1].children.append(text)
         at = found.end()
         tag = (found[2] or "").lower()
         if not tag:
+            if found[0].startswith("<![CDATA[") and now.foreign():
+                end = page.find("]]>", found.start())
+                stack[-1].children.append(page[found.start() + 9 : end if end >= 0 else n])
+                at = end + 3 if end >= 0 else n
             continue
         attrs, closed, at = _attributes(page, at)
         if at > n:  # the page ends inside the tag
@@ -155,10 +183,13 @@ def parse(page: str) -> Node:
         stack[-1].children.append(node)
         if closed and (tag in ("svg", "math") or now.foreign()):
             continue
+        if tag == "plaintext":
+            node.children.append(page[at:])
+            break
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
             stop = end.start() if end else n
-            node.children.append(page[at:stop] if tag not in ("title", "textarea") else entities.unescape(page[at:stop]))
+            node.children.append(page[at:stop] if tag not in ("title", "textarea") else _unescape(page[at:stop]))
             at = n if not end else page.find(">", end.end() - 1) + 1 or n
         elif tag not in VOID and not (closed and tag in ("path", "circle", "rect", "use")):
             now.push(node)
@@ -210,7 +241,7 @@ def _options(select: Node) -> list:
                 rows.append(("optgroup", [c.attrs.get("label", "")], off, c))
             todo += [(x, off) for x in reversed(c.children)]
     size = select.attrs.get("size", "")
-    if "multiple" in select.attrs or (size.isdecimal() and int(size) > 1):
+    if "multiple" in select.attrs or (_number(size, 0, 1000) > 1):
         out = []
         for tag, children, _, c in rows:
             if visible(c):
@@ -226,7 +257,7 @@ class _Writer:
     """Lines of text with pending line breaks; white space collapses outside <pre>."""
 
     def __init__(self) -> None:
-        self.lines, self.line, self.space, self.gap, self.prefix = [], [], False, 0, ""
+        self.lines, self.line, self.space, self.gap, self.prefix, self.level = [], [], False, 0, "", 0
 
     def text(self, value: str, keep: bool = False) -> None:
         if keep:
@@ -297,8 +328,9 @@ def render(root: Node) -> str:
     return _run(_plain([root], False))
 
 
-def _plain(nodes: list, hid: bool):
+def _plain(nodes: list, hid: bool, level: int = 0):
     w = _Writer()
+    w.level = level
     for x in nodes:
         yield _walk(x, w, False, 0, hid)
     return w.done()
@@ -324,6 +356,10 @@ def _walk(root, w: _Writer, pre: bool, depth: int, hid: bool):
         if tag == "br":
             w.newline()
             continue
+        if tag == "input" and node.attrs.get("type", "").lower() in ("submit", "button", "reset"):
+            if not hid:
+                w.text(node.attrs.get("value", ""))
+            continue
         if tag == "img":
             if node.attrs.get("alt", "").strip() and not hid:
                 w.text(node.attrs["alt"])
@@ -337,17 +373,16 @@ def _walk(root, w: _Writer, pre: bool, depth: int, hid: bool):
             continue
         if gap:
             w.block(gap)
-        if tag == "table":
+        if tag == "table" and w.level < NESTED:
             yield _table(node, w, hid)
             w.block(2)
             continue
+        if tag in ("td", "th"):  # of a table inside many others
+            w.space = True
         after = [lambda gap=gap: w.block(gap)] if gap else []
         if tag in ("ul", "ol", "menu", "dir"):
             depth += 1
-            try:
-                number = int(node.attrs.get("start", 1)) if tag == "ol" else 0
-            except ValueError:
-                number = 1
+            number = _number(node.attrs.get("start", ""), 1, 10**9) if tag == "ol" else 0
             step = []
             for c in node.children:
                 item_tag = isinstance(c, Node) and c.tag == "li" and visible(c)
@@ -359,18 +394,18 @@ def _walk(root, w: _Writer, pre: bool, depth: int, hid: bool):
             if not hid:
                 w.text(f"{number}." if number else "-", True)
                 w.space = True
-            old, w.prefix = w.prefix, w.prefix + "  "
+            old, w.prefix = w.prefix, w.prefix + "  " * (len(w.prefix) < DEEPEST)
             after.append(lambda old=old: setattr(w, "prefix", old))
         elif tag == "dd":
-            old, w.prefix = w.prefix, w.prefix + "    "
+            old, w.prefix = w.prefix, w.prefix + "    " * (len(w.prefix) < DEEPEST)
             after.append(lambda old=old: setattr(w, "prefix", old))
         elif tag == "blockquote":
-            old, w.prefix = w.prefix, w.prefix + "> "
+            old, w.prefix = w.prefix, w.prefix + "> " * (len(w.prefix) < DEEPEST)
             after.append(lambda old=old: setattr(w, "prefix", old))
         children = node.children
         if tag == "details" and "open" not in node.attrs:
             children = [c for c in children if isinstance(c, Node) and c.tag == "summary"]
-        inner = pre or tag in ("pre", "xmp", "listing")
+        inner = pre or tag in ("pre", "xmp", "listing", "plaintext")
         if tag == "svg":
             children = _drawn(node)
         elif tag == "select":
@@ -416,8 +451,7 @@ def _rows(table: Node):
 
 
 def _span(cell: Node, name: str) -> int:
-    value = cell.attrs.get(name, "1")
-    return min(max(int(value), 1), 1000) if value.isdecimal() else 1
+    return max(_number(cell.attrs.get(name, ""), 1, 1000), 1)
 
 
 def _width(s: str) -> int:
@@ -459,28 +493,42 @@ def _table(table: Node, w: _Writer, hid: bool):
         yield _walk(x, w, False, 0, hid)
         w.block(1)
     for x in captions:
-        w.text((yield _plain(x.children, unseen(x, hid))), True)
+        w.text((yield _plain(x.children, unseen(x, hid), w.level + 1)), True)
         w.block(1)
-    grid: list[dict[int, list[str]]] = []
+    grid: list[dict[int, tuple[int, list[str]]]] = []
     widths: dict[int, int] = {}
     for cells in _placed(rows):
         line = {}
         for col, across, cell in cells:
-            lines = (yield _plain(cell.children, unseen(cell, hid))).split("\n")
-            line[col] = lines
+            lines = (yield _plain(cell.children, unseen(cell, hid), w.level + 1)).split("\n")
+            line[col] = across, lines
             widths[col] = max(widths.get(col, 0), *(map(_width, lines) if across == 1 else (0,)))
         grid.append(line)
     columns = sorted(widths)
+    under = lambda col, across: columns[bisect_left(columns, col) : bisect_left(columns, col + across)]
+    spanned = sorted(((across, col, max(map(_width, lines))) for line in grid for col, (across, lines) in line.items() if across > 1))
+    for across, col, wide in spanned:  # a cell over several columns widens the last of them if it must
+        own = under(col, across)
+        widths[own[-1]] += max(0, wide - sum(widths[c] for c in own) - 3 * (len(own) - 1))
+    text = sum(len(x) for line in grid for _, lines in line.values() for x in lines)
+    full = sum(max(len(x) for _, x in line.values()) for line in grid if line) * sum(widths[c] + 3 for c in columns)
+    padded = full <= PADDING * text + 1000
     for line in grid:
-        if not any("".join(x) for x in line.values()):
+        if not any("".join(x) for _, x in line.values()):
             continue
-        shown = columns[: bisect_right(columns, max(line))]
-        for k in range(max(map(len, line.values()))):
-            parts = []
+        shown = columns[: bisect_right(columns, max(line))] if padded else sorted(line)
+        for k in range(max(len(x) for _, x in line.values())):
+            parts, past = [], -1
             for col in shown:
-                cell = line.get(col, [""])
-                text = cell[k] if k < len(cell) else ""
-                parts.append(text + " " * (widths[col] - _width(text)))
+                if col < past:
+                    continue
+                across, cell = line.get(col, (1, [""]))
+                now = cell[k] if k < len(cell) else ""
+                if padded:
+                    own = under(col, across)
+                    past = col + across
+                    now += " " * (sum(widths[c] for c in own) + 3 * (len(own) - 1) - _width(now))
+                parts.append(now)
             w.block(1)
             w.text(" | ".join(parts).rstrip(), True)
 

@@ -84,6 +84,10 @@ def mux(payload: bytes) -> bytes:
     return b"".join((ftyp, moov(len(ftyp) + size + len(head)), head, payload))
 
 
+#: Boxes inside one another; real files have under ten. More is a broken container, and told as such.
+DEEPEST = 1000
+
+
 def walk(data: memoryview, start: int = 0, end: int | None = None):
     """(path, first byte, end) of every box's payload, outer boxes first; payloads aren't read."""
     todo = [(start, len(data) if end is None else end, b"")]
@@ -101,7 +105,9 @@ def walk(data: memoryview, start: int = 0, end: int | None = None):
         inner = path + b"/" + kind
         yield inner, start + head, start + size
         todo.append((start + size, end, path))
-        if kind in PARENTS and len(inner) < 500:
+        if kind in PARENTS:
+            if len(inner) > 5 * DEEPEST:
+                raise ValueError(f"boxes nest more than {DEEPEST} deep")
             todo.append((start + head + PARENTS[kind], start + size, inner))
 
 

@@ -454,7 +454,13 @@ def _different(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _likely(pairs: DataFrame, heads: DataFrame) -> DataFrame:
-    """Pairs whose union sketch estimates them to be similar beyond doubt, and those others that their bitmaps don't rule out."""
+    """Pairs that their union sketches, and where those can't decide their bitmaps, don't rule out.
+
+    The sketch of the union holds its smallest values: what it shows of both sets
+    is exact, and of what it doesn't show each set has a known number left. Where
+    even those all being shared would be too few, the pair goes; a union that fits
+    into its sketch is decided there. Pairs estimated at SURE skip the bitmaps.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -465,8 +471,13 @@ def _likely(pairs: DataFrame, heads: DataFrame) -> DataFrame:
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 full = min(len(p), len(q), FILTER_K)
                 union = np.union1d(p, q)[:full]  # the sketch of the union
-                estimate = (np.isin(union, p, assume_unique=True) & np.isin(union, q, assume_unique=True)).sum() / max(1, full)
-                keep.append(estimate >= SURE or not _too_far(_differ(np.frombuffer(v.as_buffer(), np.uint64), np.frombuffer(w.as_buffer(), np.uint64)), a, b))
+                of_p, of_q = np.isin(union, p, assume_unique=True), np.isin(union, q, assume_unique=True)
+                both = int((of_p & of_q).sum())
+                most = both + min(a - int(of_p.sum()), b - int(of_q.sum()))
+                if (100 + SIMILAR) * most < SIMILAR * (a + b):
+                    keep.append(False)
+                    continue
+                keep.append(both >= SURE * max(1, full) or not _too_far(_differ(np.frombuffer(v.as_buffer(), np.uint64), np.frombuffer(w.as_buffer(), np.uint64)), a, b))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=common.arrow_schema("a long, b long")).filter(pa.array(keep, pa.bool_()))
 
     one = pairs.join(heads, pairs["a"] == heads["node"]).select("a", "b", F.col("head").alias("x"), F.col("bitmap").alias("v"), "n")

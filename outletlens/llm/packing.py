@@ -13,6 +13,7 @@ whole bin.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from dataclasses import dataclass
 
@@ -81,6 +82,8 @@ def least_squares(parts: np.ndarray, counts: np.ndarray) -> np.ndarray:
             x[[f for f, k in zip(free, keep, strict=True) if not k]] = 0
             free = [f for f, k in zip(free, keep, strict=True) if k]
         rest = target - (use(free) @ x[free] if free else 0)
+    else:
+        warnings.warn("the repeats of fillings haven't settled; sequences may hold more padding", stacklevel=2)
     return x
 
 
@@ -203,7 +206,7 @@ def _cut_up(with_ids: bool):
         import pyarrow as pa
 
         schema = common.arrow_schema(PIECES + (", ids binary" if with_ids else ""))
-        for batch in batches:
+        for batch in (x.slice(a, b - a) for x in batches for a, b in slices(x.column("ids"))):  # ids of about 1 MB at a time
             rows = []
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "n", "ids", "full_base", "pieces")]
             for doc, n, raw, base, rest in zip(*columns, strict=True):

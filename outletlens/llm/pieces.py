@@ -131,16 +131,17 @@ class Encoder:
     space with each piece, "word" for one that lower-cases, drops white space
     and takes digits one by one. Strings of special tokens in a text become
     their ids, as the library has it, or with ``plain_specials`` ordinary text.
-    The table of pieces restarts at ``most`` entries.
+    The table of pieces restarts at ``most`` entries, or when its pieces take ``most_bytes``,
+    so a worker holds a bounded table even of texts whose pieces are long and never repeat.
     """
 
-    def __init__(self, path: str, style: str, most: int = 500_000, plain_specials: bool = False) -> None:
+    def __init__(self, path: str, style: str, most: int = 500_000, plain_specials: bool = False, most_bytes: int = 16 << 20) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
         self.specials = [] if plain_specials else [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.style, self.most = style, most
+        self.style, self.most, self.most_bytes = style, most, most_bytes
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self._restart()
 
@@ -243,7 +244,8 @@ class Encoder:
         missing = np.flatnonzero(number < 0)
         if len(missing):
             new, at = np.unique(h[missing], return_index=True)
-            if self.table.n + len(new) > self.most and self.table.n:
+            more = int((end[missing[at]] - start[missing[at]]).sum())
+            if self.table.n and (self.table.n + len(new) > self.most or self.raw_used + more > self.most_bytes):
                 self._restart()
                 return self._numbers(buf, start, end)
             raw, at = buf.tobytes(), missing[at]

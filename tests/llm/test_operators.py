@@ -514,7 +514,7 @@ def test_schedules_are_inverted(spark):
         ("a<p title=\"never closed>b</p>", "a"),
         ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b><ul><li>no</ul></div>", "yes"),
         ("<table><tr><td>日本<td>1<tr><td>abcde<td>2</table>", "日本  | 1\nabcde | 2"),
-        ("<table><tr><td colspan=2>wide cell<td>z<tr><td>a<td>b<td>c</table>", "wide cell |   | z\na | b | c"),
+        ("<table><tr><td colspan=2>wide cell<td>z<tr><td>a<td>b<td>c</table>", "wide cell | z\na | b     | c"),
     ],
 )
 def test_html(page, text):
@@ -535,6 +535,110 @@ def test_html_hostile_pages():
     assert time.time() - began < 20
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("&#" + "9" * 5000 + ";x", "\ufffdx"), ("&#" + "0" * 5000 + "65;", "A"), ("&#x" + "f" * 5000 + ";", "\ufffd"), ("&#128512;&#x1F600;", "😀😀"),
+        ("<table><tr><td colspan=" + "5" * 5000 + " rowspan=" + "7" * 5000 + ">a</table>", "a"), ("<select size=" + "3" * 5000 + "><option>a<option>b</select>", "a\nb"),
+        ("<ol start=" + "9" * 4300 + "><li>a<li>b</ol>", "1000000000. a\n1000000001. b"), ("<ol start=-2><li>a<li>b</ol>", "-2. a\n-1. b"),
+        ("<ruby>字<rp>(</rp><rt>zi</rt><rp>)</rp></ruby><progress value=1>no</progress><meter>no</meter>", "字zi"), ("<input type=submit value=Send><input type=text value=no>", "Send"),
+        ("<svg><text><![CDATA[a < b]]></text></svg>", "a < b"), ("<p>a<![CDATA[x]]>b", "ab"), ("<p>a<plaintext><b>c</b>", "a\n\n<b>c</b>"),
+    ],
+)
+def test_html_numbers_and_rare_elements(page, text):
+    assert html.extract(page).strip() == text
+
+
+def words(rnd, n):
+    return " ".join(rnd.choice(["a", "bc", "déf", "漢字"]) for _ in range(n))
+
+
+def test_html_against_a_plain_reader():
+    """Random well-formed pages: the words are those that a reader of the standard library meets outside hidden elements, in order."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.off = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.off += bool(self.off) or tag in ("script", "template") or "hidden" in dict(attrs)
+
+        def handle_endtag(self, tag):
+            self.off -= bool(self.off)
+
+        def handle_data(self, data):
+            self.out += [] if self.off else data.split()
+
+    rnd = random.Random(12)
+
+    def page(depth):
+        if depth == 0:
+            return words(rnd, rnd.randint(1, 4))
+        tag = rnd.choice(["div", "p", "blockquote", "b", "section", "h2", "pre", "ul", "table", "template", "div hidden"])
+        if tag == "ul":
+            return "<ul>" + "".join(f"<li>{page(depth - 1)}</li>" for _ in range(2)) + "</ul>"
+        if tag == "table":
+            return "<table>" + "".join("<tr>" + "".join(f"<td>{words(rnd, 1)}</td>" for _ in range(3)) + "</tr>" for _ in range(2)) + "</table>"
+        inner = words(rnd, 2) if tag == "p" else "".join(page(depth - 1) + " " for _ in range(rnd.randint(1, 3)))
+        return f"<{tag}>{inner}</{tag.split()[0]}>"
+
+    for _ in range(300):
+        text = page(4)
+        reader = Reader()
+        reader.feed(text)
+        assert [w for w in html.extract(text).split() if w not in ("-", "|", ">")] == reader.out, text
+
+
+@pytest.mark.parametrize(
+    ("piece", "n"),
+    [("<ul><li>a", 8000), ("<blockquote>a", 4000), ("<table><tr><td>a", 4000), ("<dl><dd>a", 4000), ("<ol><li><table><tr><td>a<td>b", 1500)],
+)
+def test_html_of_nested_text_grows_with_the_page(piece, n):
+    import time
+
+    took, sizes = [], []
+    for k in (n // 2, n):
+        began = time.time()
+        out = html.extract(piece * k)
+        took.append(time.time() - began)
+        sizes.append(len(out))
+        assert out.count("a") == k
+    assert sizes[1] < 2.5 * sizes[0] and sizes[1] < 12 * len(piece) * n and took[1] < 4 + 3 * took[0]
+
+
+def test_html_of_wide_rows_grows_with_the_page():
+    head = "<tr>" + "<td>x" * 2000
+    page = "<table>" + head + "<tr><td colspan=1000><td colspan=999><td>y" * 4000 + "</table>"
+    assert len(html.extract(page)) < 40 * len(page) and html.extract(page).count("y") == 4000
+
+
+def test_deep_boxes_are_told():
+    import struct
+
+    def nested(n):
+        inner = b""
+        for _ in range(n):
+            inner = struct.pack(">I4s", 8 + len(inner), b"moov") + inner
+        return memoryview(inner)
+
+    assert sum(1 for _ in media.walk(nested(900))) == 900
+    with pytest.raises(ValueError, match="deep"):
+        list(media.walk(nested(1200)))
+
+
+def test_the_table_of_pieces_is_bounded_by_bytes():
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choices("abcdefgh", k=3000)) for _ in range(300)]
+    e = pieces.Encoder(BYTE, "byte", most_bytes=100_000)
+    t = tokenizer(BYTE)
+    for k in range(0, 300, 10):
+        ids, at = e.encode([x.encode() for x in texts[k : k + 10]])
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts[k : k + 10]]
+        assert len(e.raw) <= 1 << 18
+
+
 def test_html_pages(spark):
     table = spark.createDataFrame([(1, "<p>a", "t"), (2, None, "t"), (None, "", "t"), (1, "<p>a", "t"), (3, "<div>" * 5000 + "deep", "t")], "page_id long, html string, text string")
     assert sorted(map(str, ((r.page_id, r.text) for r in html.pages_text(table).collect()))) == sorted(map(str, [(1, "a"), (2, None), (None, ""), (1, "a"), (3, "deep")]))

@@ -221,6 +221,29 @@ def clusters(claims: DataFrame, edges: DataFrame, components: DataFrame | None =
     return ids.join(merged.select("event_id", F.col("node").alias("idx"), "cluster"), ["event_id", "idx"], "left").withColumn("cluster", F.coalesce("cluster", "idx"))
 
 
+def vector_clusters(claims: DataFrame, least: float) -> DataFrame:
+    """event_id, idx, cluster: complete-link clusters of claims (event_id, idx, vec) linked where their cosine reaches ``least``.
+
+    Copies of one unit vector are more like one another than like anything else,
+    so the greedy order joins them first and treats them alike after that: the
+    first of them goes through pairs and links for all, and no pair of copies is
+    made. (Different vectors whose cosine is 1 to twelve places could be joined in another order.)
+    Where vectors aren't of length 1 every claim goes through.
+    """
+    typed = claims.select(F.col("event_id").cast("string").alias("event_id"), F.col("idx").cast("long").alias("idx"), "vec")
+    own = typed.withColumn("_n", dot(F.col("vec"), F.col("vec")))
+    longest = own.groupBy("event_id").agg(F.max("_n").alias("_most"))
+    unit = F.coalesce((F.abs(F.col("_n") - 1) < 1e-6) & (F.col("_most") < 1 + 1e-6), F.lit(False)) & F.lit(least < 1 - 1e-6)
+    marked = save(own.join(longest, "event_id").select("event_id", "idx", "vec", F.when(~unit, F.col("idx")).alias("_alone")), "claims")
+    firsts = marked.groupBy("event_id", "vec", "_alone").agg(F.min("idx").alias("first"))
+    reps = save(firsts.select("event_id", F.col("first").alias("idx"), "vec", "_alone"), "firsts")
+    found = clusters(reps, save(candidate_pairs(reps, least), "pairs"))
+    named = reps.join(found, ["event_id", "idx"]).select("event_id", F.xxhash64("vec").alias("_h"), F.col("vec").alias("_v"), F.col("_alone").alias("_a"), "cluster")
+    m, n = marked.withColumn("_h", F.xxhash64("vec")).alias("m"), named.alias("n")
+    same = (F.col("m.event_id") == F.col("n.event_id")) & (F.col("m._h") == F.col("n._h")) & F.col("m.vec").eqNullSafe(F.col("n._v")) & F.col("m._alone").eqNullSafe(F.col("n._a"))
+    return m.join(n, same).select("m.event_id", "m.idx", "n.cluster")
+
+
 def _linked(links: DataFrame) -> DataFrame:
     """(event_id, node, cluster) of the nodes of each component (event_id, label), linked in a task."""
 

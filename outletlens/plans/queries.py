@@ -262,10 +262,7 @@ def claim_candidates(spark, sf_dir):
 @query()
 def claim_clusters(spark, sf_dir):
     """Complete-link clusters of the candidate graph; greedy, so tested against a plain version instead of SQL."""
-    from outletlens.plans.shared import save
-
-    claims = _vector_claims(spark, sf_dir)
-    return C.clusters(claims, save(C.candidate_pairs(claims, 0.6), "pairs"))
+    return C.vector_clusters(_vector_claims(spark, sf_dir), 0.6)
 
 
 # Metrics over labels.

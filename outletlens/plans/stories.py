@@ -343,10 +343,7 @@ def sentence_candidates(spark, sf_dir):
 @query()
 def sentence_clusters(spark, sf_dir):
     """Complete-link clusters of similar sentences; greedy, so tested against a plain version instead of SQL."""
-    from outletlens.plans.shared import save
-
-    claims = save(_claims(spark, sf_dir), "claims")
-    return C.clusters(claims.select("event_id", "idx"), save(C.candidate_pairs(claims, LEAST), "pairs"))
+    return C.vector_clusters(_claims(spark, sf_dir), LEAST)
 
 
 _CLUSTERED = """c as (select label::varchar as event_id, vec_id as idx, vec_id % 7 as cluster, 'o' || (vec_id % 5) as article_id, repeat('x', (vec_id % 4 + 1)::int) as text, list_transform(embedding, lambda x: x::double) as v from embeddings),

@@ -118,3 +118,11 @@ def test_clusters_that_miss_an_edge_are_told(spark):
     assert C.coherent(members, spark.createDataFrame([("e", 1, 0), ("e", 1, 2)], edge)).count() == 3
     with pytest.raises(Exception, match="misses an edge"):
         C.coherent(members, spark.createDataFrame([("e", 1, 2)], edge)).collect()
+
+
+def test_copies_go_through_once(spark):
+    vectors = mixed_vectors(6) + [("lots", k, unit(np.array([1.0, k % 3, 0, 0]))) for k in range(400)]
+    claims = claims_of(spark, vectors)
+    got = {(r.event_id, r.idx): r.cluster for r in C.vector_clusters(claims, 0.6).collect()}
+    want = {(r.event_id, r.idx): r.cluster for r in C.clusters(claims, C.candidate_pairs(claims, 0.6)).collect()}
+    assert got == want and len(got) == len(vectors)

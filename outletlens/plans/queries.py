@@ -394,3 +394,4 @@ def framing_clusters(spark, sf_dir):
 
 
 from outletlens.plans import stories  # noqa: E402, F401  registers its queries here
+from outletlens.plans import trees  # noqa: E402, F401

@@ -11,7 +11,7 @@ another part of that sample sets the temperature of the scores.
 
 Scores only tell learned languages apart. Whether a text is in one of them is
 judged by its mean inverse document frequency and its share of letters, against
-what is usual in the sample of the language it was given.
+what is usual in all texts of the language it was given.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from outletlens.llm import common
 from outletlens.llm.pieces import slices
@@ -35,9 +36,10 @@ EPOCHS = 3
 #: Texts of fewer n-grams have theirs sorted to count them once; longer ones mark all features.
 DENSE = 600
 UNKNOWN = "und"
-#: A text is foreign if its mean n-gram is rarer than that of the quantile USUAL of its language's sample by more than
+#: A text is foreign if its mean n-gram is rarer than that of the quantile USUAL of its language's texts by more than
 #: GAP of the way to one never seen and SLACK standard errors (n-grams overlap, so OVERLAP of them count as one), or if
-#: its share of letters is below LETTERS times the low quantile of the sample.
+#: its share of letters is below LETTERS times the low quantile of all texts.
+BINS = 4096
 USUAL, GAP, SLACK, OVERLAP, LETTERS = 0.99, 0.2, 4.0, 6.0, 1 / 3
 
 _fold: np.ndarray | None = None
@@ -164,8 +166,8 @@ def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return out, n
 
 
-def _sampled(labelled: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray, float]]:
-    """(lang, fold, features, their shares, share of letters) of a bounded sample, chosen by a hash of doc_id and text."""
+def _sampled(labelled: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
+    """(lang, fold, features, their shares) of a bounded sample, chosen by a hash of doc_id and text."""
     totals = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     if not totals:
         return []
@@ -188,25 +190,54 @@ def _sampled(labelled: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray
                     x, n = np.unique(feature[cut[i] : cut[i + 1]], return_counts=True)
                     f.append(x.astype(np.uint16).tobytes())
                     v.append((n / max(1, n.sum())).astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), batch.column("fold").slice(a, b - a), pa.array(f, pa.binary()), pa.array(v, pa.binary()), pa.array(letter_shares(part), pa.float64())], schema=common.arrow_schema("lang string, fold long, f binary, v binary, letters double"))
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), batch.column("fold").slice(a, b - a), pa.array(f, pa.binary()), pa.array(v, pa.binary())], schema=common.arrow_schema("lang string, fold long, f binary, v binary"))
 
-    rows = chosen.mapInArrow(run, "lang string, fold long, f binary, v binary, letters double").collect()  # a bounded sample
+    rows = chosen.mapInArrow(run, "lang string, fold long, f binary, v binary").collect()  # a bounded sample
     rows.sort(key=lambda r: (r["lang"], r["fold"], r["f"], r["v"]))
-    return [(r["lang"], r["fold"], np.frombuffer(r["f"], np.uint16), np.frombuffer(r["v"], np.float32), r["letters"]) for r in rows]  # views, no copies
+    return [(r["lang"], r["fold"], np.frombuffer(r["f"], np.uint16), np.frombuffer(r["v"], np.float32)) for r in rows]  # views, no copies
 
 
-def _usual(rows, langs: list[str], idf: np.ndarray) -> np.ndarray:
-    """``Model.usual`` of (language number, features, values)."""
-    out = np.zeros((len(langs), 2))
-    for k in range(len(langs)):
-        means = np.array([(v * idf[f]).sum() for lang, f, v in rows if lang == k and len(f)] or [np.inf])
-        squares = np.array([(v * idf[f] ** 2).sum() for lang, f, v in rows if lang == k and len(f)] or [np.inf])
-        if np.isinf(means[0]):
-            out[k] = np.inf
+def _usual(texts: DataFrame, langs: list[str], idf: np.ndarray) -> tuple[np.ndarray, float]:
+    """``Model.usual`` and ``Model.least_letters`` of all of ``texts`` (lang, text), not of a sample.
+
+    Means and shares are counted in ``BINS`` bins, so quantiles are those of all
+    texts, rounded outwards to a bin; variances are summed in whole millionths.
+    """
+    number, top = {lang: k for k, lang in enumerate(langs)}, float(idf.max())
+    held = texts.sparkSession.sparkContext.broadcast((number, idf))  # one entry a language, one value a feature
+    ddl = "lang long, bin long, n long, noise long"
+
+    def run(batches):
+        import pyarrow as pa
+
+        number, idf = held.value
+        for batch in batches:
+            for a, b in slices(batch.column("text"), 1 << 18):
+                part = batch.column("text").slice(a, b - a).to_pylist()
+                lang = np.array([number.get(x, -1) for x in batch.column("lang").slice(a, b - a).to_pylist()], np.int64)
+                of, feature, _ = grams(part)
+                size = np.bincount(of, minlength=len(part))
+                mean, square = (np.bincount(of, x[feature], minlength=len(part)) / np.maximum(size, 1) for x in (idf, idf**2))
+                noise = np.rint(np.maximum(square - mean**2, 0) * 1e6)
+                place = lambda x: np.minimum(x * BINS, BINS - 1).astype(np.int64)
+                some = (size > 0) & (lang >= 0)
+                key = np.append((lang * BINS + place(mean / top))[some], -BINS + place(letter_shares(part)))  # letters: language -1
+                seen, at = np.unique(key, return_inverse=True)
+                sums = [np.bincount(at, minlength=len(seen)), np.bincount(at, np.append(noise[some], np.zeros(len(part))), minlength=len(seen)).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seen // BINS, seen % BINS, *sums)], schema=common.arrow_schema(ddl))
+
+    bins = texts.select("lang", "text").mapInArrow(run, ddl).groupBy("lang", "bin").agg(F.sum("n").alias("n"), F.sum("noise").alias("noise"))
+    upto = F.sum("n").over(W.partitionBy("lang").orderBy("bin"))
+    share = F.when(F.col("lang") < 0, 1 - USUAL).otherwise(USUAL)
+    ranked = bins.withColumns({"upto": upto, "total": F.sum("n").over(W.partitionBy("lang"))}).withColumn("bin", F.when(F.col("upto") >= share * F.col("total"), F.col("bin")))
+    out, least = np.full((len(langs), 2), np.inf), 0.0
+    for r in ranked.groupBy("lang").agg(F.min("bin").alias("bin"), F.sum("n").alias("n"), F.sum("noise").alias("noise")).collect():  # one row a language
+        if r["lang"] < 0:
+            least = LETTERS * r["bin"] / BINS
         else:
-            high = np.quantile(means, USUAL)
-            out[k] = high + GAP * max(0.0, idf.max() - high), np.sqrt(np.maximum(squares - means**2, 0).mean())
-    return out
+            high = top * (r["bin"] + 1) / BINS
+            out[r["lang"]] = high + GAP * max(0.0, top - high), np.sqrt(r["noise"] / 1e6 / r["n"])
+    return out, least
 
 
 def _leader(rows, langs: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,8 +283,12 @@ def _temperature(model: Model, rows) -> float:
     return float(min(np.geomspace(0.1, 10, 81), key=lambda t: (round(loss(t), 4), abs(np.log(t)))))
 
 
-def train(docs: DataFrame) -> Model | None:
-    """A model of the languages in ``docs`` (doc_id, text, lang) outside the held-out fifth; None if nothing is labelled."""
+def train(docs: DataFrame, foreign: bool = True) -> Model | None:
+    """A model of the languages in ``docs`` (doc_id, text, lang) outside the held-out fifth; None if nothing is labelled.
+
+    With ``foreign`` one more pass over all those rows finds what is usual in
+    each language, by which ``Model.known`` tells texts in no learned language.
+    """
     usable = common.unique_columns(docs, "doc_id", "text", "lang").where("text is not null and lang is not null").where(fold_of(F.col("doc_id")) != 0)
     sample = _sampled(usable)
     if not sample:
@@ -261,13 +296,14 @@ def train(docs: DataFrame) -> Model | None:
     frequency, n = _document_frequencies(usable)
     idf = np.log((1 + n) / (1 + frequency)) + 0.2
     langs = sorted({r[0] for r in sample})
-    rows = [(langs.index(lang), fold, f, v) for lang, fold, f, v, _ in sample]
+    rows = [(langs.index(lang), fold, f, v) for lang, fold, f, v in sample]
     learn = [(lang, f, v) for lang, fold, f, v in rows if fold != 1] or [(lang, f, v) for lang, _, f, v in rows]
     weights, bias = _leader(learn, langs, idf)
     model = Model(langs, weights.astype(np.float64), bias, 1.0)
     model.temperature = _temperature(model, [(lang, f, v) for lang, fold, f, v in rows if fold == 1])
-    model.idf, model.usual = idf, _usual([(lang, f, v) for lang, _, f, v in rows], langs, idf)
-    model.least_letters = LETTERS * float(np.quantile([r[4] for r in sample], 1 - USUAL))
+    if foreign:
+        model.idf = idf
+        model.usual, model.least_letters = _usual(usable, langs, idf)
     return model
 
 
@@ -301,7 +337,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model | None, least: float, only_known: bool = False) -> DataFrame:
-    """The rows of ``docs`` with a letter in their text and a score of ``least`` or more, all columns kept; with ``only_known`` just those like the sample.
+    """The rows of ``docs`` with a letter in their text and a score of ``least`` or more, all columns kept; with ``only_known`` just those like the texts learned from.
 
     Without a model every text with a letter stays. Null and empty texts go;
     repeated rows stay or go together; an empty table gives no rows. Only the

@@ -53,7 +53,7 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on labelled documents outside the held-out fifth, then predict every document's language."""
     docs = _table(spark, sf_dir, "documents")
-    return langid.predict(docs, langid.train(docs))
+    return langid.predict(docs, langid.train(docs, foreign=False))
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,3 +63,34 @@ def test_pipeline_drops_what_is_in_no_learned_language(spark):
         both = docs.unionByName(spark.createDataFrame(rows, docs.select("doc_id", "text", "lang", "source", "n_chars").schema))
         kept = {r.doc_id for r in corpus_pipeline.language_id(spark, both, "").select("doc_id").collect()}
         assert kept == {r.doc_id for r in both.collect() if re.search(r"[^\W\d_]", r.text or "")} - set(planted)
+
+
+def test_what_is_usual_comes_from_all_texts(spark, monkeypatch):
+    """The sample is a tenth of the rows here; the thresholds are those of all rows outside the held-out fifth."""
+    import zlib
+
+    import numpy as np
+
+    from outletlens.llm import langid
+
+    monkeypatch.setattr(langid, "SAMPLE", 50)
+    monkeypatch.setattr(langid, "SAMPLE_TOTAL", 100)
+    rnd = random.Random(5)
+    words = {"a": ["bad", "cab", "dab", "fee", "gab"], "b": ["zoo", "yolk", "wok", "vow", "now"]}
+    rows = [(k, " ".join(rnd.choices(words["ab"[k % 2]], k=6)) + ("".join(chr(rnd.randrange(97, 123)) for _ in range(k % 41)) if k % 20 > 17 else "") + " 7" * (k % 5), "ab"[k % 2]) for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    used = [(t, x) for k, t, x in rows if zlib.crc32(str(k).encode()) % 5]
+    top = model.idf.max()
+    for n, lang in enumerate(model.langs):
+        texts = [t for t, x in used if x == lang]
+        of, feature, _ = langid.grams(texts)
+        size = np.bincount(of)
+        mean, square = (np.bincount(of, x[feature]) / size for x in (model.idf, model.idf**2))
+        high = (model.usual[n, 0] - langid.GAP * top) / (1 - langid.GAP)
+        assert np.mean(mean <= high) >= langid.USUAL > np.mean(mean <= high - top / langid.BINS)
+        assert abs(model.usual[n, 1] ** 2 - np.mean(square - mean**2)) < 1e-5
+    shares = langid.letter_shares([t for t, _ in used])
+    least = model.least_letters / langid.LETTERS
+    assert np.mean(shares < least) <= 1 - langid.USUAL <= np.mean(shares < least + 1 / langid.BINS)
+    assert langid.train(docs, foreign=False).usual is None

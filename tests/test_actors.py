@@ -84,3 +84,21 @@ def test_pairs_of_names_and_spans_are_not_shuffled(spark):
 
     plan = QUERIES["names_in_spans"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "sequence(1, greatest" not in plan
+
+
+def test_no_token_is_shuffled_alone(spark):
+    from outletlens.plans.queries import QUERIES
+
+    for name in ("svo_sentences", "descriptors_of_articles"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "collect_list" not in plan, name  # which brought a sentence's tokens together again
+
+
+def test_tokens_of_sentences_are_those_of_the_table(spark):
+    from outletlens.plans import annotate
+
+    said = ["Guards were detained by angry marchers", "police arrested the union", "by police", "the council was rejected", "Closed"]
+    rows = spark.createDataFrame([("e", "a", k, s) for k, s in enumerate(said)], "event_id string, article_id string, sentence_idx int, sentence string")
+    got = {(r.sent_idx, r.i): (r.text, r.pos, r.dep, r.head) for r in annotate.rule_tokens(rows).collect()}
+    assert len(got) == 6 + 4 + 4 + 1 and got[0, 0] == ("Guards", "NOUN", "nsubjpass", 2) and got[0, 1] == ("were", "AUX", "auxpass", 2) and got[0, 5] == ("marchers", "NOUN", "pobj", 3)
+    assert got[1, 3] == ("union", "NOUN", "dobj", 1) and got[0, 3] == ("by", "ADP", "agent", 2) and got[3, 1] == ("council", "NOUN", "nsubjpass", 3) and got[4, 0] == ("Closed", "VERB", "ROOT", 0)

@@ -158,3 +158,25 @@ def test_decimals_are_rejoined_without_a_growing_list(spark):
     found = spark.createDataFrame(cases, "s array<string>, want array<string>").withColumn("got", T.rejoin_decimals(F.col("s")))
     assert [r for r in found.collect() if r.got != r.want] == []
     assert "aggregate(" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_what_a_surface_shares_is_worked_out_once(spark):
+    from outletlens.operators import actors as A
+
+    rows = [("三人",), (" police officers ",), ("12%",), ("",), (None,), ("x" * 21,), ("x" * 20 + " ",), ("a b c d e f g",), ("2024年5月1日",), ("-ab",), ("警 察",)]
+    s, x = F.col("s"), A.surface_form(F.col("s"))
+    d = spark.createDataFrame(rows, "s string").withColumn("x", x)
+    got = d.select("x.*", A.quantity_or_date(s).alias("a"), A.valid_surface(s).alias("b"), A.valid_name(s).alias("c"), A.valid_participant(s).alias("d"))
+    for r in got.collect():
+        assert tuple(r)[:4] == tuple(r)[4:]
+    assert [r.valid for r in got.collect()] == [False, True, False, False, None, True, True, True, False, False, True]
+    assert [r.is_name for r in got.collect()] == [False, True, False, False, None, False, False, True, False, False, True]
+    plan = d.select("x.counts", "x.valid", "x.is_name", "x.is_participant")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?U)^\s+|\s+$") == 1
+
+
+def test_features_of_a_claim_work_its_attribution_out_once(spark):
+    from outletlens.operators import verify as V
+
+    plan = V.features(spark.createDataFrame([("x",)], "s string"), "s")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("noted|added") <= 3  # 14 where every feature had it worked out anew

@@ -180,3 +180,11 @@ def test_features_of_a_claim_work_its_attribution_out_once(spark):
 
     plan = V.features(spark.createDataFrame([("x",)], "s string"), "s")._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < plan.count("noted|added") <= 3  # 14 where every feature had it worked out anew
+
+
+def test_predicates_dont_work_out_who_joins_a_phrase(spark):
+    kind = "event_id string, article_id string, sent_idx int, toks array<struct<i:int,text:string,lemma:string,pos:string,dep:string,head:int,ws:boolean>>"
+    toks = [(1, "刪", "刪", "VERB", "conj", 0, False), (0, "砍", "砍", "VERB", "ROOT", 0, False)]
+    found = S.predicates(spark.createDataFrame([("e", "a", 0, toks)], kind))
+    assert sorted((r.position, r.raw) for r in found.collect()) == [(0, "砍"), (1, "刪")]
+    assert "總經理" not in found._jdf.queryExecution().optimizedPlan().toString()

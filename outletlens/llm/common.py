@@ -110,6 +110,38 @@ def dealt_sum(df: DataFrame, group: list[str], order: list[Column], value: Colum
     return joined.select(*[rows[c] for c in df.columns], (F.col("_inside") + F.col("_offset")).alias(out))
 
 
+def give_back() -> None:
+    """Hand what this worker has freed back to the system; allocators keep it for themselves otherwise."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run, tokenizes: bool = False):
+    """``run`` for a worker that others use before and after it.
+
+    Workers live on from stage to stage and sit idle beside the JVM's own
+    stages: unless this one ``tokenizes``, the encoders that an earlier one left
+    go first, and freed memory goes back to the system at the end of each task.
+    """
+
+    def leaner(batches):
+        from outletlens.llm import pieces
+
+        if not tokenizes:
+            pieces.forget()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return leaner
+
+
 def own_names(df: DataFrame, *names: str) -> list[str]:
     """``names`` made longer until they clash with no column of ``df``."""
     taken, out = {c.lower() for c in df.columns}, []

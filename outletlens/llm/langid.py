@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from outletlens.llm import common
-from outletlens.llm.pieces import slices
+from outletlens.llm.pieces import forget, slices
 
 BITS = 15
 ORDERS = (1, 2, 3)
@@ -156,7 +156,7 @@ def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(count[some], n))], schema=common.arrow_schema("feature long, n long"))
 
-    found = texts.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # one row a feature
+    found = texts.select("text").mapInArrow(common.lean(run), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()  # one row a feature
     out, n = np.zeros(1 << BITS, np.int64), 0
     for r in found:
         if r["feature"] < 0:
@@ -192,7 +192,7 @@ def _sampled(labelled: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray
                     v.append((n / max(1, n.sum())).astype(np.float32).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), batch.column("fold").slice(a, b - a), pa.array(f, pa.binary()), pa.array(v, pa.binary())], schema=common.arrow_schema("lang string, fold long, f binary, v binary"))
 
-    rows = chosen.mapInArrow(run, "lang string, fold long, f binary, v binary").collect()  # a bounded sample
+    rows = chosen.mapInArrow(common.lean(run), "lang string, fold long, f binary, v binary").collect()  # a bounded sample
     rows.sort(key=lambda r: (r["lang"], r["fold"], r["f"], r["v"]))
     return [(r["lang"], r["fold"], np.frombuffer(r["f"], np.uint16), np.frombuffer(r["v"], np.float32)) for r in rows]  # views, no copies
 
@@ -226,7 +226,7 @@ def _usual(texts: DataFrame, langs: list[str], idf: np.ndarray) -> tuple[np.ndar
                 sums = [np.bincount(at, minlength=len(seen)), np.bincount(at, np.append(noise[some], np.zeros(len(part))), minlength=len(seen)).astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seen // BINS, seen % BINS, *sums)], schema=common.arrow_schema(ddl))
 
-    bins = texts.select("lang", "text").mapInArrow(run, ddl).groupBy("lang", "bin").agg(F.sum("n").alias("n"), F.sum("noise").alias("noise"))
+    bins = texts.select("lang", "text").mapInArrow(common.lean(run), ddl).groupBy("lang", "bin").agg(F.sum("n").alias("n"), F.sum("noise").alias("noise"))
     upto = F.sum("n").over(W.partitionBy("lang").orderBy("bin"))
     share = F.when(F.col("lang") < 0, 1 - USUAL).otherwise(USUAL)
     ranked = bins.withColumns({"upto": upto, "total": F.sum("n").over(W.partitionBy("lang"))}).withColumn("bin", F.when(F.col("upto") >= share * F.col("total"), F.col("bin")))
@@ -333,7 +333,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     score = np.where(letters, p[np.arange(len(part)), best], 0.0)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64())], schema=common.arrow_schema(ddl))
 
-    return docs.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "text").mapInArrow(run, ddl)
+    return docs.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "text").mapInArrow(common.lean(run), ddl)
 
 
 def accepted(docs: DataFrame, model: Model | None, least: float, only_known: bool = False) -> DataFrame:
@@ -348,6 +348,7 @@ def accepted(docs: DataFrame, model: Model | None, least: float, only_known: boo
     def stays(text):
         import pyarrow as pa
 
+        forget()
         model = held.value or Model([UNKNOWN], np.zeros((1, 1 << BITS)), np.zeros(1), 1.0)
         out = [np.zeros(0, bool)]
         for a, b in slices(text, 1 << 18):
@@ -358,6 +359,7 @@ def accepted(docs: DataFrame, model: Model | None, least: float, only_known: boo
             if only_known:
                 keep &= model.known(texts, made, p.argmax(axis=1))
             out.append(keep)
+        common.give_back()
         return pa.array(np.concatenate(out))
 
     return docs.where(F.arrow_udf(stays, "boolean")(docs["text"]))

@@ -141,7 +141,7 @@ def sketch(docs: DataFrame, words: int = WORDS, seed: int = 0) -> tuple[DataFram
 
     shared: tuple[int, ...] = ()
     for _ in range(3):
-        made = common.save(docs.select("doc_id", node_of(F.col("text"), shared).alias("node"), "text").mapInArrow(run, SKETCH), "sketches")
+        made = common.save(docs.select("doc_id", node_of(F.col("text"), shared).alias("node"), "text").mapInArrow(common.lean(run), SKETCH), "sketches")
         mixed = made.groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node").collect()  # about rows ** 2 / 2 ** 65 of them
         if not mixed:
             return made, shared
@@ -211,8 +211,8 @@ def hot_values(sketches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 counts.append(np.frombuffer(c, np.uint32).astype(np.int64) if c else np.ones(len(values[-1]), np.int64))
             yield top(values, counts)
 
-    spread = sketches.select("node", "n", "sketch").mapInArrow(local, "range int, values binary, counts binary")
-    counted = spread.repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(total, "value long, n long")
+    spread = sketches.select("node", "n", "sketch").mapInArrow(common.lean(local), "range int, values binary, counts binary")
+    counted = spread.repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(common.lean(total), "value long, n long")
     most = counted.orderBy(F.desc("n"), "value").limit(HOT).collect()
     v, c = np.array([x["value"] for x in most], np.int64).view(np.uint64), np.array([x["n"] for x in most], np.int64)
     order = np.argsort(v)
@@ -275,7 +275,7 @@ def postings(docs: DataFrame, sketches: DataFrame, words: int = WORDS, seed: int
         if held:
             yield packed(held)
 
-    return docs.select(node_of(F.col("text"), shared).alias("node"), "text").mapInArrow(run, PACKED), tasks
+    return docs.select(node_of(F.col("text"), shared).alias("node"), "text").mapInArrow(common.lean(run), PACKED), tasks
 
 
 def _may_be_near(n: np.ndarray, place: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -336,7 +336,7 @@ def meet(lists: DataFrame, tasks: int) -> DataFrame:
             if left:
                 yield _pair_batch(np.concatenate(left), np.concatenate(right), 0, schema)
 
-    return lists.repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(run, MET)
+    return lists.repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(common.lean(run), MET)
 
 
 def _merged(members: DataFrame) -> DataFrame:
@@ -442,7 +442,7 @@ def _apart(members: DataFrame, maps: DataFrame, star: int) -> DataFrame:
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))
         blocks = dealt.withColumn("_other", other).withColumn("block", F.xxhash64("value", F.least("part", "_other"), F.greatest("part", "_other")))
     placed = blocks.join(maps, "node").select("block", *columns).repartition(tasks, "block").sortWithinPartitions("block", "n", "node")
-    return placed.mapInArrow(run, packed).repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(unpack, "a long, b long")
+    return placed.mapInArrow(common.lean(run), packed).repartition(tasks, "range").sortWithinPartitions("range").mapInArrow(common.lean(unpack), "a long, b long")
 
 
 def _different(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -482,7 +482,7 @@ def _likely(pairs: DataFrame, heads: DataFrame) -> DataFrame:
 
     one = pairs.join(heads, pairs["a"] == heads["node"]).select("a", "b", F.col("head").alias("x"), F.col("bitmap").alias("v"), "n")
     two = one.join(heads.withColumnRenamed("n", "m"), one["b"] == heads["node"]).select("a", "b", "x", "v", "n", F.col("head").alias("y"), F.col("bitmap").alias("w"), "m")
-    return two.mapInArrow(run, "a long, b long")
+    return two.mapInArrow(common.lean(run), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, seed: int = 0, shared: tuple[int, ...] = ()) -> DataFrame:
@@ -518,10 +518,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int = WORDS, seed: int
     if wanted.count() <= SENT:
         wanted = F.broadcast(wanted)
     texts = docs.select(node_of(F.col("text"), shared).alias("node"), "text").join(wanted, "node", "left_semi")
-    whole = texts.select("node", "text").mapInArrow(sets, "node long, whole binary").dropDuplicates(["node"])
+    whole = texts.select("node", "text").mapInArrow(common.lean(sets), "node long, whole binary").dropDuplicates(["node"])
     one = pairs.join(whole, pairs["a"] == whole["node"]).select("a", "b", F.col("whole").alias("x"))
     two = one.join(whole, one["b"] == whole["node"]).select("a", "b", "x", F.col("whole").alias("y"))
-    return two.mapInArrow(verify, "a long, b long")
+    return two.mapInArrow(common.lean(verify), "a long, b long")
 
 
 def links(docs: DataFrame, sketches: DataFrame, words: int = WORDS, seed: int = 0, shared: tuple[int, ...] = ()) -> tuple[DataFrame, DataFrame]:

@@ -136,7 +136,7 @@ def encode(docs: DataFrame, tokenizer: str, style: str = "word", end_id: int = 2
         import pyarrow as pa
 
         for batch in batches:
-            for a, b in slices(batch.column("text")):
+            for a, b in slices(batch.column("text"), 1 << 18):  # what cutting and the library need besides is many times that
                 flat, bounds = encoder(tokenizer, style).encode(raw_texts(batch.column("text").slice(a, b - a)))
                 tail = np.array([end_id], flat.dtype).tobytes()
                 raw, width = flat.tobytes(), flat.dtype.itemsize
@@ -144,7 +144,7 @@ def encode(docs: DataFrame, tokenizer: str, style: str = "word", end_id: int = 2
                 ids = [raw[p:q] + tail for p, q in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(bounds) + 1), pa.array(ids, pa.binary())], schema=common.arrow_schema(ENCODED))
 
-    rows = common.unique_columns(docs, "doc_id", "text").mapInArrow(run, ENCODED)
+    rows = common.unique_columns(docs, "doc_id", "text").mapInArrow(common.lean(run, tokenizes=True), ENCODED)
     return common.save(rows.withColumn("row", F.monotonically_increasing_id()), "packing-ids")
 
 
@@ -235,7 +235,7 @@ def pack(docs: DataFrame, tokenizer: str, style: str = "word", end_id: int = 2,
     encoded = encode(docs, tokenizer, style, end_id)
     at = layout(encoded.select("row", "n"))
     joined = encoded.join(at.full, "row", "left").join(at.rest, "row", "left")
-    return joined.select("doc_id", "n", "ids", "full_base", "pieces").mapInArrow(_cut_up(with_ids), PIECES + (", ids binary" if with_ids else ""))
+    return joined.select("doc_id", "n", "ids", "full_base", "pieces").mapInArrow(common.lean(_cut_up(with_ids), tokenizes=True), PIECES + (", ids binary" if with_ids else ""))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

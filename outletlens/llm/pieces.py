@@ -31,6 +31,8 @@ _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Ranges longer than this are hashed and compared one by one.
 _LONG = 512
+#: New pieces that the library encodes at a time: its result takes many times the bytes of the ids.
+_AT_ONCE = 4096
 
 
 def _words(buf: np.ndarray) -> np.ndarray:
@@ -203,12 +205,12 @@ class Encoder:
         return ids, offsets
 
     def _merge(self, texts: list[bytes], ids: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        got = self.tokenizer.encode_batch_fast([texts[i].decode() for i in whole], add_special_tokens=False)
         counts = np.diff(offsets)
         out, at = [], 0
-        for i, e in zip(whole, got, strict=True):
-            out += [ids[at : offsets[i]], np.array(e.ids, self.dtype)]
-            counts[i], at = len(e.ids), offsets[i]
+        for i in whole:
+            got = np.array(self.tokenizer.encode_batch_fast([texts[i].decode()], add_special_tokens=False)[0].ids, self.dtype)
+            out += [ids[at : offsets[i]], got]
+            counts[i], at = len(got), offsets[i]
         return np.concatenate([*out, ids[at:]]), np.concatenate([[0], np.cumsum(counts)])
 
     def _starts(self, buf: np.ndarray, kind: np.ndarray) -> np.ndarray:
@@ -250,9 +252,10 @@ class Encoder:
                 return self._numbers(buf, start, end)
             raw, at = buf.tobytes(), missing[at]
             pieces = [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-            got = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+            ids = []
+            for k in range(0, len(pieces), _AT_ONCE):
+                ids += [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces[k : k + _AT_ONCE]], add_special_tokens=False)]
             self._remember(pieces)
-            ids = [e.ids for e in got]
             length = np.fromiter(map(len, ids), np.int32, len(ids))
             flat = np.fromiter((x for e in ids for x in e), self.dtype, int(length.sum()))
             while self.used + len(flat) > len(self.flat):
@@ -290,6 +293,11 @@ def encoder(path: str, style: str) -> Encoder:
     return _encoders[path, style]
 
 
+def forget() -> None:
+    """Let go of the worker's encoders; the next text builds its own anew."""
+    _encoders.clear()
+
+
 def slices(column, most: int = 1 << 20):
     """Row ranges of an Arrow string or binary column of about ``most`` bytes each, or one row."""
     n = len(column)

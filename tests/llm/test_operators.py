@@ -26,6 +26,33 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+@pytest.mark.parametrize(("stage", "kept"), [(lambda docs: langid.predict(docs, None), False), (minhash.sketch, False), (lambda docs: packing.encode(docs, WORD), True)])
+def test_workers_keep_encoders_for_stages_that_tokenize_only(edge, monkeypatch, stage, kept):
+    made, whole, back = [], type(edge).mapInArrow, []
+    monkeypatch.setattr(type(edge), "mapInArrow", lambda self, f, schema: made.append(f) or whole(self, f, schema))
+    stage(edge)
+    monkeypatch.setattr(pieces, "_encoders", {(WORD, "word"): None})
+    monkeypatch.setattr(common, "give_back", lambda: back.append(len(pieces._encoders)), raising=False)
+    assert list(made[0](iter([]))) is not None
+    assert bool(pieces._encoders) == kept and back == [int(kept)]  # freed memory goes back when a task ends
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_the_library_gets_a_bounded_share_of_new_pieces_at_a_time(path, monkeypatch):
+    e, most = pieces.Encoder(path, "word" if path == WORD else "byte"), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, inner=e.tokenizer, **how):
+            most.append(len(texts))
+            return inner.encode_batch_fast(texts, **how)
+
+    e.tokenizer = Counted()
+    text = " ".join(f"{a}{b}{c}" for a in "abcdefghijklmnopqrst" for b in ("ka", "lo", "mi", "nu", "pe") * 2 for c in (f"x{'y' * k}z" for k in range(200)))
+    ids, _ = e.encode([text.encode(), "漢字".encode(), "かな".encode()])
+    assert ids.tolist() == [x for t in (text, "漢字", "かな") for x in tokenizer(path).encode(t, add_special_tokens=False).ids]
+    assert max(most) <= 4096 and len(most) > 3
+
+
 @pytest.mark.parametrize(("path", "style"), [(BYTE, "byte"), (WORD, "word")])
 def test_pieces_give_the_tokenizers_ids(path, style):
     rnd = random.Random(1)

@@ -102,3 +102,29 @@ def test_tokens_of_sentences_are_those_of_the_table(spark):
     got = {(r.sent_idx, r.i): (r.text, r.pos, r.dep, r.head) for r in annotate.rule_tokens(rows).collect()}
     assert len(got) == 6 + 4 + 4 + 1 and got[0, 0] == ("Guards", "NOUN", "nsubjpass", 2) and got[0, 1] == ("were", "AUX", "auxpass", 2) and got[0, 5] == ("marchers", "NOUN", "pobj", 3)
     assert got[1, 3] == ("union", "NOUN", "dobj", 1) and got[0, 3] == ("by", "ADP", "agent", 2) and got[3, 1] == ("council", "NOUN", "nsubjpass", 3) and got[4, 0] == ("Closed", "VERB", "ROOT", 0)
+
+
+def test_mentions_dont_join_their_records_again(spark):
+    svo = spark.createDataFrame([("e", "a", 0, "arrested", ["Police", "police"], ["men"], False), ("e", "a", 1, "closed", None, ["the police"], True)], "event_id string, article_id string, svo_idx int, verb string, subjects array<string>, objects array<string>, is_passive boolean")
+    none = spark.createDataFrame([], "event_id string, article_id string, name string, type string, modifiers array<string>, pos int")
+    said = A.mentions(A.candidates(svo, none), svo)
+    assert {(r.surface, r.svo_idx, r.side, r.role, r.is_passive) for r in said.collect()} >= {("Police", 0, 0, "agent", False), ("Police", 1, 1, "agent", True), ("men", 0, 1, "patient", False)}
+    plan = said._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("Relation [" in x and "record#" in x for x in plan) == 3  # 4 with the records read again
+
+
+def test_a_token_without_children_follows_no_pointers(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from outletlens.operators import participants as P
+
+    n = 2000
+    toks = [(f"w{i}", i - 1 if i and i % 2 else 0) for i in range(n)]
+    ts = spark.createDataFrame([(toks,)], "ts array<struct<text:string,up:int>>")
+    began = time.time()
+    found = ts.select(F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda h: F.when(h % 2 == 1, F.size(P._hanging(F.col("ts"), h, lambda t: F.lit(True))))).alias("x")).first().x
+    assert set(found) == {1, None} and time.time() - began < 60
+    whole = ts.select(P._hanging(F.col("ts"), F.lit(0), lambda t: F.lit(True)).alias("x"), P._hanging(F.col("ts"), F.lit(2), lambda t: F.lit(True)).alias("y")).first()
+    assert whole.x == list(range(n)) and whole.y == [2, 3]
